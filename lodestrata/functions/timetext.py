@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: date, blank or T, time, optional fraction, optional zone
-_SHAPE = r"^\s*(\d{4}-\d{2}-\d{2})[ T](\d{2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(?:([Zz])|([+-])(\d{2}):?(\d{2})?)?\s*$"
 DAY_MS = 86_400_000
 
 
-def _part(c: Column, group: int) -> Column:
-    return F.regexp_extract(c, _SHAPE, group)
-
-
 def utc_millis(c: Column) -> Column:
-    """Milliseconds since the epoch; no zone means UTC; null where the text is no timestamp."""
-    number = lambda g: F.coalesce(F.nullif(_part(c, g), F.lit("")).try_cast("bigint"), F.lit(0))
-    day = F.unix_date(_part(c, 1).try_cast("date")).cast("bigint")
-    frac = F.rpad(F.substring(_part(c, 5), 1, 3), 3, "0").try_cast("bigint")
-    offset = (number(8) * 60 + number(9)) * F.when(_part(c, 7) == "-", -1).otherwise(1) * 60_000
-    clock = (number(2) * 3600 + number(3) * 60 + number(4)) * 1000
-    return day * DAY_MS + clock + F.coalesce(frac, F.lit(0)) - offset
+    """Milliseconds since the epoch; no zone means UTC; null where the text is no timestamp.
+
+    A zone is a final Z or +hh:mm; texts without one get a Z, so the cast never looks at the session's zone.
+    """
+    text = F.trim(c)
+    zoned = F.upper(F.substring(text, -1, 1)).isin("Z") | ((F.length(text) > 16) & F.substring(text, -6, 1).isin("+", "-"))
+    return F.unix_millis(F.when(zoned, text).when(F.length(text) > 10, F.concat(text, F.lit("Z"))).otherwise(F.concat(text, F.lit(" 00:00:00Z"))).try_cast("timestamp"))
 
 
 def millis_text(ms: Column) -> Column:

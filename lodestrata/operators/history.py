@@ -44,7 +44,7 @@ def chain_ends(changes: DataFrame) -> DataFrame:
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y.eqNullSafe(x)))
     ends = F.filter("ins", lambda x: count("ins", x) > count("outs", x))
     starts = F.filter("outs", lambda x: count("outs", x) > count("ins", x))
-    alone = F.size("real") == 0
+    alone = (F.size("edges") == 1) | (F.size("real") == 0)  # first in each case below: the rest is for the few that chain
     lone = F.array_max("edges")
     return df.select(
         "entity", "attr", "slice", "ts",
@@ -67,13 +67,14 @@ def settled_snapshots(history: DataFrame, entities: DataFrame, slice_ms: int = D
     summary = events.groupBy("entity", "attr", "slice").agg(
         F.max_by("last", F.when(F.col("last").isNotNull(), F.col("ts"))).alias("carry"),
         F.min_by("first", F.when(F.col("first").isNotNull(), F.col("ts"))).alias("ahead"),
+        F.count("ring").alias("rings"),  # read so that both uses of events have the same columns and share one exchange
     )
     summary = summary.select(
         "entity", "attr", "slice",
         F.last("carry", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.last("ahead", ignorenulls=True).over(back).alias("after"),
-        (F.row_number().over(whole) == 1).alias("opens"),
-    ).join(born, "entity", "left")
+        (F.row_number().over(whole) == 1).alias("opens"), "rings",
+    ).where("rings >= 0").join(born, "entity", "left")
     w = _slice_window("ts")
     prior = F.coalesce(F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
     later = Window.partitionBy("entity", "attr", "slice").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
