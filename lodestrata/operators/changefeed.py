@@ -20,16 +20,16 @@ VERSION = "table_name string, row_key string, seq struct<updated_at:string,log_f
 _KEY = ("table_name", "row_key")
 
 
-def newest(versions: DataFrame) -> DataFrame:
-    """One version per key. Combines on the map side, so a hot key reaches the shuffle once per task."""
-    rest = F.struct("seq", "deleted_at", "hash", "row_json")
-    return versions.groupBy(*_KEY).agg(F.max_by(rest, F.struct("seq", F.coalesce("hash", F.lit("")))).alias("v")).select(*_KEY, "v.*")
+def newest(versions: DataFrame, *within: str) -> DataFrame:
+    """One version per key (and `within`). Combines on the map side, so a hot key reaches the shuffle once per task."""
+    best = F.max(F.struct("seq", F.coalesce("hash", F.lit("")).alias("_tie"), "deleted_at", "hash", "row_json"))
+    return versions.groupBy(*within, *_KEY).agg(best.alias("v")).select(*within, *_KEY, "v.seq", "v.deleted_at", "v.hash", "v.row_json")
 
 
 class MergeStore:
     """Sorted runs below one folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, fan_in: int = 4) -> None:
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = 8) -> None:
         self.spark, self.path, self.fan_in, self.runs, self._next = spark, path, fan_in, [], 0
 
     def append(self, versions: DataFrame) -> None:
@@ -38,15 +38,29 @@ class MergeStore:
         if len(self.runs) >= self.fan_in:
             self.compact()
 
+    def append_batches(self, versions: DataFrame, batch: Column) -> None:
+        """Write one run per value of batch (a small number of them) in a single pass over the changes."""
+        path = f"{self.path}/batch-{self._next:05d}"
+        self._next += 1
+        runs = newest(versions.withColumn("run", batch), "run").sortWithinPartitions("run", *_KEY, "seq")
+        runs.write.partitionBy("run").option("compression", "zstd").parquet(path)
+        fs, hadoop = self._fs(path)
+        self.runs += sorted(s.getPath().toString() for s in fs.listStatus(hadoop) if s.isDirectory())
+        if len(self.runs) >= self.fan_in:
+            self.compact()
+
+    def _fs(self, path: str):  # noqa: ANN202
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
     def compact(self) -> None:
         """Merge all runs into one; the old ones are deleted only after the new one is complete."""
         old = list(self.runs)
         self.runs = []
         self._write(newest(self._read(old)), self.runs)
-        jvm = self.spark.sparkContext._jvm
         for run in old:
-            p = jvm.org.apache.hadoop.fs.Path(run)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, hadoop = self._fs(run)
+            fs.delete(hadoop, True)
 
     def merged(self) -> DataFrame:
         """The k-way merge on read: the winning version of every key, tombstones included."""
@@ -60,7 +74,7 @@ class MergeStore:
     def _write(self, run: DataFrame, to: list[str]) -> None:
         path = f"{self.path}/run-{self._next:05d}"
         self._next += 1
-        run.sortWithinPartitions(*_KEY, "seq").write.parquet(path)
+        run.sortWithinPartitions(*_KEY, "seq").write.option("compression", "zstd").parquet(path)
         to.append(path)
 
     def _read(self, runs: list[str]) -> DataFrame:
@@ -108,9 +122,10 @@ def rebuild(spark: SparkSession, tickets: DataFrame, changelog: DataFrame, batch
         seen += r["count"]
         if len(cuts) < batches - 1 and seen >= total * (len(cuts) + 1) / batches:
             cuts.append(r["m"])
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = log if low is None else log.where(month > low)
-        store.append(part if high is None else part.where(month <= high))
+    batch = F.lit(0)
+    for k, low in enumerate(cuts):
+        batch = F.when(month > low, k + 1).otherwise(batch)
+    store.append_batches(log, batch)
     return store
 
 
