@@ -65,18 +65,20 @@ def _merge_regs(a: list, b: list) -> list:
     return [y if x is None or (y is not None and y < x) else x for x, y in zip(a, b, strict=True)]
 
 
-def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame) -> DataFrame:
+def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, entities_per_task: int = 50_000) -> DataFrame:
     """path and one text column per wanted key, named by it; wide_spec is a fixed list of columns, read by the driver."""
     spec = sorted((r["key_name"], r["col_type"]) for r in wide_spec.select("key_name", "col_type").distinct().collect() if r["key_name"])
-    width = len(spec)
-    slots = frontmatter.sparkSession.createDataFrame([(k, i, t) for i, (k, t) in enumerate(spec)], "_k string, _slot int, _type string")
+    width, spark = len(spec), frontmatter.sparkSession
+    slots = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(spec)], "_k string, _slot int, _type string")
     rows = frontmatter.where("path IS NOT NULL").select("path", "key", "value_json", fold_key(F.col("key")).alias("_k"))
     cells = rows.join(F.broadcast(slots), "_k", "left")  # as many rows as the table has columns
     cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("value_json"), F.col("_type")).alias("cell"))
     slot = F.when(F.col("cell").isNotNull(), F.col("_slot")).otherwise(-1)
     spelled = F.concat(F.when(F.col("key") == F.col("_k"), "0").otherwise("1"), F.coalesce("key", F.lit("")))
-    pairs = cells.select("path", F.coalesce(slot, F.lit(-1)).alias("slot"), spelled.alias("spelled"), "cell").distinct().rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
-    parts = int(frontmatter.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = cells.select("path", F.coalesce(slot, F.lit(-1)).alias("slot"), spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
+    # an RDD's shuffle isn't sized at run time, so the number of entities decides
+    entities = frontmatter.agg(F.approx_count_distinct("path")).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-entities // entities_per_task))
     regs = pairs.combineByKey(
         lambda c: _merge_cell(_empty(width), *c),
         lambda acc, c: _merge_cell(acc, *c),
@@ -84,7 +86,7 @@ def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame) -> DataFrame:
         numPartitions=parts,
     )
     schema = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(k, T.StringType()) for k, _ in spec)])
-    return frontmatter.sparkSession.createDataFrame(regs.map(lambda kv: (kv[0], *(None if x is None else x[1] for x in kv[1]))), schema, verifySchema=False)
+    return spark.createDataFrame(regs.map(lambda kv: (kv[0], *(None if x is None else x[1] for x in kv[1]))), schema, verifySchema=False)
 
 
 def typed_wide(wide: DataFrame, wide_spec: DataFrame) -> DataFrame:
