@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import leakage, packing
+from . import leakage, packing, subjects
 
 
 def p7_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -38,5 +38,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "bench_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(*(table(spark, d, t) for t in ("documents", "subject_labels", "subjects")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """subject, documents, sentences: the corpus by area."""
+    found = subjects.area_sentences(*(table(spark, d, t) for t in ("documents", "subject_labels", "subjects"))).where(F.col("n_sentences") >= subjects.NEEDED)
+    return found.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("n_sentences").alias("sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_assign, p7_unused, p8_found, p8_report)}
+    return {f.__name__: f for f in (p7_assign, p7_unused, p8_found, p8_report, p9_found, p9_shares)}
