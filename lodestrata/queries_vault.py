@@ -44,6 +44,11 @@ def _fm(key: str) -> str:
     return f"LEFT JOIN (SELECT * FROM fm WHERE key = '{key}') m USING (path)"
 
 
+def _array_length(t: str) -> str:
+    text = _TEXT_OF.replace("m.", f"{t}.")
+    return f"CASE WHEN ({text}) IS NULL THEN CASE WHEN {t}.type IN ('number', 'bool') AND {t}.value_num IS NOT NULL THEN 0 END WHEN json_valid({text}) THEN json_array_length({text}) ELSE 0 END"
+
+
 def busiest(v: Vault) -> str:
     """The note with most links, by name on a tie; '' in an empty vault."""
     row = v.links.groupBy("source_path").count().orderBy(F.desc("count"), "source_path").first()
@@ -79,7 +84,7 @@ DSL: list[tuple[str, str, str]] = [
      f"WITH {_F} SELECT path, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d') AS d, strftime(date_trunc('month', make_timestamp(ctime * 1000000)) + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS e, strftime(make_timestamp(mtime * 1000000), '%Y-%j %H') AS j, mtime // 86400 + 2440587.5::DOUBLE AS y FROM f"),
     ("dates_against_seconds", "path WHERE mtime > date('now', '-30 days')", f"WITH {_F} SELECT path FROM f WHERE FALSE"),
     ("printf", "path, printf('%08d %s %.1f', size, name, size / 3.0) AS p", f"WITH {_F} SELECT path, printf('%08d %s %.1f', size, {_NAME}, size / 3.0::DOUBLE) AS p FROM f"),
-    ("json_functions", "path, coalesce(json_array_length(fm.tags), -1) AS n, json_array_length(fm.area) AS a WHERE fm.area IS NOT NULL", f"WITH {_F}, {_FM} SELECT path, coalesce((SELECT CASE t.type WHEN 'list' THEN json_array_length(t.value_json)::BIGINT ELSE 0 END FROM fm t WHERE t.path = f.path AND t.key = 'tags'), -1) AS n, CASE m.type WHEN 'list' THEN json_array_length(m.value_json)::BIGINT ELSE 0 END AS a FROM f {_fm('area')} WHERE {_TEXT_OF} IS NOT NULL OR m.value_num IS NOT NULL"),
+    ("json_functions", "path, coalesce(json_array_length(fm.tags), -1) AS n, json_array_length(fm.area) AS a WHERE fm.area IS NOT NULL", f"WITH {_F}, {_FM} SELECT path, coalesce((SELECT {_array_length('t')} FROM fm t WHERE t.path = f.path AND t.key = 'tags'), -1)::BIGINT AS n, coalesce({_array_length('m')}, 0)::BIGINT AS a FROM f {_fm('area')} WHERE {_TEXT_OF} IS NOT NULL OR (m.type IN ('number', 'bool') AND m.value_num IS NOT NULL)"),
     ("coalesce_nullif", "path, coalesce(nullif(folder, ''), 'top') AS c, nullif(size, 0) AS n", f"WITH {_F} SELECT path, coalesce(nullif({_FOLDER}, ''), 'top') AS c, nullif(size, 0) AS n FROM f"),
     ("fm_string", "path, fm.status AS status WHERE fm.status = 'open' OR fm['type'] LIKE 'Pro%'",
      f"WITH {_F}, {_FM} SELECT path, CASE s.type WHEN 'string' THEN s.value_text ELSE s.value_json END AS status FROM f LEFT JOIN (SELECT * FROM fm WHERE key = 'status') s USING (path) {_fm('type')} WHERE (CASE s.type WHEN 'string' THEN s.value_text WHEN 'list' THEN s.value_json WHEN 'object' THEN s.value_json END) = 'open' OR {_LOW.format('(' + _TEXT_OF + ')')} LIKE 'pro%'"),
