@@ -160,7 +160,7 @@ def drift_scripts(frontmatter: DataFrame, files: DataFrame) -> DataFrame:
     Work that grows with the data is partial aggregation and equi-joins on (folder, month, key); what is gathered for one
     script is two schemas, at most twice the mean number of keys of a note each.
     """
-    nodes, months = dated_nodes(frontmatter, files)
+    nodes, months = map(cut, dated_nodes(frontmatter, files))  # read four times below
     schema = cut(month_schemas(nodes, months))
     steps = months.where("previous IS NOT NULL").select("folder", "period", "previous")
     after = schema.join(steps, ["folder", "period"], "left_semi").withColumnRenamed("type", "new_type")
