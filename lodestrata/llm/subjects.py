@@ -149,7 +149,8 @@ def word_statistics(rows: DataFrame, n_areas: int) -> tuple[list[str], np.ndarra
                 y = np.asarray(y) / max(1e-9, float(np.sum(y)))
                 for w in {w for s in sentences(t) for w in s}:
                     mass[w] = mass.get(w, 0) + y
-        yield pd.DataFrame({"word": list(mass), "mass": [m.tolist() for m in mass.values()]})
+        if mass:
+            yield pd.DataFrame({"word": list(mass), "mass": [m.tolist() for m in mass.values()]})
 
     sums = [F.sum(F.col("mass")[i]) for i in range(n_areas)]
     got = rows.mapInPandas(run, "word string, mass array<double>").groupBy("word").agg(F.array(*sums).alias("mass")).collect()  # the bounded sample's words
