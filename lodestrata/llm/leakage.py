@@ -13,8 +13,10 @@ threshold of a passage is the smallest TF-IDF cosine that any `min_words` of its
 edits, computed from the passage. Before the search a window must hold at least min_words - 2 words of the passages' vocabulary
 within min_words + 1 words, which a case does too.
 
-The test set is fixed and small; it is worked off in blocks of at most `block` distinct passages, whose vocabulary and latent
-basis (rank <= block) are what is sent to executors. Corpus texts are read whole and never shuffled.
+One pass over the corpus reads every text whole and yields both the document frequencies and the stretches dense enough in
+passage words to hold a case; search, subsequence and alignment then run on those stretches alone. The test set is fixed and
+small; it is worked off in blocks of at most `block` distinct passages, whose vocabulary and latent basis (rank <= block) are
+what is sent to executors.
 
 A case: at least min_words consecutive passage words in their order, beginning and ending with a matching word, with edits
 (changed, dropped or inserted words) on at most one word in `per_edit`. A first sentence that `intro_share` distinct passages or more have in
@@ -34,23 +36,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut
 from .normal import words
 
 INTRO_SHARE, MIN_WORDS, PER_EDIT, BLOCK = 5, 12, 8, 512
 
 
+class Lexicon:
+    """The passages' words by number, and how texts are read with them."""
+
+    def __init__(self, passages: list[list[str]]) -> None:
+        self.ids = {w: i for i, w in enumerate(sorted({w for p in passages for w in p}))}
+        self.beginnings = {w[:i] for w in self.ids for i in range(1, len(w))}
+
+    def read(self, got: list[str]) -> list[int]:
+        """Word numbers, -1 for others; two neighbours that together spell a word, and are not both words, count as one."""
+        ids = self.ids
+        out = [ids.get(w, -1) for w in got]
+        last = len(got) - 1
+        drop: list[int] = []
+        for i in [i for i, w in enumerate(got) if w in self.beginnings]:
+            if i < last and (out[i] < 0 or ids.get(got[i + 1], -1) < 0) and (not drop or drop[-1] != i):
+                both = ids.get(got[i] + got[i + 1])
+                if both is not None:
+                    out[i] = both
+                    drop.append(i + 1)
+        if drop:
+            gone = set(drop)
+            out = [x for i, x in enumerate(out) if i not in gone]
+        return out
+
+
 @dataclass
 class Latent:
-    """What executors need: the vocabulary, each word's latent weight, the passages' latent unit vectors and thresholds."""
+    """What executors need: each word's latent weight, the passages' latent unit vectors, thresholds and words, their items."""
 
-    vocab: dict[str, int]
     weight: np.ndarray
     units: np.ndarray
     floors: np.ndarray
     passages: list[list[int]]
     items: list[list[int]]
-    answers: dict[int, list[str]]
+    answers: dict[int, set[int]]
     run: int
+    runs: list[set[tuple[int, ...]]]
 
 
 # --- passages ------------------------------------------------------------------------------------------------------
@@ -63,24 +91,43 @@ def passage_words(passages: list[str]) -> list[list[str]]:
     return [words(s[1] if len(s) > 1 else "") if shared[tuple(words(s[0]))] >= INTRO_SHARE else words(p) for s, p in zip(split, passages, strict=True)]
 
 
-def document_frequencies(documents: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each vocabulary word occurs; the number of documents."""
+_SURVEY = "word long, n long, doc_id long, region array<int>, said array<int>"
+
+
+def survey(documents: DataFrame, lexicon: Lexicon, answers: dict[str, int], min_words: int) -> DataFrame:
+    """One row per vocabulary word and task with its documents (word -1: all documents), and one per dense stretch of a text.
+
+    A stretch carries the ids of its words and which answer words its document holds.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, n = np.zeros(len(vocab), dtype=np.int64), 0
+        counts, n = np.zeros(len(lexicon.ids), dtype=np.int64), 0
         for pdf in batches:
+            rows = []
             n += len(pdf)
-            for t in pdf["text"]:
-                got = merged_ids(words(t), vocab)
-                if len(got):
-                    counts[np.unique(got[got >= 0])] += 1
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"word": np.append(at, -1), "n": np.append(counts[at], n)})
-
-    rows = documents.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one per vocabulary word
-    df = np.zeros(len(vocab))
-    total = 0
-    for r in rows:
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                got = words(t)
+                ids = lexicon.read(got)
+                known = set(ids)
+                known.discard(-1)
+                counts[list(known)] += 1
+                if len(known) > 1:
+                    flat = np.asarray(ids)
+                    spans = dense_regions(flat, min_words)
+                    said = sorted({answers[w] for w in got if w in answers}) if spans else []
+                    rows += [(-2, 0, d, flat[a:b].tolist(), said) for a, b in spans]
+            if rows:
+                yield pd.DataFrame(rows, columns=["word", "n", "doc_id", "region", "said"])
+        at = np.flatnonzero(counts).tolist()
+        yield pd.DataFrame({"word": [*at, -1], "n": [*counts[at].tolist(), n], "doc_id": None, "region": None, "said": None})
+
+    return documents.select("doc_id", "text").mapInPandas(run, _SURVEY)
+
+
+def document_frequencies(surveyed: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each vocabulary word occurs; the number of documents."""
+    df, total = np.zeros(n_words), 0
+    for r in surveyed.where("word >= -1").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one per vocabulary word
         if r["word"] < 0:
             total = r["n"]
         else:
@@ -143,24 +190,10 @@ def recall_floors(passages: list[list[int]], idf: np.ndarray, min_words: int) ->
 # --- documents -----------------------------------------------------------------------------------------------------
 
 
-def merged_ids(doc_words: list[str], vocab: dict[str, int]) -> np.ndarray:
-    """Word ids, -1 for others; two neighbours that together spell a vocabulary word, and do not both belong to it, are one."""
-    out, i, n = [], 0, len(doc_words)
-    while i < n:
-        w = doc_words[i]
-        at = vocab.get(w, -1)
-        if i + 1 < n and (at < 0 or doc_words[i + 1] not in vocab) and (both := vocab.get(w + doc_words[i + 1])) is not None:
-            out.append(both)
-            i += 2
-            continue
-        out.append(at)
-        i += 1
-    return np.asarray(out, dtype=np.int64)
-
-
 def dense_regions(ids: np.ndarray, min_words: int, margin: int = 4) -> list[tuple[int, int]]:
     """Stretches around windows of min_words + 1 words of which at least min_words - 2 belong to the vocabulary."""
-    known = np.concatenate([[0], np.cumsum(ids >= 0)])
+    known = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.cumsum(ids >= 0, out=known[1:])
     if known[-1] < min_words - 2:
         return []
     width = min(min_words + 1, len(ids))
@@ -188,10 +221,9 @@ def lcs_length(a: list[int], b: np.ndarray) -> int:
     return len(a) - bin(row).count("1")
 
 
-def shares_run(a: list[int], b: list[int], k: int) -> bool:
-    """Whether a and b have k words in a row in common."""
-    runs = {tuple(a[i : i + k]) for i in range(len(a) - k + 1)}
-    return any(tuple(b[i : i + k]) in runs for i in range(len(b) - k + 1))
+def runs_of(ids: list[int], k: int) -> set[tuple[int, ...]]:
+    """All k words in a row."""
+    return {tuple(ids[i : i + k]) for i in range(len(ids) - k + 1)}
 
 
 def least_run(min_words: int, per_edit: int, longest: int) -> int:
@@ -221,65 +253,69 @@ def quotes(passage: list[int], region: np.ndarray, min_words: int = MIN_WORDS, p
     return False
 
 
-def exposed(model: Latent, text: str | None, min_words: int = MIN_WORDS) -> set[int]:
-    """Numbers of the passages that a text exposes."""
-    ids = merged_ids(words(text), model.vocab)
+def exposed(model: Latent, region: np.ndarray, min_words: int = MIN_WORDS) -> set[int]:
+    """Numbers of the passages that a stretch of a text exposes."""
     found: set[int] = set()
-    for a, b in dense_regions(ids, min_words):
-        region = ids[a:b]
-        sums = np.zeros((len(region) + 1, model.weight.shape[1]))
-        sums[1:] = np.cumsum(np.where(region[:, None] >= 0, model.weight[region], 0), axis=0)
-        width = min(min_words, len(region))
-        windows = sums[width:] - sums[:-width]
-        norms = np.linalg.norm(windows, axis=1, keepdims=True)
-        cosine = (windows @ model.units.T) / np.where(norms > 0, norms, 1)
-        for p in np.flatnonzero((cosine >= model.floors).any(axis=0)).tolist():
-            passage = model.passages[p]
-            if p in found or lcs_length(passage, region) < min_words - min_words // PER_EDIT:
-                continue
-            if shares_run(passage, region.tolist(), model.run) and quotes(passage, region, min_words):
-                found.add(p)
+    sums = np.zeros((len(region) + 1, model.weight.shape[1]))
+    sums[1:] = np.cumsum(np.where(region[:, None] >= 0, model.weight[region], 0), axis=0)
+    width = min(min_words, len(region))
+    windows = sums[width:] - sums[:-width]
+    norms = np.linalg.norm(windows, axis=1, keepdims=True)
+    cosine = (windows @ model.units.T) / np.where(norms > 0, norms, 1)
+    runs = runs_of(region.tolist(), model.run)
+    for p in np.flatnonzero((cosine >= model.floors).any(axis=0)).tolist():
+        passage = model.passages[p]
+        if not model.runs[p].isdisjoint(runs) and lcs_length(passage, region) >= min_words - min_words // PER_EDIT and quotes(passage, region, min_words):
+            found.add(p)
     return found
 
 
-def fit_block(documents: DataFrame, block: list[tuple[list[str], list[int]]], answers: dict[int, list[str]], min_words: int) -> Latent:
-    vocab = {w: i for i, w in enumerate(sorted({w for p, _ in block for w in p}))}
-    passages = [[vocab[w] for w in p] for p, _ in block]
-    df, total = document_frequencies(documents, vocab)
+def fit(spark: SparkSession, passages: list[list[int]], items: list[list[int]], df: np.ndarray, total: int, answers: dict[int, set[int]], min_words: int) -> Latent:
     idf = np.log((total + 1) / (df + 1)) + 1e-3
-    basis = randomised_svd(documents.sparkSession, passages, idf, len(passages))
+    basis = randomised_svd(spark, passages, idf, len(passages))
     units = np.zeros((len(passages), basis.shape[1]))
     for i, ids in enumerate(passages):
         at, w = _tfidf(ids, idf)
         units[i] = w @ basis[at]
     units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
-    return Latent(vocab, idf[:, None] * basis, units, recall_floors(passages, idf, min_words), passages, [i for _, i in block], answers, least_run(min_words, PER_EDIT, max(map(len, passages))))
+    run = least_run(min_words, PER_EDIT, max(map(len, passages)))
+    return Latent(idf[:, None] * basis, units, recall_floors(passages, idf, min_words), passages, items, answers, run, [runs_of(p, run) for p in passages])
 
 
-def leaks(documents: DataFrame, bench_items: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, answered: every case, and whether the document also holds the item's answer."""
+def leaks(documents: DataFrame, bench_items: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, per_task: int = 2000) -> DataFrame:
+    """doc_id, item_id, answered: every case, and whether the document also holds all words of the item's answer."""
     spark = documents.sparkSession
     by_passage: dict[str, list[int]] = {}
-    answers: dict[int, list[str]] = {}
+    said: dict[int, list[str]] = {}
     for r in bench_items.select("item_id", "passage", "answer").distinct().collect():  # the test set is a fixed table
         if r["passage"] and r["item_id"] is not None:
             by_passage.setdefault(r["passage"], []).append(r["item_id"])
-            answers[r["item_id"]] = words(r["answer"])
+            said[r["item_id"]] = words(r["answer"])
+    word_of = {w: i for i, w in enumerate(sorted({w for ws in said.values() for w in ws}))}
+    answers = {i: {word_of[w] for w in ws} for i, ws in said.items()}
     texts = sorted(by_passage)
-    long_enough = [(w, sorted(by_passage[t])) for t, w in zip(texts, passage_words(texts), strict=True) if len(w) >= min_words]
+    chosen = [(w, sorted(by_passage[t])) for t, w in zip(texts, passage_words(texts), strict=True) if len(w) >= min_words]
     out = spark.createDataFrame([], "doc_id long, item_id long, answered boolean")
-    for i in range(0, len(long_enough), block):
-        sent = spark.sparkContext.broadcast(fit_block(documents, long_enough[i : i + block], answers, min_words))
+    for i in range(0, len(chosen), block):
+        part = chosen[i : i + block]
+        lexicon = Lexicon([w for w, _ in part])
+        surveyed = cut(survey(documents, lexicon, word_of, min_words))
+        df, total = document_frequencies(surveyed, len(lexicon.ids))
+        model = fit(spark, [[lexicon.ids[w] for w in p] for p, _ in part], [x for _, x in part], df, total, answers, min_words)
+        sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            model = sent.value
+            m = sent.value
             for pdf in batches:
                 rows = []
-                for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    for p in exposed(model, t, min_words):
-                        have = set(words(t))
-                        rows += [(d, x, bool(model.answers[x]) and have.issuperset(model.answers[x])) for x in model.items[p]]
+                for d, region, have in zip(pdf["doc_id"], pdf["region"], pdf["said"], strict=True):
+                    for p in exposed(m, np.asarray(region, dtype=np.int64), min_words):
+                        rows += [(d, x, bool(m.answers[x]) and m.answers[x].issubset(have)) for x in m.items[p]]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "answered"])
 
-        out = out.unionByName(documents.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, answered boolean"))
+        stretches = surveyed.where("word = -2").select("doc_id", "region", "said")
+        n = stretches.count()
+        tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, n // per_task)))
+        # short rows, long work: a fixed number of tasks, not one by size
+        out = out.unionByName(stretches.repartition(tasks, F.xxhash64("doc_id", "region")).mapInPandas(run, "doc_id long, item_id long, answered boolean"))
     return out.distinct()

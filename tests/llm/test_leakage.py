@@ -75,7 +75,8 @@ def test_search_loses_nothing_against_a_scan(spark):
         by.setdefault(r.passage, []).append(r.item_id)
     texts = sorted(by)
     split = dict(zip(texts, leakage.passage_words(texts)))
-    vocab = {w: i for i, w in enumerate(sorted({w for p in split.values() for w in p}))}
+    lexicon = leakage.Lexicon(list(split.values()))
+    vocab = lexicon.ids
     runs = {}
     for t, p in split.items():
         ids = [vocab[w] for w in p]
@@ -83,7 +84,7 @@ def test_search_loses_nothing_against_a_scan(spark):
             runs.setdefault(tuple(ids[i : i + 5]), set()).add(t)
     want = set()
     for r in table(spark, d, "documents").select("doc_id", "text").collect():
-        ids = leakage.merged_ids(words(r.text), vocab).tolist()
+        ids = lexicon.read(words(r.text))
         near = {}
         for i in range(len(ids) - 4):
             for t in runs.get(tuple(ids[i : i + 5]), ()):
