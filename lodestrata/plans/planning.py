@@ -104,10 +104,10 @@ def next_ids(decisions: DataFrame) -> DataFrame:
 
 
 def label_collisions(idmap: DataFrame) -> DataFrame:
-    """ticket_id, record_ids (sorted) of labels that more than one record bears."""
+    """ticket_id, records, record_id: a row for each record of a label that more than one record bears."""
     pairs = idmap.select("ticket_id", "record_id").distinct()
     many = pairs.groupBy("ticket_id").agg(F.count("*").alias("records")).where("records > 1")
-    return pairs.join(many, "ticket_id").groupBy("ticket_id", "records").agg(F.array_join(F.sort_array(F.collect_list("record_id")), ",").alias("record_ids"))
+    return pairs.join(many, "ticket_id").select("ticket_id", "records", "record_id")
 
 
 def state_difference(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

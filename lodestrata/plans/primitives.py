@@ -71,19 +71,23 @@ def schema_profile(v: Vault, sort: str = "key", limit: int | None = None) -> Dat
 
 
 def meta(v: Vault, path: str) -> DataFrame:
-    """One nested row about one file: its stored columns, frontmatter, tags, outlinks, inlinks, headings. No row if unknown."""
+    """section, item (JSON) of everything about one file: file, frontmatter, tags, outlinks, inlinks, headings; no row if unknown.
+
+    A row per item instead of one nested row: a note may hold any share of all links.
+    """
     one = v.files.where(F.col("path") == path)
-    at = lambda df, key, fields, name: (
-        df.where(F.col(key) == path).groupBy(F.lit(path).alias("path")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-    )
+    part = lambda df, key, *fields: df.where(F.col(key) == path).join(one.select(F.col("path").alias(key)).distinct(), key, "left_semi").select(F.to_json(F.struct(*fields)).alias("item"))
     came = inlinks(one, v.links).select("path", "source_path").distinct()
-    out = one.withColumn("name", note_name(F.col("path"), any_case=False))
-    for part in (
-        at(v.frontmatter, "path", ("key", "type", "value_json"), "frontmatter"), at(v.tags, "path", ("tag",), "tags"),
-        at(v.links, "source_path", ("line", "target_path", "alias", "link_type"), "outlinks"), at(came, "path", ("source_path",), "inlinks"),
-        at(v.headings, "path", ("line_offset", "depth", "text"), "headings"),
-    ):
-        out = out.join(part, "path", "left")
+    parts = {
+        "file": one.withColumn("name", note_name(F.col("path"), any_case=False)).select(F.to_json(F.struct("name", *v.files.columns)).alias("item")),
+        "frontmatter": part(v.frontmatter, "path", "key", "type", "value_json"), "tags": part(v.tags, "path", "tag"),
+        "outlinks": part(v.links, "source_path", "line", "target_path", "alias", "link_type"), "inlinks": part(came, "path", "source_path"),
+        "headings": part(v.headings, "path", "line_offset", "depth", "text"),
+    }
+    out = None
+    for name, df in parts.items():
+        df = df.select(F.lit(name).alias("section"), "item")
+        out = df if out is None else out.unionByName(df)
     return out
 
 

@@ -50,17 +50,17 @@ def recency(mtime: Column, now: int) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.lit(now) - mtime) / 3600.0 / DECAY_HOURS))
 
 
-def centrality(v: Vault) -> DataFrame:
-    """path, centrality: distinct notes linking to it under its path or its path without .md."""
+def centrality(v: Vault, candidates: DataFrame) -> DataFrame:
+    """path, centrality: distinct notes linking to a candidate under its path or its path without .md."""
     spelled = F.explode(F.array_distinct(F.array(F.col("path"), F.regexp_replace("path", r"\.md$", "")))).alias("target_path")
-    forms = v.files.select("path").distinct().select("path", spelled)
-    edges = v.links.select("source_path", "target_path").distinct()
-    return edges.join(forms, "target_path").groupBy("path").agg(F.count_distinct("source_path").cast("double").alias("centrality"))
+    forms = candidates.select("path").distinct().select("path", spelled)
+    edges = v.links.select("source_path", "target_path").join(forms, "target_path").select("path", "source_path").distinct()
+    return edges.groupBy("path").agg(F.count("*").cast("double").alias("centrality"))
 
 
 def raw_signals(v: Vault, candidates: DataFrame, now: int, target: str | None) -> DataFrame:
     """candidates (path, distinct) with one column per signal."""
-    df = candidates.join(v.files.groupBy("path").agg(F.max("mtime").alias("mtime")), "path", "left").join(centrality(v), "path", "left")
+    df = candidates.join(v.files.groupBy("path").agg(F.max("mtime").alias("mtime")), "path", "left").join(centrality(v, candidates), "path", "left")
     if target is None:
         df = df.withColumns({n: F.lit(0.0) for n in SIGNALS[:3]})
     else:

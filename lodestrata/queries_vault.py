@@ -137,7 +137,7 @@ def prim_outlinks(spark: SparkSession, d: str) -> DataFrame:
 
 def prim_meta(spark: SparkSession, d: str) -> DataFrame:
     v = vault(spark, d)
-    return primitives.meta(v, busiest(v)).select("path", "name", *(F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}") for c in ("frontmatter", "tags", "outlinks", "inlinks", "headings")))
+    return primitives.meta(v, busiest(v)).groupBy("section").agg(F.count("*").alias("items"))
 
 
 def prim_meta_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -432,13 +432,13 @@ _LIVE = "lv AS (SELECT * FROM t WHERE deleted_at IS NULL)"
 _RESOLVED = f"SELECT DISTINCT f.path, l.target_path FROM f JOIN (SELECT DISTINCT target_path FROM links) l ON {_NAMES.format(p='f.path')}"
 _SIGNALS = f"""lo AS (SELECT b.source_path AS path, count(*)::DOUBLE AS v FROM links a JOIN links b USING (target_path), busy WHERE a.source_path = busy.b AND b.source_path <> busy.b GROUP BY 1),
 tg AS (SELECT y.path, count(*)::DOUBLE AS v FROM tags x JOIN tags y USING (tag), busy WHERE x.path = busy.b AND y.path <> busy.b GROUP BY 1),
-ce AS (SELECT f.path, count(DISTINCT source_path)::DOUBLE AS v FROM f JOIN links l ON l.target_path IN (f.path, regexp_replace(f.path, '\\.md$', '')) GROUP BY 1),
+ce AS (SELECT c.path, count(DISTINCT source_path)::DOUBLE AS v FROM cand c JOIN links l ON l.target_path IN (c.path, regexp_replace(c.path, '\\.md$', '')) GROUP BY 1),
 dirs AS (SELECT c.path, string_split(CASE WHEN c.path LIKE '%/%' THEN regexp_replace(c.path, '/[^/]*$', '') ELSE '.' END, '/') AS x, string_split(CASE WHEN busy.b LIKE '%/%' THEN regexp_replace(busy.b, '/[^/]*$', '') ELSE '.' END, '/') AS y FROM cand c, busy),
 pp AS (SELECT path, CASE WHEN x = y THEN 1.0 ELSE len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i]))::DOUBLE / greatest(len(x), len(y)) END AS v FROM dirs),
 sg AS (SELECT c.path, coalesce(lo.v, 0) AS link_overlap, coalesce(tg.v, 0) AS tag_overlap, pp.v AS path_proximity,
  coalesce(greatest(0, least(1, 1 - ({NOW_S} - f.mtime) / 3600.0::DOUBLE / 2160)), 0)::DOUBLE AS recency, coalesce(ce.v, 0) AS centrality
  FROM cand c LEFT JOIN f USING (path) LEFT JOIN lo USING (path) LEFT JOIN tg USING (path) LEFT JOIN pp USING (path) LEFT JOIN ce USING (path))"""
-_NONE_SIGNALS = f"""ce AS (SELECT f.path, count(DISTINCT source_path)::DOUBLE AS v FROM f JOIN links l ON l.target_path IN (f.path, regexp_replace(f.path, '\\.md$', '')) GROUP BY 1),
+_NONE_SIGNALS = f"""ce AS (SELECT c.path, count(DISTINCT source_path)::DOUBLE AS v FROM cand c JOIN links l ON l.target_path IN (c.path, regexp_replace(c.path, '\\.md$', '')) GROUP BY 1),
 sg AS (SELECT c.path, 0::DOUBLE AS link_overlap, 0::DOUBLE AS tag_overlap, 0::DOUBLE AS path_proximity, coalesce(greatest(0, least(1, 1 - ({NOW_S} - f.mtime) / 3600.0::DOUBLE / 2160)), 0)::DOUBLE AS recency, coalesce(ce.v, 0) AS centrality FROM cand c LEFT JOIN f USING (path) LEFT JOIN ce USING (path))"""
 
 
@@ -461,7 +461,7 @@ SQL: dict[str, str] = {
     "prim_backlinks": f"SELECT source_path, line, link_type FROM links WHERE source_path <> 'atlas/home.md' AND (target_path IN ('atlas/home.md', 'atlas/home', 'home') OR {_LOW.format('target_path')} LIKE 'atlas/home.md#%' OR {_LOW.format('target_path')} LIKE 'atlas/home#%' OR {_LOW.format('target_path')} LIKE 'home#%')",
     "prim_backlink_counts": f"WITH {_F} SELECT f.path, count(*) AS backlinks FROM f JOIN links l ON regexp_replace(target_path, '#.*$', '', 's') IN (f.path, regexp_replace(f.path, '\\.md$', ''), regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '')) WHERE l.source_path <> f.path GROUP BY 1",
     "prim_outlinks": f"WITH {_BUSY} SELECT target_path, alias, line, link_type FROM links, busy WHERE source_path = busy.b",
-    "prim_meta": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, {_BUSY} SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS name, (SELECT count(*) FROM fm WHERE fm.path = f.path)::INTEGER AS n_frontmatter, (SELECT count(*) FROM tags WHERE tags.path = f.path)::INTEGER AS n_tags, (SELECT count(*) FROM links WHERE source_path = f.path)::INTEGER AS n_outlinks, (SELECT count(DISTINCT source_path) FROM links l WHERE {_NAMES.format(p='f.path')})::INTEGER AS n_inlinks, (SELECT count(*) FROM heads WHERE heads.path = f.path)::INTEGER AS n_headings FROM f, busy WHERE path = busy.b",
+    "prim_meta": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, {_BUSY}, x AS (SELECT 'file' AS section FROM f, busy WHERE path = b UNION ALL SELECT 'frontmatter' FROM fm, busy WHERE path = b UNION ALL SELECT 'tags' FROM tags, busy WHERE path = b UNION ALL SELECT 'outlinks' FROM links, busy WHERE source_path = b UNION ALL SELECT 'inlinks' FROM (SELECT DISTINCT source_path FROM links l, busy WHERE {_NAMES.format(p='busy.b')}) UNION ALL SELECT 'headings' FROM heads, busy WHERE path = b) SELECT section, count(*) AS items FROM x WHERE EXISTS (SELECT 1 FROM f, busy WHERE path = b) GROUP BY 1",
     "prim_meta_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, r AS ({_RESOLVED}), i AS (SELECT r.path, count(DISTINCT source_path) AS n FROM r JOIN links l USING (target_path) GROUP BY 1) SELECT f.path, regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '') AS name, (SELECT count(*) FROM fm WHERE fm.path = f.path) AS n_keys, (SELECT count(*) FROM tags WHERE tags.path = f.path) AS n_tags, (SELECT count(*) FROM links WHERE source_path = f.path) AS n_outlinks, coalesce(i.n, 0) AS n_inlinks, (SELECT count(*) FROM heads WHERE heads.path = f.path) AS n_headings FROM f LEFT JOIN i USING (path)",
     "prim_schema": f"WITH {_FM} SELECT key, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS count FROM fm GROUP BY key",
     "prim_table_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS} SELECT 'files' AS relation, count(*) AS rows FROM f UNION ALL SELECT 'frontmatter', count(*) FROM fm UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'headings', count(*) FROM heads",
@@ -484,7 +484,7 @@ SQL: dict[str, str] = {
     "plan_labels": f"WITH {_LT}, {_LIVE}, {_ST} SELECT {_J.format('label')} AS label, count(*) AS tickets FROM state WHERE table_name = 'ticket_labels' AND deleted_at IS NULL AND {_J.format('ticket_record_id')} IN (SELECT record_id FROM lv) GROUP BY 1",
     "plan_dashboard": f"WITH {_LT}, {_LD} SELECT 'decisions' AS relation, type, status, count(*) AS count FROM dc GROUP BY ALL UNION ALL SELECT 'tickets', '', status, count(*) FROM t GROUP BY ALL",
     "plan_next_ids": "SELECT left(upper(trim(id)), 1) AS prefix, max(TRY_CAST(substr(upper(trim(id)), 3) AS BIGINT)) + 1 AS next_number FROM decisions GROUP BY 1",
-    "log_collisions": f"WITH {_ST}, {_IDS} SELECT ticket_id, count(DISTINCT record_id) AS records, string_agg(DISTINCT record_id, ',' ORDER BY record_id) AS record_ids FROM ids GROUP BY 1 HAVING count(DISTINCT record_id) > 1",
+    "log_collisions": f"WITH {_ST}, {_IDS}, n AS (SELECT ticket_id, count(DISTINCT record_id) AS records FROM ids GROUP BY 1) SELECT DISTINCT ticket_id, records, record_id FROM ids JOIN n USING (ticket_id) WHERE records > 1",
     "log_verify": f"WITH {_LT}, {_LIVE}, {_ST} SELECT lv.record_id, CASE WHEN s.row_key IS NULL THEN 'missing' ELSE 'changed' END AS problem FROM lv LEFT JOIN (SELECT * FROM state WHERE table_name = 'tickets' AND deleted_at IS NULL) s ON s.row_key = lv.record_id WHERE s.row_key IS NULL OR s.hash <> lv.hash",
     "log_replay": STATE + ", w AS (SELECT * FROM v WHERE log_file <> ''), a AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY table_name, row_key ORDER BY updated_at DESC, log_file DESC, line_no DESC) = 1), b AS (SELECT table_name, row_key, json_extract_string(row_json, '$.created_at') AS created_at FROM w QUALIFY row_number() OVER (PARTITION BY table_name, row_key ORDER BY log_file, line_no) = 1) SELECT table_name, row_key, updated_at, deleted_at, hash, created_at FROM a JOIN b USING (table_name, row_key)",
     "row_hashes": "SELECT id, updated_at, md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}, chr(0) || 'NULL' || chr(0))" for c in ("id", "type", "domain", "title", "status", "date", "deleted_at")) + ")) AS row_hash, array_to_string(list_transform(string_split(replace(status, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS shown FROM (SELECT DISTINCT * FROM decisions)",
