@@ -23,7 +23,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-BUCKETS, DIM, STEPS, RATE = 1 << 15, 24, 80, 0.05
-SMOOTHING, DAMPING, UNSEEN, STRAY, MAX_LABELLED, THRESHOLD, NEEDED = 4.0, 3.0, 0.5, 0.03, 20_000, 2.0, 2
+BUCKETS, DIM, STEPS, RATE, MUTE, DOCS_PER_TASK = 1 << 15, 24, 70, 0.05, 0.02, 1000
+SMOOTHING, DAMPING, UNSEEN, STRAY, MAX_LABELLED, THRESHOLD, NEEDED = 4.0, 3.0, 0.5, 0.03, 2_500, 1.5, 2
 
 _FRONT = re.compile(r"\A﻿?---\n.*?\n---[ \t]*\n", re.S)
 _FENCE = re.compile(r"^(```|~~~).*?^\1[`~]*[ \t]*$", re.S | re.M)
@@ -41,13 +40,13 @@ _WIKI = re.compile(r"!?\[\[[^\[\]]*\]\]")
 _TAG = re.compile(r"(?<!\w)#\w[\w/-]*")
 _HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.M)
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*\n|\n(?=\s*[-*|>#+])")
-_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _GARBLED = re.compile("Ã.|Â.|â€")
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Word lists of the sentences of a note's prose: no frontmatter, code, headings, link markup or hashtags; digits are 0."""
+    """Word lists of the sentences of a note's prose: no frontmatter, code, headings, link markup, hashtags or numbers."""
     if not text:
         return []
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -58,7 +57,7 @@ def sentences(text: str | None) -> list[list[str]]:
     text = _TAG.sub(" ", _HEADING.sub("\n", _WIKI.sub(" ", _FENCE.sub("\n\n", _FRONT.sub("", text)))))
     out = []
     for part in _BREAK.split(text):
-        words = ["0" if w.isdigit() else w for w in _TOKEN.findall(part.lower())]
+        words = _TOKEN.findall(part.lower())
         if words:
             out.append(words)
     return out
@@ -81,48 +80,50 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
 
 
-@dataclass
 class AreaModel:
-    areas: list[str]
-    words: dict[str, int]
-    weight: np.ndarray  # of each known word in a sentence's average
-    logits: np.ndarray  # words x areas: the word's vector through the outputs
-    bucket_logits: np.ndarray  # buckets x areas, for unseen words
-    bias: np.ndarray
-    unseen: dict[str, np.ndarray] = field(default_factory=dict)
+    """areas; words and their weights; their vectors through the outputs (words x areas); the same of the subword buckets; biases."""
+
+    def __init__(self, areas: list[str], words: dict[str, int], weight: np.ndarray, logits: np.ndarray, bucket_logits: np.ndarray, bias: np.ndarray) -> None:
+        self.areas, self.bucket_logits, self.bias = areas, bucket_logits, bias
+        keep = [(w, i) for w, i in words.items() if weight[i] >= MUTE]
+        self.known = {w: -1 for w, i in words.items() if weight[i] < MUTE} | {w: k for k, (w, _) in enumerate(keep)}
+        at = [i for _, i in keep]
+        self.weight, self.logits, self.size = weight[at], logits[at], len(keep)
+        self.table, self.reach = dict(self.known), self.size  # grows by words that training never saw
 
     def counts(self, texts: list[str | None], threshold: float = THRESHOLD) -> np.ndarray:
         """texts x areas: how many sentences go to each area."""
         out = np.zeros((len(texts), len(self.areas)), dtype=np.int64)
-        weights, values, starts, owner = [], [], [], []
+        tokens, starts, owner = [], [], []
         for k, t in enumerate(texts):
             for s in sentences(t):
-                starts.append(len(weights))
-                owner.append(k)
-                for w in s:
-                    at = self.words.get(w)
-                    if at is not None:
-                        weights.append(self.weight[at])
-                        values.append(self.logits[at])
-                    else:
-                        weights.append(UNSEEN)
-                        values.append(self._unseen(w))
-            if len(weights) > 400_000 or (k == len(texts) - 1 and starts):
-                w = np.asarray(weights)
-                total = np.add.reduceat(w[:, None] * np.asarray(values), starts, axis=0)
+                ids = [i for i in map(self._number, s) if i >= 0]
+                if ids:
+                    starts.append(len(tokens))
+                    owner.append(k)
+                    tokens += ids
+            if len(tokens) > 200_000 or (k == len(texts) - 1 and starts):
+                w = self.weight[tokens]
+                total = np.add.reduceat(w[:, None] * self.logits[tokens], starts, axis=0)
                 z = total / (np.add.reduceat(w, starts) + DAMPING)[:, None] + self.bias
                 best = z.argmax(axis=1)
                 good = z[np.arange(len(z)), best] > threshold
                 np.add.at(out, (np.asarray(owner)[good], best[good]), 1)
-                weights, values, starts, owner = [], [], [], []
+                tokens, starts, owner = [], [], []
+                if self.reach > self.size + 200_000:  # what a task remembers of unseen words is bounded
+                    self.table, self.reach = dict(self.known), self.size
         return out
 
-    def _unseen(self, word: str) -> np.ndarray:
-        got = self.unseen.get(word)
+    def _number(self, word: str) -> int:
+        got = self.table.get(word)
         if got is None:
-            if len(self.unseen) > 200_000:
-                self.unseen.clear()
-            got = self.unseen[word] = self.bucket_logits[subwords(word)].mean(axis=0)
+            if self.reach == len(self.weight):
+                more = max(1024, self.reach)
+                self.weight = np.concatenate([self.weight, np.full(more, UNSEEN)])
+                self.logits = np.concatenate([self.logits, np.zeros((more, len(self.areas)))])
+            got = self.table[word] = self.reach
+            self.logits[got] = self.bucket_logits[subwords(word)].mean(axis=0)
+            self.reach += 1
         return got
 
 
@@ -167,16 +168,16 @@ def informativeness(mass: np.ndarray) -> np.ndarray:
 
 
 def _pack(rows, words: dict[str, int]):  # noqa: ANN001, ANN202
-    """One partition as flat arrays: token ids, sentence starts, sentence's document, documents' shares."""
+    """One partition as flat arrays: token ids, sentence starts, sentence's document, documents' shares. words has those that weigh."""
     tokens, starts, owner, shares = [], [], [], []
     for text, y in rows:
-        any_here = False
         for s in sentences(text):
-            starts.append(len(tokens))
-            tokens += [words[w] for w in s]
-            owner.append(len(shares))
-            any_here = True
-        if any_here:
+            ids = [words[w] for w in s if w in words]
+            if ids:
+                starts.append(len(tokens))
+                tokens += ids
+                owner.append(len(shares))
+        if owner and owner[-1] == len(shares):
             shares.append(y)
     if shares:
         yield np.asarray(tokens), np.asarray(starts), np.asarray(owner), np.asarray(shares, dtype=float)
@@ -228,8 +229,9 @@ def train(documents: DataFrame, labels: DataFrame, areas: list[str], max_labelle
         return None
     words, weight = {w: i for i, w in enumerate(names)}, informativeness(mass)
     sc = documents.sparkSession.sparkContext
-    known = sc.broadcast(words)
-    packed = rows.select("text", "shares").rdd.map(tuple).coalesce(sc.defaultParallelism).mapPartitions(lambda it: _pack(it, known.value)).persist()
+    known = sc.broadcast({w: i for w, i in words.items() if weight[i] >= MUTE})
+    n = max(1, rows.count())
+    packed = rows.select("text", "shares").rdd.map(tuple).coalesce(-(-n // DOCS_PER_TASK)).mapPartitions(lambda it: _pack(it, known.value)).persist()
 
     def gradient(*state: np.ndarray) -> list[np.ndarray]:
         sent = sc.broadcast(state)
@@ -237,7 +239,7 @@ def train(documents: DataFrame, labels: DataFrame, areas: list[str], max_labelle
         sent.destroy()
         return total
 
-    params, vectors = descend(gradient, names, weight, len(areas), max(1, rows.count()), steps, seed)
+    params, vectors = descend(gradient, names, weight, len(areas), n, steps, seed)
     packed.unpersist()
     return AreaModel(areas, words, weight, vectors @ params[1], params[0] @ params[1], params[2])
 
