@@ -232,7 +232,12 @@ def least_run(min_words: int, per_edit: int, longest: int) -> int:
 
 
 def quotes(passage: list[int], region: np.ndarray, min_words: int = MIN_WORDS, per_edit: int = PER_EDIT) -> bool:
-    """Whether region holds a case of passage. best[e][j]: most passage words of an alignment ending here with e edits."""
+    """Whether region holds a case of passage: min_words in a row, or an alignment.
+
+    best[e][j] is the most passage words of an alignment that ends at word j of region with e edits.
+    """
+    if not runs_of(passage, min_words).isdisjoint(runs_of(region.tolist(), min_words)):
+        return True
     top, n = len(passage) // per_edit, len(region)
     dead = -10_000
     before = np.full((top + 1, n + 1), dead)
