@@ -220,7 +220,8 @@ class Compiler:
     def _in(self, n: Node) -> Expr:
         probe, right = n.args
         if right.kind == "ref" and len(right.value) == 1 and right.value[0] in _ARRAYS:
-            hit = self._member(self.expr(probe), right.value[0])
+            only = probe.value if probe.kind == "literal" and probe.args[0] == "text" else None
+            hit = self._member(self.expr(probe), right.value[0], only)
         elif right.kind == "tuple":
             a = self.expr(probe)
             hit = None
@@ -233,13 +234,15 @@ class Compiler:
             raise EvalError("unknown_expr", "IN needs a list of two or more, or tags, outlinks, inlinks or headings", n.line, n.col)
         return Expr((~hit if n.value else hit).cast("bigint"), "int")
 
-    def _member(self, probe: Expr, array: str) -> Column:
+    def _member(self, probe: Expr, array: str, only: str | None) -> Column:
+        """A mark column; `only` is the probe's text if it is a literal, then the relation is filtered before anything else."""
         v = self.vault
+        keep = lambda df, member: df if only is None else df.where(F.col(member) == only)
         pairs = {
-            "tags": lambda: v.tags.select("path", F.col("tag").alias("member")),
-            "outlinks": lambda: v.links.select(F.col("source_path").alias("path"), F.col("target_path").alias("member")),
-            "headings": lambda: v.headings.select("path", F.col("text").alias("member")),
-            "inlinks": lambda: link_plans.inlinks(v.files, v.links).select("path", F.col("source_path").alias("member")),
+            "tags": lambda: keep(v.tags, "tag").select("path", F.col("tag").alias("member")),
+            "outlinks": lambda: keep(v.links, "target_path").select(F.col("source_path").alias("path"), F.col("target_path").alias("member")),
+            "headings": lambda: keep(v.headings, "text").select("path", F.col("text").alias("member")),
+            "inlinks": lambda: link_plans.inlinks(v.files, keep(v.links, "source_path")).select("path", F.col("source_path").alias("member")),
         }[array]()
         mark = f"_in{len(self.marks)}"
         self.marks.append((mark, self.text(probe), pairs.distinct()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sqlite import glob_regex, like
 from ..vault import Vault, base_name, note_name
-from .links import inlinks
+from .links import inlinks, resolved
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
@@ -92,11 +92,15 @@ def meta(v: Vault, path: str) -> DataFrame:
 
 
 def meta_counts(v: Vault) -> DataFrame:
-    """path, name, n_keys, n_tags, n_outlinks, n_inlinks, n_headings of every file: meta over the whole vault."""
+    """path, name, n_keys, n_tags, n_outlinks, n_inlinks, n_headings of every file: meta over the whole vault.
+
+    n_inlinks counts links (a bag): they are counted by target first, as a base name may be shared by many files and links.
+    """
     count = lambda df, key, name: df.groupBy(F.col(key).alias("path")).agg(F.count("*").alias(name))
     out = v.files.select("path", note_name(F.col("path"), any_case=False).alias("name"))
-    came = inlinks(v.files, v.links.groupBy("source_path", "target_path").agg(F.lit(1).alias("_one"))).distinct()
-    for part in (count(v.frontmatter, "path", "n_keys"), count(v.tags, "path", "n_tags"), count(v.links, "source_path", "n_outlinks"), count(came, "path", "n_inlinks"), count(v.headings, "path", "n_headings")):
+    by_target = v.links.groupBy("target_path").agg(F.count("*").alias("n"))
+    came = resolved(v.files, by_target).join(by_target, "target_path").groupBy("path").agg(F.sum("n").alias("n_inlinks"))
+    for part in (count(v.frontmatter, "path", "n_keys"), count(v.tags, "path", "n_tags"), count(v.links, "source_path", "n_outlinks"), came, count(v.headings, "path", "n_headings")):
         out = out.join(part, "path", "left")
     return out.fillna(0, ["n_keys", "n_tags", "n_outlinks", "n_inlinks", "n_headings"])
 

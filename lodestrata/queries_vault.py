@@ -462,7 +462,7 @@ SQL: dict[str, str] = {
     "prim_backlink_counts": f"WITH {_F} SELECT f.path, count(*) AS backlinks FROM f JOIN links l ON regexp_replace(target_path, '#.*$', '', 's') IN (f.path, regexp_replace(f.path, '\\.md$', ''), regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '')) WHERE l.source_path <> f.path GROUP BY 1",
     "prim_outlinks": f"WITH {_BUSY} SELECT target_path, alias, line, link_type FROM links, busy WHERE source_path = busy.b",
     "prim_meta": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, {_BUSY}, x AS (SELECT 'file' AS section FROM f, busy WHERE path = b UNION ALL SELECT 'frontmatter' FROM fm, busy WHERE path = b UNION ALL SELECT 'tags' FROM tags, busy WHERE path = b UNION ALL SELECT 'outlinks' FROM links, busy WHERE source_path = b UNION ALL SELECT 'inlinks' FROM (SELECT DISTINCT source_path FROM links l, busy WHERE {_NAMES.format(p='busy.b')}) UNION ALL SELECT 'headings' FROM heads, busy WHERE path = b) SELECT section, count(*) AS items FROM x WHERE EXISTS (SELECT 1 FROM f, busy WHERE path = b) GROUP BY 1",
-    "prim_meta_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, r AS ({_RESOLVED}), i AS (SELECT r.path, count(DISTINCT source_path) AS n FROM r JOIN links l USING (target_path) GROUP BY 1) SELECT f.path, regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '') AS name, (SELECT count(*) FROM fm WHERE fm.path = f.path) AS n_keys, (SELECT count(*) FROM tags WHERE tags.path = f.path) AS n_tags, (SELECT count(*) FROM links WHERE source_path = f.path) AS n_outlinks, coalesce(i.n, 0) AS n_inlinks, (SELECT count(*) FROM heads WHERE heads.path = f.path) AS n_headings FROM f LEFT JOIN i USING (path)",
+    "prim_meta_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, r AS ({_RESOLVED}), i AS (SELECT r.path, count(*) AS n FROM r JOIN links l USING (target_path) GROUP BY 1) SELECT f.path, regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '') AS name, (SELECT count(*) FROM fm WHERE fm.path = f.path) AS n_keys, (SELECT count(*) FROM tags WHERE tags.path = f.path) AS n_tags, (SELECT count(*) FROM links WHERE source_path = f.path) AS n_outlinks, coalesce(i.n, 0) AS n_inlinks, (SELECT count(*) FROM heads WHERE heads.path = f.path) AS n_headings FROM f LEFT JOIN i USING (path)",
     "prim_schema": f"WITH {_FM} SELECT key, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS count FROM fm GROUP BY key",
     "prim_table_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS} SELECT 'files' AS relation, count(*) AS rows FROM f UNION ALL SELECT 'frontmatter', count(*) FROM fm UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'headings', count(*) FROM heads",
     "base_view_query": f"WITH {_F}, {_FM}, {_TAGS} SELECT path, CASE s.type WHEN 'string' THEN s.value_text ELSE s.value_json END AS status FROM f LEFT JOIN (SELECT * FROM fm WHERE key = 'status') s USING (path) {_fm('type')} WHERE ({_TEXT_OF}) = 'project' AND size > 500 AND path IN (SELECT path FROM tags WHERE tag = 'depot')",
