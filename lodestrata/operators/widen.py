@@ -18,19 +18,20 @@ from pyspark.sql import types as T
 _BOOLS = ("true", "yes", "on"), ("false", "no", "off")
 
 
+_BLANKS = " \t\n\x0b\f\r"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def fold_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(trimmed(c)), r"[-\s]", "_")
+    return F.translate(F.lower(trimmed(c)), f"-{_BLANKS}", "_" * (1 + len(_BLANKS)))
 
 
-def typed_cell(value_json: Column, col_type: Column) -> Column:
-    """The cell's text, or null where the value does not fit the type."""
-    v = trimmed(value_json)
+def typed_cell(v: Column, text: Column, col_type: Column) -> Column:
+    """The cell's text, or null where the value does not fit the type. v is the trimmed JSON, text what it holds if a scalar."""
     is_text, is_list, is_number = v.startswith('"'), v.startswith("["), v.rlike(r"^-?\d")
-    text = F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")
     number = F.when(is_number, text).when(is_text & trimmed(text).rlike(r"^[+-]?\d+(\.\d+)?$"), trimmed(text)).try_cast("double")
     low = F.lower(trimmed(text))
     flag = F.when(is_number, F.when(text.try_cast("double") == 1, "true").when(text.try_cast("double") == 0, "false")).when(
@@ -72,7 +73,10 @@ def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, entities_per_task: i
     slots = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(spec)], "_k string, _slot int, _type string")
     rows = frontmatter.where("path IS NOT NULL").select("path", "key", "value_json", fold_key(F.col("key")).alias("_k"))
     cells = rows.join(F.broadcast(slots), "_k", "left")  # as many rows as the table has columns
-    cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("value_json"), F.col("_type")).alias("cell"))
+    # each step is a projection of its own, so that a value is trimmed and read once however often its cell looks at it
+    cells = cells.select("path", "key", "_k", "_slot", "_type", F.when(F.col("_slot").isNotNull(), trimmed(F.col("value_json"))).alias("_v"))
+    cells = cells.withColumn("_text", F.get_json_object(F.concat(F.lit('{"v":'), "_v", F.lit("}")), "$.v"))
+    cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("_v"), F.col("_text"), F.col("_type")).alias("cell"))
     slot = F.when(F.col("cell").isNotNull(), F.col("_slot")).otherwise(-1)
     spelled = F.concat(F.when(F.col("key") == F.col("_k"), "0").otherwise("1"), F.coalesce("key", F.lit("")))
     pairs = cells.select("path", F.coalesce(slot, F.lit(-1)).alias("slot"), spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
