@@ -12,12 +12,12 @@ class QueryError(Exception):
 
 
 class LexError(QueryError):
-    stage = "pql.lex"
+    stage = "lex"
 
 
 class ParseError(QueryError):
-    stage = "pql.parse"
+    stage = "parse"
 
 
 class EvalError(QueryError):
-    stage = "pql.eval"
+    stage = "eval"

@@ -126,19 +126,19 @@ def test_star_derived_columns_and_projected_types(small_vault):
 @pytest.mark.parametrize(
     ("text", "code"),
     [
-        ("path", "pql.parse.expected_select"), ("SELECT path FROM 'x'", "pql.parse.expected_from_table"), ("SELECT path FROM notes", "pql.eval.unsupported_from"),
-        ("SELECT path ORDER path", "pql.parse.expected_by_after_order"), ("SELECT path AS 1", "pql.parse.expected_alias"),
-        ("SELECT path ORDER BY path NULLS 1", "pql.parse.expected_nulls_first_or_last"), ("SELECT path LIMIT x", "pql.parse.expected_limit_int"),
-        ("SELECT path LIMIT 1 OFFSET x", "pql.parse.expected_offset_int"), ("SELECT path WHERE size BETWEEN 1 OR 2", "pql.parse.expected_and_in_between"),
-        ("SELECT path WHERE size IS 1", "pql.parse.expected_null_after_is"), ("SELECT path WHERE a = b = c", "pql.parse.unexpected_trailing"),
-        ("SELECT path WHERE NOT NOT size", "pql.parse.unexpected_token"), ("SELECT path WHERE path NOT LIKE 'a'", "pql.parse.unexpected_trailing"),
-        ("SELECT CAST(size)", "pql.parse.unexpected_token"), ("SELECT fm[1]", "pql.parse.expected_string_in_bracket"), ("SELECT fm['a'", "pql.parse.expected_rbracket"),
-        ("SELECT fm.", "pql.parse.expected_ident_after_dot"), ("SELECT length(path", "pql.parse.expected_rparen_in_call"), ("SELECT (1", "pql.parse.expected_comma_or_rparen"),
-        ("SELECT (1, 2", "pql.parse.expected_rparen_in_tuple"), ("SELECT 'x", "pql.lex.unterminated_string"), ('SELECT "x', "pql.lex.unterminated_quoted_ident"),
-        ("SELECT /* x", "pql.lex.unterminated_block_comment"), ("SELECT ;", "pql.lex.unexpected_char"), ("SELECT tags", "pql.eval.bare_array_ref"), ("SELECT fm", "pql.eval.bare_fm"),
-        ("SELECT fm.a.b", "pql.eval.bad_fm_access"), ("SELECT nope", "pql.eval.unknown_column"), ("SELECT a.b", "pql.eval.unsupported_ref"), ("SELECT contains(path)", "pql.eval.unknown_function"),
-        ("SELECT path WHERE path IN ('a')", "pql.eval.unknown_expr"), ("SELECT path WHERE path REGEXP 'a'", "pql.eval.unknown_function"),
-        ("SELECT path WHERE max(size) = 1", "pql.eval.misused_aggregate"),
+        ("path", "parse.expected_select"), ("SELECT path FROM 'x'", "parse.expected_from_table"), ("SELECT path FROM notes", "eval.unsupported_from"),
+        ("SELECT path ORDER path", "parse.expected_by_after_order"), ("SELECT path AS 1", "parse.expected_alias"),
+        ("SELECT path ORDER BY path NULLS 1", "parse.expected_nulls_first_or_last"), ("SELECT path LIMIT x", "parse.expected_limit_int"),
+        ("SELECT path LIMIT 1 OFFSET x", "parse.expected_offset_int"), ("SELECT path WHERE size BETWEEN 1 OR 2", "parse.expected_and_in_between"),
+        ("SELECT path WHERE size IS 1", "parse.expected_null_after_is"), ("SELECT path WHERE a = b = c", "parse.unexpected_trailing"),
+        ("SELECT path WHERE NOT NOT size", "parse.unexpected_token"), ("SELECT path WHERE path NOT LIKE 'a'", "parse.unexpected_trailing"),
+        ("SELECT CAST(size)", "parse.unexpected_token"), ("SELECT fm[1]", "parse.expected_string_in_bracket"), ("SELECT fm['a'", "parse.expected_rbracket"),
+        ("SELECT fm.", "parse.expected_ident_after_dot"), ("SELECT length(path", "parse.expected_rparen_in_call"), ("SELECT (1", "parse.expected_comma_or_rparen"),
+        ("SELECT (1, 2", "parse.expected_rparen_in_tuple"), ("SELECT 'x", "lex.unterminated_string"), ('SELECT "x', "lex.unterminated_quoted_ident"),
+        ("SELECT /* x", "lex.unterminated_block_comment"), ("SELECT ;", "lex.unexpected_char"), ("SELECT tags", "eval.bare_array_ref"), ("SELECT fm", "eval.bare_fm"),
+        ("SELECT fm.a.b", "eval.bad_fm_access"), ("SELECT nope", "eval.unknown_column"), ("SELECT a.b", "eval.unsupported_ref"), ("SELECT contains(path)", "eval.unknown_function"),
+        ("SELECT path WHERE path IN ('a')", "eval.unknown_expr"), ("SELECT path WHERE path REGEXP 'a'", "eval.unknown_function"),
+        ("SELECT path WHERE max(size) = 1", "eval.misused_aggregate"),
     ],
 )
 def test_error_codes(small_vault, text, code):
