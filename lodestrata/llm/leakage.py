@@ -1,31 +1,28 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Latent semantic retrieval. Passages become TF-IDF vectors whose document frequencies are counted over the whole corpus; a
-distributed randomised SVD of the passage matrix gives the latent space; windows of every document are folded into it and
-compared by cosine with the passages; what the search returns is decided by longest common subsequence and an alignment.
+Latent semantic retrieval. Distinct passages are the rows of a TF-IDF matrix, whose weights come from all passages; a
+distributed randomised SVD, cut at `rank`, gives the latent space. Every window of `min_words` words of every document is
+folded into it, and the windows whose cosine with a passage reaches that passage's floor are its candidates; nothing else is looked
+at. Candidates are decided by longest common subsequence and alignment; what is no quotation may be a paraphrase, which
+the answer decides.
 
-What the search returns must have a common subsequence of the least length and a run of words that every case has (five words
-in a row at the usual numbers) before it is aligned.
+The search. A window's latent vector is the sum of its words' latent weights, its length that of its TF-IDF vector, where a
+word of no passage weighs as much as the rarest one. A passage's floor is `floor` times the least cosine that any unchanged min_words
+of its words in a row have with it; recall is measured against an alignment of every document with every passage (README).
+Windows are compared in blocks. Most are ruled out before by a bound that loses none: a word's share of the cosine over
+the floor, at its best passage, summed over the window, must reach the window's length.
 
-The search loses nothing, by construction: the SVD keeps the full rank of a block of passages, so a window's inner products
-with passages are unchanged while its norm can only shrink, and its latent cosine is at least its TF-IDF cosine. The
-threshold of a passage is the smallest TF-IDF cosine that any `min_words` of its words in a row can still have after two
-edits, computed from the passage. Before the search a window must hold at least min_words - 2 words of the passages' vocabulary
-within min_words + 1 words, which a case does too.
-
-One pass over the corpus reads every text whole and yields both the document frequencies and the stretches dense enough in
-passage words to hold a case; search, subsequence and alignment then run on those stretches alone. The test set is fixed and
-small; it is worked off in blocks of at most `block` distinct passages, whose vocabulary and latent basis (rank <= block) are
-what is sent to executors.
+One pass over the corpus reads, normalises and searches every text whole; only its cases leave the task. The test set is a
+fixed, small table: its vocabulary, latent vectors and floors are what is sent to executors.
 
 A case: at least min_words consecutive passage words in their order, beginning and ending with a matching word, with edits
 (changed, dropped or inserted words) on at most one word in `per_edit`. A first sentence that `intro_share` distinct passages or more have in
-common counts for none. Null or empty texts and passages give no case; items with equal passages are each a case.
+common counts for none. Null or empty texts and passages give no case; items with equal passages are each a case; a text
+shorter than a window is compared as if unknown words surrounded it.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,10 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut
 from .normal import words
 
-INTRO_SHARE, MIN_WORDS, PER_EDIT, BLOCK = 5, 12, 8, 512
+INTRO_SHARE, MIN_WORDS, PER_EDIT = 5, 12, 8
+RANK, FLOOR, SURE, BLOCK, TOKENS = 96, 0.5, 0.8, 8192, 200_000
+REPORT = "doc_id long, item_id long, kind string, cosine double, common int, answered boolean"
 
 
 class Lexicon:
@@ -69,16 +67,23 @@ class Lexicon:
 
 @dataclass
 class Latent:
-    """What executors need: each word's latent weight, the passages' latent unit vectors, thresholds and words, their items."""
+    """What executors need. Per word (the last entry stands for unknown ones): latent weight, squared TF-IDF weight, best share of a floor.
+
+    Per passage: latent unit vector, least cosine of an unchanged window, floor of the search, words, runs of words, items.
+    """
 
+    lexicon: Lexicon
     weight: np.ndarray
+    square: np.ndarray
+    reach: np.ndarray
     units: np.ndarray
+    clean: np.ndarray
     floors: np.ndarray
     passages: list[list[int]]
-    items: list[list[int]]
-    answers: dict[int, set[int]]
     run: int
     runs: list[set[tuple[int, ...]]]
+    items: list[list[int]]
+    answers: dict[int, set[str]]
 
 
 # --- passages ------------------------------------------------------------------------------------------------------
@@ -91,50 +96,6 @@ def passage_words(passages: list[str]) -> list[list[str]]:
     return [words(s[1] if len(s) > 1 else "") if shared[tuple(words(s[0]))] >= INTRO_SHARE else words(p) for s, p in zip(split, passages, strict=True)]
 
 
-_SURVEY = "word long, n long, doc_id long, region array<int>, said array<int>"
-
-
-def survey(documents: DataFrame, lexicon: Lexicon, answers: dict[str, int], min_words: int) -> DataFrame:
-    """One row per vocabulary word and task with its documents (word -1: all documents), and one per dense stretch of a text.
-
-    A stretch carries the ids of its words and which answer words its document holds.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, n = np.zeros(len(lexicon.ids), dtype=np.int64), 0
-        for pdf in batches:
-            rows = []
-            n += len(pdf)
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                got = words(t)
-                ids = lexicon.read(got)
-                known = set(ids)
-                known.discard(-1)
-                counts[list(known)] += 1
-                if len(known) > 1:
-                    flat = np.asarray(ids)
-                    spans = dense_regions(flat, min_words)
-                    said = sorted({answers[w] for w in got if w in answers}) if spans else []
-                    rows += [(-2, 0, d, flat[a:b].tolist(), said) for a, b in spans]
-            if rows:
-                yield pd.DataFrame(rows, columns=["word", "n", "doc_id", "region", "said"])
-        at = np.flatnonzero(counts).tolist()
-        yield pd.DataFrame({"word": [*at, -1], "n": [*counts[at].tolist(), n], "doc_id": None, "region": None, "said": None})
-
-    return documents.select("doc_id", "text").mapInPandas(run, _SURVEY)
-
-
-def document_frequencies(surveyed: DataFrame, n_words: int) -> tuple[np.ndarray, int]:
-    """In how many of all documents each vocabulary word occurs; the number of documents."""
-    df, total = np.zeros(n_words), 0
-    for r in surveyed.where("word >= -1").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one per vocabulary word
-        if r["word"] < 0:
-            total = r["n"]
-        else:
-            df[r["word"]] = r["n"]
-    return df, total
-
-
 def randomised_svd(spark: SparkSession, rows: list[list[int]], idf: np.ndarray, rank: int, power: int = 2, seed: int = 11) -> np.ndarray:
     """Right singular vectors (words x rank) of the passages' TF-IDF matrix; rows live in Spark, products are summed there.
 
@@ -169,43 +130,73 @@ def _tfidf(ids: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n * idf[at]
 
 
-def recall_floors(passages: list[list[int]], idf: np.ndarray, min_words: int) -> np.ndarray:
-    """The least TF-IDF cosine of each passage with min_words of its words in a row after two edits (its two heaviest words replaced)."""
-    out, worst = [], float(idf.max(initial=0)) ** 2
+def inverse_frequencies(passages: list[list[int]], n_words: int) -> np.ndarray:
+    """A word's weight by the number of passages that hold it."""
+    df = np.zeros(n_words)
     for ids in passages:
-        least = 1.0
-        at, w = _tfidf(ids, idf)
-        own = dict(zip(at.tolist(), w.tolist(), strict=True))
-        norm = math.sqrt(sum(x * x for x in own.values())) or 1.0
-        for i in range(len(ids) - min_words + 1):
-            kept = sorted(ids[i : i + min_words], key=lambda t: own[t] * idf[t])[:-2]
-            vector = Counter(kept)
-            dot = sum(n * idf[t] * own[t] for t, n in vector.items())
-            length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in vector.items()) + 4 * worst)
-            least = min(least, dot / (length * norm) if length else 0.0)
-        out.append(max(0.0, least - 1e-6))
-    return np.asarray(out)
+        df[list(set(ids))] += 1
+    return np.log((len(passages) + 1) / (df + 1)) + 1e-3
+
+
+def clean_cosines(passages: list[list[int]], share: np.ndarray, idf: np.ndarray, min_words: int) -> np.ndarray:
+    """Per passage the least cosine with it of any min_words of its words in a row, as the search computes it."""
+    out = []
+    for p, ids in enumerate(passages):
+        dot, square = (np.concatenate([[0], np.cumsum(x)]) for x in (share[ids, p], idf[ids] ** 2))
+        out.append(((dot[min_words:] - dot[:-min_words]) / np.sqrt(square[min_words:] - square[:-min_words])).min())
+    return np.maximum(out, 1e-3)
+
+
+def fit(spark: SparkSession, lexicon: Lexicon, passages: list[list[int]], items: list[list[int]], answers: dict[int, set[str]], min_words: int, rank: int, floor: float) -> Latent:
+    idf = inverse_frequencies(passages, len(lexicon.ids))
+    basis = randomised_svd(spark, passages, idf, min(rank, len(passages)))
+    weight = idf[:, None] * basis
+    units = np.stack([w @ basis[at] for at, w in (_tfidf(ids, idf) for ids in passages)])
+    units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
+    share = weight @ units.T
+    clean = clean_cosines(passages, share, idf, min_words)
+    floors = floor * clean
+    run = least_run(min_words, PER_EDIT, max(map(len, passages)))
+    return Latent(
+        lexicon, np.vstack([weight, np.zeros(weight.shape[1])]).astype(np.float32), np.append(idf**2, idf.max() ** 2),
+        np.append((share / floors).max(axis=1).clip(0), 0), units.astype(np.float32), clean, floors, passages, run, [runs_of(p, run) for p in passages], items, answers,
+    )
 
 
 # --- documents -----------------------------------------------------------------------------------------------------
 
 
-def dense_regions(ids: np.ndarray, min_words: int, margin: int = 4) -> list[tuple[int, int]]:
-    """Stretches around windows of min_words + 1 words of which at least min_words - 2 belong to the vocabulary."""
-    known = np.zeros(len(ids) + 1, dtype=np.int64)
-    np.cumsum(ids >= 0, out=known[1:])
-    if known[-1] < min_words - 2:
-        return []
-    width = min(min_words + 1, len(ids))
-    good = np.flatnonzero(known[width:] - known[:-width] >= min_words - 2)
-    out: list[tuple[int, int]] = []
-    for g in good.tolist():
-        a, b = max(0, g - margin), min(len(ids), g + width + margin)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def latent_search(model: Latent, texts: list[np.ndarray], min_words: int) -> Iterator[tuple[int, int, np.ndarray, float]]:
+    """text, passage, the starts of the text's windows that reach the passage's floor, and the best cosine; by text."""
+    gap = np.full(min_words, -1)
+    flat = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+    starts = np.cumsum([min_words, *(len(t) + min_words for t in texts[:-1])])
+    bound, square = (np.concatenate([[0], np.cumsum(x[flat])]) for x in (model.reach, model.square))
+    length = np.sqrt(square[min_words:] - square[:-min_words])
+    at = np.flatnonzero(bound[min_words:] - bound[:-min_words] >= length * (1 - 1e-6))
+    found = []
+    for a in range(0, len(at), BLOCK):
+        some = at[a : a + BLOCK]
+        vector = sum(model.weight[flat[some + k]] for k in range(min_words))
+        cosine = (vector @ model.units.T) / length[some, None]
+        w, p = np.nonzero(cosine >= model.floors)
+        found.append((some[w], p, cosine[w, p]))
+    if not found:
+        return
+    at, p, cosine = map(np.concatenate, zip(*found, strict=True))
+    text = np.searchsorted(starts, at + min_words - 1, "right") - 1
+    order = np.lexsort((at, p, text))
+    at, p, cosine, text = at[order], p[order], cosine[order], text[order]
+    first = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(p) != 0)))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        yield int(text[a]), int(p[a]), at[a:b] - starts[text[a]], float(cosine[a:b].max())
+
+
+def stretches(windows: np.ndarray, passage: int, min_words: int) -> list[tuple[int, int]]:
+    """Where a case that shows in these windows can lie: each with a whole passage's words on both sides, joined where they meet."""
+    margin = passage + passage // PER_EDIT + 1
+    cuts = np.flatnonzero(np.diff(windows) > 2 * margin + min_words) + 1
+    return [(max(0, int(w[0]) - margin), int(w[-1]) + min_words + margin) for w in np.split(windows, cuts)]
 
 
 def lcs_length(a: list[int], b: np.ndarray) -> int:
@@ -234,93 +225,100 @@ def least_run(min_words: int, per_edit: int, longest: int) -> int:
 def quotes(passage: list[int], region: np.ndarray, min_words: int = MIN_WORDS, per_edit: int = PER_EDIT) -> bool:
     """Whether region holds a case of passage: min_words in a row, or an alignment.
 
-    best[e][j] is the most passage words of an alignment that ends at word j of region with e edits.
+    best[e, j] is the most passage words of an alignment that ends at word j of region with e edits.
     """
     if not runs_of(passage, min_words).isdisjoint(runs_of(region.tolist(), min_words)):
         return True
     top, n = len(passage) // per_edit, len(region)
     dead = -10_000
-    before = np.full((top + 1, n + 1), dead)
+    wanted = np.maximum(min_words, per_edit * np.arange(top + 1))[:, None]
+    before = np.full((top + 1, n + 1), dead, dtype=np.int32)
+    masks = {w: region == w for w in set(passage)}
     for word in passage:
-        row = np.full((top + 1, n + 1), dead)
-        same = np.concatenate([[False], region == word])
-        for e in range(top + 1):
-            shifted = np.concatenate([[dead], before[e, :-1]])
-            best = np.where(same, np.maximum(shifted, 0 if e == 0 else dead) + 1, dead)
-            if (best[same] >= max(min_words, per_edit * e)).any():
-                return True
-            if e:
-                changed = np.concatenate([[dead], before[e - 1, :-1]]) + 1
-                inserted = np.concatenate([[dead], row[e - 1, :-1]])
-                best = np.maximum(best, np.maximum(np.maximum(changed, before[e - 1] + 1), inserted))
-            row[e] = best
+        row = np.full_like(before, dead)
+        same = masks[word]
+        matched = before[:, :-1].copy()
+        np.maximum(matched[0], 0, out=matched[0])
+        matched = np.where(same, matched + 1, dead)
+        if (matched >= wanted).any():
+            return True
+        row[:, 1:] = matched
+        np.maximum(row[1:, 1:], before[:-1, :-1] + 1, out=row[1:, 1:])  # a changed word
+        np.maximum(row[1:], before[:-1] + 1, out=row[1:])  # a dropped one
+        for e in range(1, top + 1):  # an inserted one
+            np.maximum(row[e, 1:], row[e - 1, :-1], out=row[e, 1:])
         before = row
     return False
 
 
-def exposed(model: Latent, region: np.ndarray, min_words: int = MIN_WORDS) -> set[int]:
-    """Numbers of the passages that a stretch of a text exposes."""
-    found: set[int] = set()
-    sums = np.zeros((len(region) + 1, model.weight.shape[1]))
-    sums[1:] = np.cumsum(np.where(region[:, None] >= 0, model.weight[region], 0), axis=0)
-    width = min(min_words, len(region))
-    windows = sums[width:] - sums[:-width]
-    norms = np.linalg.norm(windows, axis=1, keepdims=True)
-    cosine = (windows @ model.units.T) / np.where(norms > 0, norms, 1)
-    runs = runs_of(region.tolist(), model.run)
-    for p in np.flatnonzero((cosine >= model.floors).any(axis=0)).tolist():
-        passage = model.passages[p]
-        if not model.runs[p].isdisjoint(runs) and lcs_length(passage, region) >= min_words - min_words // PER_EDIT and quotes(passage, region, min_words):
-            found.add(p)
-    return found
-
-
-def fit(spark: SparkSession, passages: list[list[int]], items: list[list[int]], df: np.ndarray, total: int, answers: dict[int, set[int]], min_words: int) -> Latent:
-    idf = np.log((total + 1) / (df + 1)) + 1e-3
-    basis = randomised_svd(spark, passages, idf, len(passages))
-    units = np.zeros((len(passages), basis.shape[1]))
-    for i, ids in enumerate(passages):
-        at, w = _tfidf(ids, idf)
-        units[i] = w @ basis[at]
-    units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
-    run = least_run(min_words, PER_EDIT, max(map(len, passages)))
-    return Latent(idf[:, None] * basis, units, recall_floors(passages, idf, min_words), passages, items, answers, run, [runs_of(p, run) for p in passages])
+def judge(model: Latent, ids: np.ndarray, passage: int, windows: np.ndarray, cosine: float, min_words: int) -> tuple[str, int]:
+    """"quoted", "paraphrased" (if the answer agrees) or "", and the longest common subsequence, of a text and a passage that the search brought together."""
+    own = model.passages[passage]
+    parts = [ids[a:b] for a, b in stretches(windows, len(own), min_words)]
+    common = [lcs_length(own, r) for r in parts]
+    enough = min_words - min_words // PER_EDIT
+    for r, n in zip(parts, common, strict=True):
+        # edits leave an unbroken run; without one there is nothing to align
+        if n >= enough and not model.runs[passage].isdisjoint(runs_of(r.tolist(), model.run)) and quotes(own, r, min_words):
+            return "quoted", max(common)
+    near = cosine >= SURE * model.clean[passage] and 2 * max(common) >= len(own)
+    return ("paraphrased" if near else ""), max(common)
+
 
+def leaks(documents: DataFrame, bench_items: DataFrame, min_words: int = MIN_WORDS, rank: int = RANK, floor: float = FLOOR) -> DataFrame:
+    """doc_id, item_id, kind, cosine, common, answered: every case ("quoted"), and every paraphrase.
 
-def leaks(documents: DataFrame, bench_items: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK, per_task: int = 2000) -> DataFrame:
-    """doc_id, item_id, answered: every case, and whether the document also holds all words of the item's answer."""
+    cosine is the best window's, common the longest common subsequence in words, answered whether the document holds all
+    words of the item's answer. A paraphrase is no case: its best window has `SURE` times the passage's own least cosine, half of the
+    passage's words occur in order, and the answer occurs.
+    """
     spark = documents.sparkSession
-    by_passage: dict[str, list[int]] = {}
-    said: dict[int, list[str]] = {}
+    by_passage: dict[str, set[int]] = {}
+    answers: dict[int, set[str]] = {}
     for r in bench_items.select("item_id", "passage", "answer").distinct().collect():  # the test set is a fixed table
         if r["passage"] and r["item_id"] is not None:
-            by_passage.setdefault(r["passage"], []).append(r["item_id"])
-            said[r["item_id"]] = words(r["answer"])
-    word_of = {w: i for i, w in enumerate(sorted({w for ws in said.values() for w in ws}))}
-    answers = {i: {word_of[w] for w in ws} for i, ws in said.items()}
+            by_passage.setdefault(r["passage"], set()).add(r["item_id"])
+            answers[r["item_id"]] = answers.get(r["item_id"], set()) | set(words(r["answer"]))
     texts = sorted(by_passage)
-    chosen = [(w, sorted(by_passage[t])) for t, w in zip(texts, passage_words(texts), strict=True) if len(w) >= min_words]
-    out = spark.createDataFrame([], "doc_id long, item_id long, answered boolean")
-    for i in range(0, len(chosen), block):
-        part = chosen[i : i + block]
-        lexicon = Lexicon([w for w, _ in part])
-        surveyed = cut(survey(documents, lexicon, word_of, min_words))
-        df, total = document_frequencies(surveyed, len(lexicon.ids))
-        model = fit(spark, [[lexicon.ids[w] for w in p] for p, _ in part], [x for _, x in part], df, total, answers, min_words)
-        sent = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            m = sent.value
-            for pdf in batches:
-                rows = []
-                for d, region, have in zip(pdf["doc_id"], pdf["region"], pdf["said"], strict=True):
-                    for p in exposed(m, np.asarray(region, dtype=np.int64), min_words):
-                        rows += [(d, x, bool(m.answers[x]) and m.answers[x].issubset(have)) for x in m.items[p]]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "answered"])
-
-        stretches = surveyed.where("word = -2").select("doc_id", "region", "said")
-        n = stretches.count()
-        tasks = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, n // per_task)))
-        # short rows, long work: a fixed number of tasks, not one by size
-        out = out.unionByName(stretches.repartition(tasks, F.xxhash64("doc_id", "region")).mapInPandas(run, "doc_id long, item_id long, answered boolean"))
-    return out.distinct()
+    chosen: dict[tuple[str, ...], set[int]] = {}
+    for t, w in zip(texts, passage_words(texts), strict=True):
+        if len(w) >= min_words:
+            chosen.setdefault(tuple(w), set()).update(by_passage[t])
+    if not chosen:
+        return spark.createDataFrame([], REPORT)
+    lexicon = Lexicon([list(w) for w in chosen])
+    model = fit(spark, lexicon, [[lexicon.ids[w] for w in p] for p in chosen], [sorted(x) for x in chosen.values()], answers, min_words, rank, floor)
+    sent = spark.sparkContext.broadcast(model)
+
+    def search(m: Latent, doc_ids: list[int], read: list[np.ndarray], texts: list[str]) -> pd.DataFrame:
+        rows, have, last = [], set(), -1
+        for t, p, hits, cosine in latent_search(m, read, min_words):
+            kind, common = judge(m, read[t], p, hits, cosine, min_words)
+            if not kind:
+                continue
+            if t != last:
+                have, last = set(words(texts[t])), t
+            for i in m.items[p]:
+                answered = bool(m.answers[i]) and m.answers[i] <= have
+                if kind == "quoted" or answered:
+                    rows.append((doc_ids[t], i, kind, round(cosine, 3), common, answered))
+        return pd.DataFrame(rows, columns=["doc_id", "item_id", "kind", "cosine", "common", "answered"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        for pdf in batches:
+            ids, read, texts, tokens = [], [], [], 0
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                got = m.lexicon.read(words(t))
+                if len(got) - got.count(-1) >= min_words - min_words // PER_EDIT:
+                    ids.append(d)
+                    read.append(np.asarray(got))
+                    texts.append(t)
+                    tokens += len(got)
+                if tokens >= TOKENS:
+                    yield search(m, ids, read, texts)
+                    ids, read, texts, tokens = [], [], [], 0
+            if ids:
+                yield search(m, ids, read, texts)
+
+    return documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(run, REPORT).distinct()

@@ -31,7 +31,7 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_report(spark, d).select("doc_id", "item_id")
+    return p8_report(spark, d).where("kind = 'quoted'").select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:

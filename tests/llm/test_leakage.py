@@ -1,12 +1,16 @@
 """Leak search: recall against a scan of everything, planted variants, near misses."""
 
+import time
+
 import numpy as np
 import pytest
 
-from lodestrata.llm import leakage, queries
+from lodestrata.llm import leakage
 from lodestrata.llm.normal import words
 from lodestrata.runtime import table
 
+from . import scan
+
 PASSAGES = [
     (1, "Of 518 jars that Tonoko counted, 78 went to Gornoric and toll-gate porters in Tonoren. Just before 1481 Keldono repaired 877 borrowed kites near the signal-box, amid early permit.", "Tonoko"),
     (2, "A painted footbridge in Tonoro cost Tumpraic 58 hinges, which Zantisic weighed halfway through 1928. Hulhemic kept 598 spare sails during idle lawsuit.", "Osdar"),
@@ -57,43 +61,58 @@ def test_shared_introduction_does_not_count(spark):
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items(spark, more)).collect()} == {(2, 102)}
 
 
-def test_blocks_give_the_same_cases(spark):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    bench = table(spark, "/root/testdata/sf0.001", "bench_items")
-    one = {tuple(r)[:2] for r in leakage.leaks(docs, bench).collect()}
-    many = {tuple(r)[:2] for r in leakage.leaks(docs, bench, block=40).collect()}
-    assert one == many
+def test_items_whose_passages_read_alike_are_each_a_case(spark):
+    more = [(9, A.upper().replace(",", ";"), "")]
+    docs = spark.createDataFrame([(7, A)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items(spark, more)).collect()} == {(7, 1), (7, 9)}
 
 
-def test_search_loses_nothing_against_a_scan(spark):
-    """Every document against every passage by alignment alone, wherever five words in a row are shared."""
+@pytest.mark.parametrize("rank", [48, 96, 400])
+def test_search_finds_what_an_independent_scan_finds(spark, rank):
+    """Another reading of texts and another alignment, every document with every passage."""
     d = "/root/testdata/sf0.01"
-    got = {(r.doc_id, r.item_id) for r in queries.p8_found(spark, d).collect()}
-    bench = [r for r in table(spark, d, "bench_items").collect() if r.passage]
-    by = {}
-    for r in bench:
-        by.setdefault(r.passage, []).append(r.item_id)
-    texts = sorted(by)
-    split = dict(zip(texts, leakage.passage_words(texts)))
-    lexicon = leakage.Lexicon(list(split.values()))
-    vocab = lexicon.ids
-    runs = {}
-    for t, p in split.items():
-        ids = [vocab[w] for w in p]
-        for i in range(len(ids) - 4):
-            runs.setdefault(tuple(ids[i : i + 5]), set()).add(t)
-    want = set()
-    for r in table(spark, d, "documents").select("doc_id", "text").collect():
-        ids = lexicon.read(words(r.text))
-        near = {}
-        for i in range(len(ids) - 4):
-            for t in runs.get(tuple(ids[i : i + 5]), ()):
-                near.setdefault(t, []).append(i)
-        for t, at in near.items():
-            a, b = max(0, min(at) - 150), max(at) + 150
-            if leakage.quotes([vocab[w] for w in split[t]], np.asarray(ids[a:b])):
-                want |= {(r.doc_id, i) for i in by[t]}
-    assert got == want and len(want) > 20
+    want = scan.cases(*scan.load(d), processes=1) if rank == 96 else scan.cases(*scan.load(d.replace("0.01", "0.001")), processes=1)
+    d = d if rank == 96 else d.replace("0.01", "0.001")
+    got = leakage.leaks(table(spark, d, "documents"), table(spark, d, "bench_items"), rank=rank).where("kind = 'quoted'").select("doc_id", "item_id")
+    got = {tuple(r) for r in got.collect()}
+    assert len(want & got) >= 0.9 * len(want) and not got - want and (rank != 96 or (got == want and len(want) > 20))
+
+
+def test_candidates_are_what_the_latent_search_returns(spark):
+    """A floor above every cosine leaves no candidate and so no case."""
+    docs = spark.createDataFrame([(7, A)], "doc_id long, text string")
+    assert leakage.leaks(docs, items(spark)).count() == 1
+    assert leakage.leaks(docs, items(spark), floor=50.0).count() == 0
+
+
+def test_markup_of_any_length(spark):
+    """A link, an alias, a comment or a tag of thousands of characters within the passage."""
+    long = "x" * 5000
+    w = A.split()
+    texts = [
+        " ".join([*w[:6], f'<a href="https://h.example/{long}?q=a b">{w[6]}</a>', *w[7:12]]), " ".join([*w[:6], f"[{w[6]}](https://h.example/{long})", *w[7:12]]),
+        " ".join([*w[:6], f"[[{long}|{w[6]}]]", *w[7:12]]), " ".join([*w[:6], f"<!-- {long} {FILL} -->", *w[6:12]]), " ".join([*w[:6], w[6] + f"[^{long}]", *w[7:12]]),
+        " ".join([*w[:6], f"[{w[6]}](https://h.example/a_(b)_{long})", *w[7:12]]),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items(spark)).collect()} == {(i, 1) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("part", ["<a href='", "<!--", "[", "a-\n", "<p x ", "[x](", "[^", "[[a|", "&lt", "(("])
+def test_reading_takes_linear_time(part):
+    start = time.process_time()
+    words(part * 100_000)
+    assert time.process_time() - start < 5
+
+
+def test_what_is_no_quotation_may_be_a_paraphrase(spark):
+    """Half of the words in order but edits everywhere: reported only if the answer occurs, and no case of p8_found."""
+    w = A.split()
+    text = " ".join("other" if i % 5 == 4 else x for i, x in enumerate(w))
+    told = "Of 518 jars counted, 78 went to gate porters in Tonoren"
+    docs = spark.createDataFrame([(1, f"{text} Tonoko"), (2, text.replace("Tonoko", "Someone")), (3, told)], "doc_id long, text string")
+    got = {(r.doc_id, r.kind) for r in leakage.leaks(docs, items(spark)).collect()}
+    assert got == {(1, "paraphrased")}
 
 
 def test_svd_keeps_inner_products(spark):
