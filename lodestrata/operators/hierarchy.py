@@ -1,18 +1,19 @@
 """Parent-child links to full hierarchies (problem 5).
 
-Only nodes that are somebody's parent decide paths. Those are contracted: within a partition every node follows its parent
-chain to the last ancestor that is still there, its fragment's exit; exits and the links between fragments form a smaller
-quotient forest, which is solved the same way; fragment paths are then expanded by the path of their exit. A chain that
-bites its own tail inside a partition is a local ring; one that does so across fragments shows as a ring of the quotient.
-Nodes without children take their place last, in one salted join.
+Only nodes that have both a live parent and a child take part in the search for roots. Their links are contracted: within a
+partition every node follows its parent chain to the last ancestor that is still there, its fragment's exit, and keeps exit and
+distance. Exits and the links between fragments form a smaller quotient forest, which is solved the same way; a node's
+root is then its exit's, its depth the exit's plus its distance. A chain that bites its own tail inside a partition is a local ring;
+one that does so across fragments shows as a ring of the quotient. Roots and nodes without children take their place
+in joins before and after. Paths are built on demand, by doubling.
 
 A placement that co-locates parents: a node goes by its own id or, if its coin says so and its parent's says otherwise, by
-its parent's, so that a quarter of all links lie inside a partition however many partitions there are; a level thus shrinks
-the forest by a fixed factor, down to a single partition of at most `fragment_rows` links. Hot parents are not gathered:
-children that placement sends after a parent are spread by a salt beyond the first slot, where they count as exits.
+its parent's, so that at least a quarter of all links lie inside a partition however many partitions there are; a level thus shrinks
+the forest by a fixed factor, down to `base_rows` links of the quotient. Hot parents are not gathered: children of a
+parent with very many of them stay where their own id places them.
 
 Null ids are no nodes. A null, absent or dead parent makes a root. Ids compare folded (case, surrounding blanks). Rings and
-everything below them have root 'cycle', depth -1 and no path.
+everything below them have root 'cycle', depth -1 and no path. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -28,80 +29,71 @@ from ..runtime import cut, salted_join
 from .orphans import _latest
 
 CYCLE = "cycle"
-_LINK = "id string, parent string, segment array<string>"
-_STEP = "id string, exit string, parent string, segment array<string>, ring boolean"
+_STEP = "id string, exit string, distance long, parent string, weight long, ring boolean"
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id -> its fragment exit: the last ancestor inside this partition, with the path from there down to id."""
-    parent: dict[str, str | None] = {}
-    segment: dict[str, tuple] = {}
+    """Each id's fragment exit, the distance to it, and the exit's own link out of this partition."""
+    up: dict[str, str] = {}
+    weight: dict[str, int] = {}
     for pdf in batches:
-        for i, p, s in zip(pdf["id"], pdf["parent"], pdf["segment"], strict=True):
-            parent[i] = p if isinstance(p, str) else None
-            segment[i] = tuple(s)
-    done: dict[str, tuple[str, tuple, bool]] = {}
-    for start in parent:
-        chain, at, walked = [], start, set()
-        while at not in done and at not in walked and at in parent:
+        up.update(zip(pdf["id"], pdf["parent"], strict=True))
+        weight.update(zip(pdf["id"], pdf["weight"], strict=True))
+    exit_of: dict[str, str | None] = {}  # None: at or below a ring
+    distance: dict[str, int] = {}
+    for start in up:
+        chain: list[str] = []
+        walked: set[str] = set()
+        at = start
+        while at in up and at not in exit_of and at not in walked:
             walked.add(at)
             chain.append(at)
-            up = parent[at]
-            if up is None or up not in parent:
-                done[at] = (at, (), False)
-                chain.pop()
-                break
-            at = up
-        if at in walked and at not in done:
-            for x in chain:
-                done[x] = (x, (), True)
-            continue
+            at = up[at]
+        if at in walked:
+            top, far = None, 0
+        elif at in exit_of:
+            top, far = exit_of[at], distance[at]
+        else:
+            top = chain.pop()
+            exit_of[top], distance[top], far = top, 0, 0
         for x in reversed(chain):
-            top, path, ring = done[parent[x]]
-            done[x] = (top, path + segment[x], ring) if not ring else (x, (), True)
-    if not done:
-        return
-    ids = list(done)
-    for a in range(0, len(ids), 20_000):
-        part = ids[a : a + 20_000]
+            far += weight[x]
+            exit_of[x], distance[x] = top, far
+    ids = list(exit_of)
+    for a in range(0, len(ids), 50_000):
+        part = ids[a : a + 50_000]
+        tops = [exit_of[x] for x in part]
         yield pd.DataFrame({
-            "id": part, "exit": [done[x][0] for x in part], "parent": [parent[done[x][0]] for x in part],
-            "segment": [list(done[x][1]) for x in part], "ring": [done[x][2] for x in part],
+            "id": part, "exit": tops, "distance": [distance[x] for x in part], "parent": [up.get(t) for t in tops],
+            "weight": [weight.get(t, 0) for t in tops], "ring": [t is None for t in tops],
         })
 
 
-def _solve(links: DataFrame, fragment_rows: int, level: int) -> DataFrame:
-    """links (id, parent or null, segment: names from below the parent down to id) -> id, path (null: ring)."""
+def _placed(links: DataFrame, parts: int, fragment_rows: int, level: int) -> DataFrame:
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2)) == 1
+    follows = coin(F.col("id")) & ~coin(F.col("parent"))
+    hot = links.where(follows).groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > max(1, fragment_rows // 8)).select("parent", F.lit(True).alias("hot"))
+    out = salted_join(links, hot, ["parent"], ["id"], "left")
+    return out.repartition(parts, F.when(follows & F.col("hot").isNull(), F.col("parent")).otherwise(F.col("id"))).select("id", "parent", "weight")
+
+
+def _solve(links: DataFrame, fragment_rows: int, base_rows: int, level: int = 0) -> DataFrame:
+    """links (id, parent, weight; a parent without a link is a root) -> id, root (null: ring), depth."""
     links = cut(links)
     n = links.count()
-    parts = max(1, -(-n // fragment_rows))
-    if parts == 1:
-        placed = links.coalesce(1)
-    else:
-        coin = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2)) == 1
-        follows = F.col("parent").isNotNull() & coin(F.col("id")) & ~coin(F.col("parent"))
-        sharers = links.where(follows).groupBy("parent").agg(F.count("*").alias("n")).where(F.col("n") > fragment_rows // 8)
-        placed = salted_join(links, sharers.withColumnRenamed("parent", "hot").withColumn("parent", F.col("hot")).select("parent", "hot"), ["parent"], ["id"], "left")
-        home = F.when(follows & F.col("hot").isNull(), F.col("parent")).otherwise(F.col("id"))
-        placed = placed.withColumn("home", home).repartition(parts, "home").select("id", "parent", "segment")
-    steps = placed.mapInPandas(_contract, _STEP)
-    if parts == 1:
-        # every parent is here or absent: exits are roots, the quotient is empty
-        top = links.select(F.col("id").alias("exit"), F.col("segment").alias("head"))
-        solved = steps.join(top, "exit")
-        return solved.select("id", F.when(~F.col("ring"), F.concat("head", "segment")).alias("path"))
-    steps = cut(steps)
-    exits = steps.where((F.col("id") == F.col("exit")) & ~F.col("ring")).select("id", "parent")
-    heads = links.select("id", F.col("segment").alias("head"))
-    inside = steps.select(F.col("id").alias("parent"), F.col("exit").alias("up"), F.col("segment").alias("way"), F.col("ring").alias("below_ring"))
-    # an exit's parent lies in another fragment: link exit to exit, with the names on the way
-    quotient = salted_join(exits.join(heads, "id"), inside, ["parent"], ["id"], "left")
-    ringed = quotient.where("below_ring").select("id")
-    upper = quotient.where("below_ring IS NULL OR NOT below_ring").select("id", F.col("up").alias("parent"), F.concat(F.coalesce("way", F.array().cast("array<string>")), "head").alias("segment"))
-    solved = _solve(upper, fragment_rows, level + 1).withColumnRenamed("id", "exit").withColumnRenamed("path", "head")
-    solved = solved.unionByName(ringed.select(F.col("id").alias("exit"), F.lit(None).cast("array<string>").alias("head")))
-    down = salted_join(steps, solved, ["exit"], ["id"], "left")
-    return down.select("id", F.when(~F.col("ring"), F.concat("head", "segment")).alias("path"))
+    if level and n <= base_rows:
+        # every link is here: exits hang from roots, the quotient is empty
+        steps = links.repartition(1).mapInPandas(_contract, _STEP)
+        return steps.select("id", F.col("parent").alias("root"), (F.col("distance") + F.col("weight")).alias("depth"))
+    parts = max(-(-n // fragment_rows), min(links.sparkSession.sparkContext.defaultParallelism, 2 + n // 1000))
+    steps = cut(_placed(links, parts, fragment_rows, level).mapInPandas(_contract, _STEP))
+    exits = steps.where("id = exit").select("id", "parent", "weight")
+    inside = steps.select(F.col("id").alias("parent"), F.col("exit").alias("up"), F.col("distance").alias("way"), "ring")
+    # an exit's parent lies in another fragment or is a root: link exit to exit; below a local ring, to itself
+    up = F.when(F.col("ring"), F.col("id")).otherwise(F.coalesce("up", "parent"))
+    upper = salted_join(exits, inside, ["parent"], ["id"], "left").select("id", up.alias("parent"), (F.col("weight") + F.coalesce("way", F.lit(0))).alias("weight"))
+    solved = _solve(upper, fragment_rows, base_rows, level + 1).withColumnRenamed("id", "exit")
+    return salted_join(steps.select("id", "exit", "distance"), solved, ["exit"], ["id"], "left").select("id", "root", (F.col("distance") + F.col("depth")).alias("depth"))
 
 
 def live_nodes(tickets: DataFrame) -> DataFrame:
@@ -110,36 +102,53 @@ def live_nodes(tickets: DataFrame) -> DataFrame:
     return rows.select(F.col("_id").alias("key"), "record_id", "type", F.nullif(fold_id(F.col("parent_record_id")), F.lit("")).alias("parent"))
 
 
-def hierarchy(tickets: DataFrame, fragment_rows: int = 200_000) -> DataFrame:
-    """record_id, type, root_record_id, depth, path (array of record ids from the root; null at or below a ring).
+def hierarchy(tickets: DataFrame, fragment_rows: int = 200_000, base_rows: int = 20_000) -> DataFrame:
+    """key, record_id, type, parent (record id of the live parent, or null), root_record_id, depth of every live ticket.
 
-    fragment_rows bounds the links one task holds.
+    fragment_rows bounds the links one task holds, base_rows those of the quotient that one task solves at the end.
     """
     nodes = cut(live_nodes(tickets))
     named = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("key")).distinct()
-    inner = nodes.join(named, "key", "left_semi")
-    alive = inner.select(F.col("key").alias("parent"), F.lit(True).alias("known"))
-    links = salted_join(inner, alive, ["parent"], ["key"], "left")
-    links = links.select(F.col("key").alias("id"), F.when(F.col("known"), F.col("parent")).alias("parent"), F.array("record_id").alias("segment"))
-    solved = cut(_solve(links, fragment_rows, 0))
-    top = solved.select(F.col("id").alias("parent"), F.coalesce("path", F.array(F.lit(CYCLE))).alias("above"), F.col("path").isNull().alias("ring"))
-    leaves = nodes.join(named, "key", "left_anti")
-    placed = salted_join(leaves, top, ["parent"], ["key"], "left")
-    own = F.array("record_id")
-    placed = placed.select("record_id", "type", F.when(F.col("above").isNull(), own).when(~F.col("ring"), F.concat("above", own)).alias("path"))
-    placed = placed.unionByName(inner.join(solved.select(F.col("id").alias("key"), "path"), "key").select("record_id", "type", "path"))
-    return placed.select(
-        "record_id", "type", F.coalesce(F.col("path")[0], F.lit(CYCLE)).alias("root_record_id"),
-        F.when(F.col("path").isNull(), -1).otherwise(F.size("path") - 1).cast("int").alias("depth"), "path",
+    inner = cut(nodes.join(named, "key", "left_semi"))
+    above = inner.select(F.col("key").alias("parent"), F.col("record_id").alias("above"))
+    links = salted_join(inner.where("parent IS NOT NULL"), above, ["parent"], ["key"])
+    solved = _solve(links.select(F.col("record_id").alias("id"), F.col("above").alias("parent"), F.lit(1).cast("long").alias("weight")), fragment_rows, base_rows)
+    placed = inner.join(solved.withColumn("linked", F.lit(True)), inner["record_id"] == solved["id"], "left").select(
+        "key", "record_id", F.when(F.col("linked"), F.col("root")).otherwise(F.col("record_id")).alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    top = placed.select(F.col("key").alias("parent"), F.col("record_id").alias("above"), F.col("root").alias("above_root"), F.col("depth").alias("above_depth"))
+    # every node takes its place below its parent, which needs no second look at those already placed
+    out = salted_join(nodes, top, ["parent"], ["key"], "left")
+    root = F.when(F.col("above").isNull(), F.col("record_id")).otherwise(F.col("above_root"))
+    return out.select(
+        "key", "record_id", "type", F.col("above").alias("parent"), F.coalesce(root, F.lit(CYCLE)).alias("root_record_id"),
+        F.when(root.isNull(), -1).when(F.col("above").isNull(), 0).otherwise(F.col("above_depth") + 1).cast("int").alias("depth"),
     )
 
 
+def with_paths(tree: DataFrame) -> DataFrame:
+    """tree and path: record ids from the root down to the node; null at or below a ring.
+
+    By doubling: after round k a node knows its nearest 2^k ancestors, and a join brings the next as many. What is
+    written is as long as the paths themselves.
+    """
+    tree = cut(tree)
+    deepest = tree.agg(F.max("depth").alias("d")).first()["d"] or 0
+    own = tree.where("depth >= 0").select("record_id", F.col("parent").alias("up"), F.array("record_id").alias("path"))
+    for _ in range(int(deepest).bit_length()):
+        over = own.select(F.col("record_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        # only nodes that are somebody's next step travel as the repeated side
+        over = over.join(own.where("up IS NOT NULL").select("up").distinct(), "up", "left_semi")
+        joined = salted_join(own, over, ["up"], ["record_id"], "left")
+        own = cut(joined.select("record_id", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<string>")), "path").alias("path")))
+    return tree.join(own.select("record_id", "path"), "record_id", "left")
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """ancestor, descendant, distance: every pair on a path, by expanding each node's own path."""
     up = F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("i", "ancestor")
-    return tree.where("depth > 0").select(F.col("record_id").alias("descendant"), "depth", up).select("ancestor", "descendant", (F.col("depth") - F.col("i")).alias("distance"))
+    return with_paths(tree).where("depth > 0").select(F.col("record_id").alias("descendant"), "depth", up).select("ancestor", "descendant", (F.col("depth") - F.col("i")).alias("distance"))
 
 
-def rings(tickets: DataFrame, tree: DataFrame) -> DataFrame:
-    """record_id, parent_record_id of the nodes at or below a ring."""
-    return tree.where("depth = -1").select("record_id").join(live_nodes(tickets).select("record_id", F.col("parent").alias("parent_record_id")), "record_id")
+def rings(tree: DataFrame) -> DataFrame:
+    """record_id, parent_record_id (folded) of the nodes at or below a ring."""
+    return tree.where("depth = -1").select("record_id", fold_id(F.col("parent")).alias("parent_record_id"))

@@ -61,7 +61,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(*_t(spark, d, "tickets")).select("record_id", "type", F.array_join("path", "/").alias("path"))
+    return hierarchy.with_paths(hierarchy.hierarchy(*_t(spark, d, "tickets"))).select("record_id", "type", F.array_join("path", "/").alias("path"))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_rings(spark: SparkSession, d: str) -> DataFrame:
-    tickets = table(spark, d, "tickets")
-    return hierarchy.rings(tickets, hierarchy.hierarchy(tickets))
+    return hierarchy.rings(hierarchy.hierarchy(*_t(spark, d, "tickets")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -85,12 +85,39 @@ def test_hierarchy_contracts_over_many_partitions(spark):
     wide = [(f"w{i}", "n149") for i in range(50)] + [("lost", "nobody")]
     df = spark.createDataFrame([(a, b, "task", None, "1", "h") for a, b in deep + ring + wide], "record_id string, parent_record_id string, type string, deleted_at string, updated_at string, hash string")
     want = brute.p5(df.toPandas())
-    for rows in (10_000, 40):
-        got = hierarchy.hierarchy(df, fragment_rows=rows)
+    for rows, base in ((10_000, 20_000), (40, 20)):
+        got = hierarchy.with_paths(hierarchy.hierarchy(df, rows, base))
         assert {(r.record_id, r.root_record_id, r.depth) for r in got.collect()} == want
         assert all(r.path is None or len(r.path) == r.depth + 1 for r in got.collect())
 
 
+def test_contraction_is_linear_in_a_chain():
+    """200,000 links in one partition, shuffled: exits and distances, no path."""
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    ids = list(range(1, 200_001))
+    random.Random(1).shuffle(ids)
+    pdf = pd.DataFrame({"id": [f"n{i}" for i in ids], "parent": [f"n{i - 1}" for i in ids], "weight": 1})
+    tracemalloc.start()
+    got = pd.concat(list(hierarchy._contract(iter([pdf]))))
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert len(got) == 200_000 and set(got["exit"]) == {"n1"} and set(got["parent"]) == {"n0"}
+    assert all(int(i[1:]) == d + 1 for i, d in zip(got["id"], got["distance"]))
+
+
+def test_a_level_leaves_few_enough_links(spark):
+    """A chain over several partitions: the quotient is smaller by a fixed factor, and levels follow until base_rows."""
+    links = spark.range(1, 4001).selectExpr("concat('n', id) AS id", "concat('n', id - 1) AS parent", "1L AS weight")
+    steps = hierarchy._placed(links, 8, 10_000, 0).mapInPandas(hierarchy._contract, hierarchy._STEP)
+    assert steps.where("id = exit").count() < 0.78 * 4000
+    got = hierarchy._solve(links, 10_000, 100)
+    assert {(r.id, r.root, r.depth) for r in got.collect()} == {(f"n{i}", "n0", i) for i in range(1, 4001)}
+
+
 def test_merge_store_is_independent_of_batches(spark, small):
     t, c = table(spark, small, "tickets"), table(spark, small, "changelog")
     a = {tuple(r) for r in changefeed.rebuild(spark, t, c, batches=1).current().collect()}
