@@ -123,3 +123,58 @@ def test_merge_store_is_independent_of_batches(spark, small):
     a = {tuple(r) for r in changefeed.rebuild(spark, t, c, batches=1).current().collect()}
     b = {tuple(r) for r in changefeed.rebuild(spark, t, c, batches=9).current().collect()}
     assert a == b
+
+
+def _versions(spark, rows):
+    return spark.createDataFrame([("t", k, (at, "", i), gone, f"h{i}", "{}") for i, (k, at, gone) in enumerate(rows)], changefeed.VERSION)
+
+
+def test_reading_the_store_needs_no_exchange(spark, small):
+    store = changefeed.rebuild(spark, table(spark, small, "tickets"), table(spark, small, "changelog"))
+    store.append(_versions(spark, [("x", "9", None)]))
+    assert len(store.runs) > 1
+    assert "Exchange" not in store.merged()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_restart_finds_the_store(spark):
+    from lodestrata.runtime import scratch
+
+    path = scratch(spark, "restart")
+    first = changefeed.MergeStore(spark, path, buckets=3)
+    first.append(_versions(spark, [("a", "1", None), ("b", "1", None)]))
+    first.append(_versions(spark, [("a", "2", "2"), ("b", "0", "x"), (None, "1", None)]))
+    spark.sql(f"DROP TABLE {first._table}")  # a new session's catalogue is empty
+    again = changefeed.MergeStore(spark, path, buckets=5)
+    assert again.buckets == 3 and {r.row_key for r in again.current().collect()} == {"b"}
+    again.append(_versions(spark, [("a", "3", None)]))
+    assert {r.row_key for r in again.current().collect()} == {"a", "b"}
+    with pytest.raises(RuntimeError):
+        first.append(_versions(spark, [("c", "1", None)]))
+
+
+def test_readers_outlive_a_compaction(spark):
+    from lodestrata.runtime import scratch
+
+    store = changefeed.MergeStore(spark, scratch(spark, "readers"), fan_in=3, buckets=2)
+    store.append(_versions(spark, [("a", "1", None)]))
+    store.append(_versions(spark, [("b", "1", None)]))
+    reader = store.current()
+    store.append(_versions(spark, [("a", "2", "2")]))
+    assert len(store.runs) == 1
+    assert {r.row_key for r in reader.collect()} == {"a", "b"}
+    assert {r.row_key for r in store.current().collect()} == {"b"}
+
+
+def test_a_run_without_a_manifest_counts_for_nothing(spark):
+    from lodestrata.runtime import scratch
+
+    path = scratch(spark, "torn")
+    store = changefeed.MergeStore(spark, path, buckets=2)
+    store.append(_versions(spark, [("a", "1", None)]))
+    store._commit = lambda runs: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        store.append(_versions(spark, [("b", "1", None)]))
+    again = changefeed.MergeStore(spark, path)
+    assert {r.row_key for r in again.current().collect()} == {"a"}
+    again.append(_versions(spark, [("c", "1", None)]))
+    assert {r.row_key for r in again.current().collect()} == {"a", "c"}
