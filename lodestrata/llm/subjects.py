@@ -1,20 +1,20 @@
 """Subject areas of documents (problem 9).
 
 Averaged word and subword embeddings with one independent logistic output per area. The unit scored is the sentence; a
-document treats an area if at least `needed` sentences go to it. Labels are per document, so training is multiple-instance:
-in every step a sentence is claimed by the areas its document is labelled with, in proportion to how well they fit by now,
-and with a small weight by the others (annotators err, sentences pass by); the claim is the target of the independent
-outputs. A word's vector is the mean of its own and its n-grams' bucket vectors; its weight in
+document treats an area if at least `needed` sentences have it. Labels are per document: a sentence's target for an area is the
+share of its document's annotators who named that area, whatever the other areas' targets are, so that stray labels and the
+sentences of a document's other areas are outweighed by the documents that hold like sentences. A sentence may have several areas or none. A word's vector is
+the mean of its own and its n-grams' bucket vectors; its weight in
 the average is how much the labels of its documents differ from the general mix, which silences templates, names and
 housekeeping without a list of them.
 
-Training runs on labelled documents, a bounded sample (`max_labelled`, by hash of doc_id) only above that number of them.
-They are packed once per partition; every step broadcasts the word vectors and output weights, sums the partitions' gradients
+Training runs on labelled documents, a bounded sample (`max_labelled`, by hash of doc_id) only above that number of them; the
+words' weights are fitted on the same sample. They are packed once per partition; every step broadcasts the word vectors and output weights, sums the partitions' gradients
 in a tree, and updates on the driver. What travels has the size of the sample's vocabulary. Every document is then scored,
 whole, in one pass without a shuffle; unseen words are represented by their subwords.
 
-Null and empty texts have no area; repeated label rows count once; without labels the result is empty. A sentence goes to
-one area, the highest-scoring one, if its score passes `threshold`.
+Null and empty texts have no area; repeated label rows count once; without labels the result is empty. A sentence has an
+area if that area's score, a log-odds, passes `threshold`.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-BUCKETS, DIM, STEPS, RATE, MUTE, DOCS_PER_TASK = 1 << 15, 24, 70, 0.05, 0.02, 1000
-SMOOTHING, DAMPING, UNSEEN, STRAY, MAX_LABELLED, THRESHOLD, NEEDED = 4.0, 3.0, 0.5, 0.03, 2_500, 1.5, 2
+BUCKETS, DIM, STEPS, RATE, MUTE, DOCS_PER_TASK = 1 << 15, 24, 40, 0.05, 0.02, 1000
+SMOOTHING, DAMPING, UNSEEN, MAX_LABELLED, THRESHOLD, NEEDED = 4.0, 3.0, 0.5, 2_500, -0.25, 2
 
 _FRONT = re.compile(r"\A﻿?---\n.*?\n---[ \t]*\n", re.S)
 _FENCE = re.compile(r"^(```|~~~).*?^\1[`~]*[ \t]*$", re.S | re.M)
@@ -88,16 +88,19 @@ class AreaModel:
         keep = [(w, i) for w, i in words.items() if weight[i] >= MUTE]
         self.known = {w: -1 for w, i in words.items() if weight[i] < MUTE} | {w: k for k, (w, _) in enumerate(keep)}
         at = [i for _, i in keep]
-        self.weight, self.logits, self.size = weight[at], logits[at], len(keep)
+        self.weight, self.logits, self.size = weight[at].astype(np.float32), logits[at].astype(np.float32), len(keep)
         self.table, self.reach = dict(self.known), self.size  # grows by words that training never saw
 
     def counts(self, texts: list[str | None], threshold: float = THRESHOLD) -> np.ndarray:
-        """texts x areas: how many sentences go to each area."""
+        """texts x areas: how many sentences have each area."""
         out = np.zeros((len(texts), len(self.areas)), dtype=np.int64)
         tokens, starts, owner = [], [], []
         for k, t in enumerate(texts):
             for s in sentences(t):
-                ids = [i for i in map(self._number, s) if i >= 0]
+                ids = list(map(self.table.get, s))
+                if None in ids:
+                    ids = list(map(self._number, s))
+                ids = [i for i in ids if i >= 0]
                 if ids:
                     starts.append(len(tokens))
                     owner.append(k)
@@ -105,10 +108,8 @@ class AreaModel:
             if len(tokens) > 200_000 or (k == len(texts) - 1 and starts):
                 w = self.weight[tokens]
                 total = np.add.reduceat(w[:, None] * self.logits[tokens], starts, axis=0)
-                z = total / (np.add.reduceat(w, starts) + DAMPING)[:, None] + self.bias
-                best = z.argmax(axis=1)
-                good = z[np.arange(len(z)), best] > threshold
-                np.add.at(out, (np.asarray(owner)[good], best[good]), 1)
+                sentence, area = np.nonzero(total / (np.add.reduceat(w, starts) + DAMPING)[:, None] + self.bias > threshold)
+                np.add.at(out, (np.asarray(owner)[sentence], area), 1)
                 tokens, starts, owner = [], [], []
                 if self.reach > self.size + 200_000:  # what a task remembers of unseen words is bounded
                     self.table, self.reach = dict(self.known), self.size
@@ -119,8 +120,8 @@ class AreaModel:
         if got is None:
             if self.reach == len(self.weight):
                 more = max(1024, self.reach)
-                self.weight = np.concatenate([self.weight, np.full(more, UNSEEN)])
-                self.logits = np.concatenate([self.logits, np.zeros((more, len(self.areas)))])
+                self.weight = np.concatenate([self.weight, np.full(more, UNSEEN, np.float32)])
+                self.logits = np.concatenate([self.logits, np.zeros((more, len(self.areas)), np.float32)])
             got = self.table[word] = self.reach
             self.logits[got] = self.bucket_logits[subwords(word)].mean(axis=0)
             self.reach += 1
@@ -184,16 +185,15 @@ def _pack(rows, words: dict[str, int]):  # noqa: ANN001, ANN202
 
 
 def partition_gradient(packed: tuple, vectors: np.ndarray, weight: np.ndarray, out: np.ndarray, bias: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the multiple-instance loss by word vectors, output weights and biases, summed over the partition."""
+    """Gradients of the sentences' logistic losses by word vectors, output weights and biases, summed over the partition."""
     tokens, starts, owner, shares = packed
     w = weight[tokens]
     scale = (np.add.reduceat(w, starts) + DAMPING)[:, None]
     x = np.add.reduceat(vectors[tokens] * w[:, None], starts, axis=0) / scale
     z = x @ out + bias
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    # a sentence goes to one area: to those its document is labelled with, by how well they fit now, hardly to others
-    claim = np.maximum(shares, STRAY)[owner] * np.exp(np.clip(z - z.max(axis=1, keepdims=True), -30, 0))
-    g = np.minimum(scale - DAMPING, 1) * (p - claim / claim.sum(axis=1, keepdims=True))
+    # each output on its own; a sentence counts by how much of it weighs
+    g = np.minimum(scale - DAMPING, 1) * (p - shares[owner])
     back = np.repeat((g @ out.T) / scale, np.diff(np.append(starts, len(tokens))), axis=0) * w[:, None]
     dv = np.stack([np.bincount(tokens, back[:, k], minlength=len(vectors)) for k in range(vectors.shape[1])], axis=1)
     return [dv.astype(np.float32), (x.T @ g).astype(np.float32), g.sum(axis=0).astype(np.float32)]
