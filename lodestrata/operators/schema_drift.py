@@ -1,7 +1,7 @@
 """Schemas that drift between files (problem 1).
 
 A folder's month has a schema: a tree whose children are frontmatter keys and, under object keys, their members. Two
-consecutive months are compared by tree edit distance under a keyed cost model, which yields the cheapest script of
+consecutive months are compared by tree edit distance, which yields the cheapest script of
 add, delete, rename, retype and move operations; scripts compile into projections that bring every file to the newest
 schema of its folder.
 
@@ -28,58 +28,108 @@ SCRIPT_SCHEMA = "folder string, period string, op string, node string, old_node
 # --- the edit distance -------------------------------------------------------------------------------------------
 
 
+def best_matching(gain: dict[tuple[int, int], int]) -> dict[int, int]:
+    """The matching of greatest total gain; whole numbers of any size, so the outcome is exact. Unmatched ends gain nothing.
+
+    Shortest augmenting paths with potentials; every left end also has a column of its own for staying unmatched.
+    """
+    left, right = sorted({i for i, _ in gain}), sorted({j for _, j in gain})
+    n, m = len(left), len(right) + len(left)
+    cost = [[-gain.get((i, j), 0) if (i, j) in gain else 1 for j in right] + [0] * n for i in left]
+    over, under, owner = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        slack: list[int | None] = [None] * (m + 1)
+        came, done = [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            done[at], row, least, nearest = True, owner[at], None, 0
+            for j in range(1, m + 1):
+                if done[j]:
+                    continue
+                d = cost[row - 1][j - 1] - over[row] - under[j]
+                if slack[j] is None or d < slack[j]:
+                    slack[j], came[j] = d, at
+                if least is None or slack[j] < least:
+                    least, nearest = slack[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    over[owner[j]] += least
+                    under[j] -= least
+                elif slack[j] is not None:
+                    slack[j] -= least
+            at = nearest
+        while at:
+            owner[at], at = owner[came[at]], came[at]
+    pairs = {owner[j] - 1: j - 1 for j in range(1, m + 1) if owner[j]}
+    return {left[i]: right[j] for i, j in pairs.items() if j < len(right) and (left[i], right[j]) in gain}
+
+
 def edit_script(old: dict[tuple, str], new: dict[tuple, str], evidence: set[tuple[tuple, tuple]]) -> list[dict]:
     """Cheapest script from one keyed tree to another. Trees are {path tuple: type}; a node's parent is its prefix.
 
-    Siblings are unordered and their names unique, so matching children level by level is exact. Costs: keeping a name
-    0, retyping 1, adding or deleting a node 1, moving a leaf to another parent 1.5. A rename is open only to pairs in
-    `evidence` and costs 2 - 2^-(1+rank), rank being the pair's place by old then new name: always less than a delete
-    plus an add, and each pair's gain exceeds the gains of all later pairs together, so the minimum-cost matching is
-    the one found by taking pairs in that order while both ends are free.
+    Every operation costs 1: adding, deleting, renaming or retyping a node, moving a node with what hangs below it. Siblings
+    are unordered and their names unique: equal names match, others may be renamed if the pair is in `evidence` and the types
+    agree. Of all matchings that one is taken whose evidenced pairs come first by old, then new name, and among these the
+    one with the fewest operations below. What is then deleted in one place and added in another under the same name and
+    type is moved where that saves operations.
     """
-    out: list[dict] = []
-
-    def kids(tree: dict[tuple, str], at: tuple) -> dict[str, tuple]:
-        return {p[-1]: p for p in tree if len(p) == len(at) + 1 and p[:-1] == at}
-
-    def drop(tree: dict[tuple, str], at: tuple, op: str) -> None:
-        for p in sorted(q for q in tree if q[: len(at)] == at):
-            out.append({"op": op, "old": p if op == "delete" else None, "new": p if op == "add" else None, "cost": 1.0})
-
-    def match(a: tuple, b: tuple) -> None:
-        left, right = kids(old, a), kids(new, b)
-        pairs = [(left[n], right[n]) for n in sorted(left.keys() & right.keys())]
-        gone, come = left.keys() - right.keys(), right.keys() - left.keys()
-        order = [(left[o], right[n]) for o in sorted(gone) for n in sorted(come) if (left[o], right[n]) in evidence and old[left[o]] == new[right[n]]]
-        used: set[tuple] = set()
-        for rank, (o, n) in enumerate(order):
-            if (0, o) in used or (1, n) in used:
-                continue
-            used |= {(0, o), (1, n)}
-            out.append({"op": "rename", "old": o, "new": n, "cost": 2.0 - 2.0 ** -(1 + rank)})
-            match(o, n)
-        for o, n in pairs:
-            if old[o] != new[n]:
-                out.append({"op": "retype", "old": o, "new": n, "cost": 1.0})
-            match(o, n)
-        for n in sorted(gone):
-            if (0, left[n]) not in used:
-                drop(old, left[n], "delete")
-        for n in sorted(come):
-            if (1, right[n]) not in used:
-                drop(new, right[n], "add")
-
-    match((), ())
-    deleted = {}
-    for x in out:
-        if x["op"] == "delete":
-            deleted.setdefault((x["old"][-1], old[x["old"]]), []).append(x)
-    for x in out:  # a leaf deleted here and added under another parent is cheaper as one move
-        if x["op"] == "add" and (mates := deleted.get((x["new"][-1], new[x["new"]]))) and mates[0]["old"][:-1] != x["new"][:-1]:
-            gone_op = mates.pop(0)
-            x.update(op="move", old=gone_op["old"], cost=1.5)
-            gone_op["op"] = "void"
-    return [x for x in out if x["op"] != "void"]
+    below: list[dict[tuple, list[tuple]]] = []
+    size: list[dict[tuple, int]] = []
+    for tree in (old, new):
+        kids: dict[tuple, list[tuple]] = {}
+        weight = dict.fromkeys(tree, 1)
+        for p in sorted(tree, key=len, reverse=True):
+            kids.setdefault(p[:-1], []).append(p)
+            if p[:-1] in weight:
+                weight[p[:-1]] += weight[p]
+        below.append(kids)
+        size.append(weight)
+    scale = len(old) + len(new) + 1
+
+    def whole(k: int, at: tuple) -> list[tuple]:
+        return [at, *(x for c in sorted(below[k].get(at, ())) for x in whole(k, c))]
+
+    def match(a: tuple, b: tuple) -> list[tuple[str, tuple | None, tuple | None]]:
+        """Operations that turn what is below a into what is below b."""
+        left, right = ({p[-1]: p for p in below[k].get(at, ())} for k, at in ((0, a), (1, b)))
+        ops: list[tuple[str, tuple | None, tuple | None]] = []
+        for n in sorted(left.keys() & right.keys()):
+            o, c = left[n], right[n]
+            ops += [("retype", o, c)] * (old[o] != new[c]) + match(o, c)
+        gone, come = sorted(left.keys() - right.keys()), sorted(right.keys() - left.keys())
+        open_pairs = [(i, j) for i, o in enumerate(gone) for j, n in enumerate(come) if (left[o], right[n]) in evidence and old[left[o]] == new[right[n]]]
+        inner = {(i, j): match(left[gone[i]], right[come[j]]) for i, j in open_pairs}
+        saved = {(i, j): size[0][left[gone[i]]] + size[1][right[come[j]]] - 1 - len(x) for (i, j), x in inner.items()}
+        first = len(open_pairs)
+        chosen = best_matching({ij: (scale << (first - 1 - rank)) + saved[ij] for rank, ij in enumerate(open_pairs)})
+        for i, j in sorted(chosen.items()):
+            ops += [("rename", left[gone[i]], right[come[j]]), *inner[i, j]]
+        ops += [("delete", x, None) for i, o in enumerate(gone) if i not in chosen for x in whole(0, left[o])]
+        return ops + [("add", None, x) for j, n in enumerate(come) if j not in chosen.values() for x in whole(1, right[n])]
+
+    def shared(o: tuple, n: tuple) -> list[tuple[tuple, tuple]]:
+        """What two subtrees with roots of one name and type have in common."""
+        names = {c[-1]: c for c in below[1].get(n, ())}
+        return [(o, n), *(x for c in sorted(below[0].get(o, ())) if c[-1] in names and old[c] == new[names[c[-1]]] for x in shared(c, names[c[-1]]))]
+
+    ops = match((), ())
+    gone, come = sorted(o for op, o, _ in ops if op == "delete"), sorted(n for op, _, n in ops if op == "add")
+    free = set(gone), set(come)
+    common = {
+        (i, j): [(x, y) for x, y in shared(o, n) if x in free[0] and y in free[1]]
+        for i, o in enumerate(gone) for j, n in enumerate(come) if o[-1] == n[-1] and old[o] == new[n] and o[:-1] != n[:-1]
+    }
+    ties = len(gone) * len(come) + 1
+    moves = best_matching({(i, j): (2 * len(x) - 1) * ties + ties - 1 - (i * len(come) + j) for (i, j), x in common.items()})
+    moved: list[tuple[str, tuple | None, tuple | None]] = []
+    for i, j in sorted(moves.items(), key=lambda ij: (len(gone[ij[0]]), ij)):
+        if gone[i] in free[0] and come[j] in free[1]:
+            moved.append(("move", gone[i], come[j]))
+            for x, y in common[i, j]:
+                free[0].discard(x)
+                free[1].discard(y)
+    kept = [x for x in ops if (x[0] != "delete" or x[1] in free[0]) and (x[0] != "add" or x[2] in free[1])]
+    return [{"op": op, "old": o, "new": n, "cost": 1.0} for op, o, n in kept + moved]
 
 
 def _scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,23 +261,21 @@ def drift_cases(scripts: DataFrame) -> DataFrame:
     return said.select("folder", "period", F.col("c.k").alias("change_kind"), F.col("c.f").alias("field_key"), F.col("c.o").alias("old_key"))
 
 
-def consistent_table(frontmatter: DataFrame, files: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Every frontmatter row of a filed note under the key and type its folder uses last.
+def consistent_rows(frontmatter: DataFrame, files: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Every node of a filed note's schema tree under the path and type its folder uses last.
 
-    A folder's renames compile into one ordered list; a row follows those later than its own month, so a chain
-    a -> b -> c ends at c. value holds the text of scalars as the newest type reads it (null where it can't), value_json
-    stays beside it.
+    A folder's scripts compile into one ordered list of path mappings, a month's by longest old path first; a node follows
+    those later than its own month, so a chain a -> b -> c ends at c, a renamed or moved object takes its members
+    along, and a member's own rename comes before its object's. What a script deletes stays under its old path. value holds
+    the text of scalars as the newest type reads it (null where it can't), value_json stays beside it.
     """
     nodes, months = dated_nodes(frontmatter, files)
-    rows = nodes.where(F.instr("node", SEP) == 0)
-    moves = (
-        scripts.where((F.col("op") == "rename") & (F.instr("node", SEP) == 0)).groupBy("folder")
-        .agg(F.sort_array(F.collect_list(F.struct("period", F.col("old_node").alias("o"), F.col("node").alias("n")))).alias("moves"))
-    )
-    rows = rows.join(moves, "folder", "left").withColumn(
-        "field_key",
-        F.expr("coalesce(aggregate(moves, node, (k, m) -> if(m.period > period AND m.o = k, m.n, k)), node)"),
-    )
+    op = F.struct((-F.length("old_node")).alias("first"), F.col("old_node").alias("o"), F.col("node").alias("n"))
+    steps = scripts.where(F.col("op").isin("rename", "move")).groupBy("folder", "period").agg(F.sort_array(F.collect_list(op)).alias("ops"))
+    steps = steps.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("period", "ops"))).alias("steps"))
+    hit = f"get(filter(s.ops, x -> x.o = k OR startswith(k, concat(x.o, '{SEP}'))), 0)"
+    mapped = f"if(s.period > period, coalesce(concat({hit}.n, substring(k, length({hit}.o) + 1)), k), k)"
+    rows = nodes.join(steps, "folder", "left").withColumn("field_key", F.expr(f"coalesce(aggregate(steps, node, (k, s) -> {mapped}), node)"))
     newest = month_schemas(nodes, months).groupBy("folder", F.col("node").alias("field_key")).agg(F.max_by("type", "period").alias("field_type"))
     rows = rows.join(newest, ["folder", "field_key"], "left").withColumn("field_type", F.coalesce("field_type", "type"))
     text = F.get_json_object(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "$.v")
@@ -237,3 +285,13 @@ def consistent_table(frontmatter: DataFrame, files: DataFrame, scripts: DataFram
         .otherwise(text)
     )
     return rows.select("folder", "period", "path", F.col("node").alias("source_key"), "field_key", "field_type", value.alias("value"), "value_json")
+
+
+def consistent_table(rows: DataFrame) -> DataFrame:
+    """folder, period, path, fields: one row per note, its values by the folder's newest field paths (members after a `.`).
+
+    Of several nodes of a note that end at one field, the one whose own name is first counts.
+    """
+    field = rows.where("value IS NOT NULL AND field_type <> 'object'").groupBy("folder", "period", "path", F.translate("field_key", SEP, ".").alias("k")).agg(F.min_by("value", F.struct("source_key", "value")).alias("v"))
+    filled = field.groupBy("folder", "period", "path").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("fields"))
+    return rows.select("folder", "period", "path").distinct().join(filled, ["folder", "period", "path"], "left")

@@ -6,27 +6,52 @@ _FM = "(SELECT DISTINCT * FROM frontmatter)"
 _LATEST_TICKETS = "(SELECT *, upper(trim(record_id)) AS k FROM (SELECT DISTINCT * FROM tickets) QUALIFY row_number() OVER (PARTITION BY upper(trim(record_id)) ORDER BY updated_at DESC) = 1)"
 _LATEST_DECISIONS = "(SELECT *, upper(trim(id)) AS k FROM (SELECT DISTINCT * FROM decisions) QUALIFY row_number() OVER (PARTITION BY upper(trim(id)) ORDER BY updated_at DESC) = 1)"
 
-P1 = f"""
-WITH n AS (SELECT path, split_part(path, '/', 1) AS folder, strftime(make_timestamp(ctime * 1000000), '%Y-%m') AS period FROM (SELECT DISTINCT path, ctime FROM files) WHERE path LIKE '%/%'),
+_P1_CHANGES = """
+WITH RECURSIVE n AS (SELECT path, split_part(path, '/', 1) AS folder, strftime(make_timestamp(ctime * 1000000), '%Y-%m') AS period FROM (SELECT DISTINCT path, ctime FROM files) WHERE path LIKE '%/%'),
 m AS (SELECT folder, period, count(*) AS files, lag(period) OVER (PARTITION BY folder ORDER BY period) AS previous FROM n GROUP BY folder, period),
-r AS (SELECT folder, period, f.path, key, type, value_json FROM {_FM} f JOIN n USING (path)),
+r AS ({rows}),
 t AS (SELECT folder, period, key, type, row_number() OVER (PARTITION BY folder, period, key ORDER BY count(*) DESC, type) AS rn FROM r GROUP BY folder, period, key, type),
 c AS (SELECT folder, period, key, count(DISTINCT path) AS carriers FROM r GROUP BY ALL),
 s AS (SELECT folder, period, key, type FROM t JOIN c USING (folder, period, key) JOIN m USING (folder, period) WHERE rn = 1 AND 2 * carriers >= files),
 b AS (SELECT coalesce(x.folder, y.folder) AS folder, coalesce(x.period, y.period) AS period, coalesce(x.key, y.key) AS key, x.type AS new_type, y.type AS old_type
       FROM (SELECT s.* FROM s JOIN m USING (folder, period) WHERE previous IS NOT NULL) x
       FULL JOIN (SELECT m.folder, m.period, s.key, s.type FROM s JOIN m ON s.folder = m.folder AND s.period = m.previous) y ON x.folder = y.folder AND x.period = y.period AND x.key = y.key),
-p AS (SELECT a.folder, a.period, d.key AS o, a.key AS n FROM b a JOIN b d USING (folder, period) WHERE a.old_type IS NULL AND d.new_type IS NULL AND a.new_type = d.old_type),
+p AS (SELECT a.folder, a.period, d.key AS o, a.key AS n FROM b a JOIN b d USING (folder, period) WHERE a.old_type IS NULL AND d.new_type IS NULL AND a.new_type = d.old_type AND {sibling}),
 d AS (SELECT DISTINCT p.folder, p.period, o, n, r.value_json AS v, EXISTS (SELECT 1 FROM r q WHERE q.folder = p.folder AND q.key = p.o AND q.period < p.period AND q.value_json = r.value_json) AS hit
       FROM p JOIN r ON r.folder = p.folder AND r.period = p.period AND r.key = p.n),
 e AS (SELECT folder, period, o, n, count(*) AS total, count(*) FILTER (WHERE hit) AS hits FROM d GROUP BY ALL),
 g AS (SELECT folder, period, list([{{'o': o, 'n': n}}] ORDER BY o, n) AS pairs FROM e WHERE 2 * hits > total GROUP BY ALL),
 w AS (SELECT folder, period, unnest(list_reduce(pairs, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.o = x[1].o OR y.n = x[1].n)) > 0 THEN a ELSE list_concat(a, x) END), recursive := true) FROM g)
+"""
+_TOP_ROWS = f"SELECT folder, period, f.path, key, type, value_json FROM {_FM} f JOIN n USING (path)"
+# with the members of objects, which in these tables are one level deep
+_ALL_ROWS = f"""WITH o AS ({_TOP_ROWS}) SELECT * FROM o
+ UNION ALL SELECT folder, period, o.path, o.key || chr(31) || j.key, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END, j.value::VARCHAR
+ FROM o, json_each(o.value_json) j WHERE o.type = 'object' AND json_type(o.value_json) = 'OBJECT' AND j.type <> 'NULL'"""
+_PARENT = "CASE WHEN contains({0}, chr(31)) THEN split_part({0}, chr(31), 1) ELSE '' END"
+P1 = _P1_CHANGES.format(rows=_TOP_ROWS, sibling="true") + """
 SELECT folder, period, 'renamed' AS change_kind, n AS field_key, o AS old_key FROM w
 UNION ALL SELECT folder, period, 'retyped', key, '' FROM b WHERE new_type <> old_type
 UNION ALL SELECT folder, period, 'added', key, '' FROM b WHERE old_type IS NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.folder = b.folder AND w.period = b.period AND w.n = b.key)
 UNION ALL SELECT folder, period, 'removed', key, '' FROM b WHERE new_type IS NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.folder = b.folder AND w.period = b.period AND w.o = b.key)
 """
+_P1_TREES = _P1_CHANGES.format(rows=_ALL_ROWS, sibling=f"{_PARENT.format('a.key')} = {_PARENT.format('d.key')}")
+P1_SCRIPT = _P1_TREES + """
+SELECT w.folder, w.period, 'rename' AS op, n AS node, o AS old_node, x.new_type AS old_type, x.new_type AS new_type, 1.0::DOUBLE AS cost FROM w JOIN b x ON x.folder = w.folder AND x.period = w.period AND x.key = w.n
+UNION ALL SELECT folder, period, 'retype', key, key, old_type, new_type, 1.0 FROM b WHERE new_type <> old_type
+UNION ALL SELECT folder, period, 'add', key, NULL, NULL, new_type, 1.0 FROM b WHERE old_type IS NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.folder = b.folder AND w.period = b.period AND w.n = b.key)
+UNION ALL SELECT folder, period, 'delete', NULL, key, old_type, NULL, 1.0 FROM b WHERE new_type IS NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.folder = b.folder AND w.period = b.period AND w.o = b.key)
+"""
+P1_CONSISTENT = _P1_TREES + """
+, ids AS (SELECT *, row_number() OVER () AS id FROM r),
+q AS (SELECT id, folder, key AS k, period AS till, 0 AS step FROM ids
+ UNION ALL SELECT q.id, q.folder, w.n || substr(q.k, length(w.o) + 1), w.period, q.step + 1 FROM q JOIN w ON w.folder = q.folder AND w.period > q.till AND (w.o = q.k OR starts_with(q.k, w.o || chr(31))) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY w.period) = 1),
+f AS (SELECT id, arg_max(k, step) AS field_key FROM q GROUP BY id),
+y AS (SELECT folder, key AS field_key, arg_max(type, period) AS newest FROM s GROUP BY ALL),
+v AS (SELECT ids.*, field_key, coalesce(newest, type) AS field_type, CASE WHEN json_type(value_json) <> 'NULL' THEN json_extract_string(value_json, '$') END AS x FROM ids JOIN f USING (id) LEFT JOIN y USING (folder, field_key))
+SELECT folder, period, path, key AS source_key, field_key, field_type, value_json,
+ CASE field_type WHEN 'number' THEN TRY_CAST(x AS DOUBLE)::VARCHAR WHEN 'bool' THEN CASE WHEN lower(x) IN ('true', '1', 'yes', 'on') THEN 'true' WHEN lower(x) IN ('false', '0', 'no', 'off') THEN 'false' END ELSE x END AS value FROM v
+"""
 
 _MOMENT = "(CASE WHEN right({0}, 1) = 'Z' THEN replace(replace({0}, 'T', ' '), 'Z', '')::TIMESTAMP WHEN regexp_matches({0}, '[+-][0-9]{{2}}:[0-9]{{2}}$') THEN replace(left({0}, length({0}) - 6), 'T', ' ')::TIMESTAMP - CASE substr({0}, length({0}) - 5, 1) WHEN '-' THEN -1 ELSE 1 END * (to_hours(substr({0}, length({0}) - 4, 2)::INT) + to_minutes(right({0}, 2)::INT)) ELSE {0}::TIMESTAMP END)"
 
@@ -99,6 +124,6 @@ P6 = _CELLS + "SELECT path, key_name, cell FROM c WHERE cell IS NOT NULL"
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p5_found": P5, "p5_paths": P5_PATHS,
+        "p1_found": P1, "p1_script": P1_SCRIPT, "p1_consistent": P1_CONSISTENT, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p5_found": P5, "p5_paths": P5_PATHS,
         "p5_descendants": P5_DESCENDANTS, "p5_rings": P5_RINGS, "p6_found": P6,
     }

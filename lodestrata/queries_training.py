@@ -25,7 +25,11 @@ def p1_script(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_consistent(spark: SparkSession, d: str) -> DataFrame:
     fm, files = _t(spark, d, "frontmatter", "files")
-    return schema_drift.consistent_table(fm, files, schema_drift.drift_scripts(fm, files))
+    return schema_drift.consistent_rows(fm, files, schema_drift.drift_scripts(fm, files))
+
+
+def p1_table(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.consistent_table(p1_consistent(spark, d)).withColumn("fields", F.coalesce(F.to_json("fields"), F.lit("{}")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,4 +86,4 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_script, p1_consistent, p2_found, p2_values, p3_found, p3_report, p4_found, p4_state, p5_found, p5_paths, p5_descendants, p5_rings, p6_found, p6_wide)}
+    return {f.__name__: f for f in (p1_found, p1_script, p1_consistent, p1_table, p2_found, p2_values, p3_found, p3_report, p4_found, p4_state, p5_found, p5_paths, p5_descendants, p5_rings, p6_found, p6_wide)}

@@ -67,6 +67,55 @@ def test_edit_script_costs_and_moves():
     assert ops == {("rename", ("a",), ("c",)), ("rename", ("b",), ("d",))}
 
 
+def test_evidenced_pairs_come_in_order_whatever_their_number():
+    """60 by 60 open pairs: name order decides exactly."""
+    old, new = {(f"a{i:02d}",): "string" for i in range(60)}, {(f"b{i:02d}",): "string" for i in range(60)}
+    got = schema_drift.edit_script(old, new, {(o, n) for o in old for n in new})
+    assert {(x["old"], x["new"]) for x in got} == {((f"a{i:02d}",), (f"b{i:02d}",)) for i in range(60)}
+
+
+def test_matching_is_the_best_of_all():
+    import random
+    from itertools import permutations
+
+    draw = random.Random(4)
+    for _ in range(200):
+        n, m = draw.randint(1, 4), draw.randint(1, 4)
+        gain = {(i, j): draw.choice([1, 2, 3, 2**70, 2**70 + 1]) for i in range(n) for j in range(m) if draw.random() < 0.6}
+        got = schema_drift.best_matching(gain)
+        assert len(set(got.values())) == len(got) and all(ij in gain for ij in got.items())
+        wide = [*range(m), *[None] * n]
+        best = max(sum(gain.get((i, j), 0) for i, j in enumerate(p[:n])) for p in permutations(wide, n))
+        assert sum(gain[ij] for ij in got.items()) == best
+
+
+def test_scripts_rename_and_move_within_objects():
+    s = schema_drift.edit_script
+    old = {("o",): "object", ("o", "a"): "string", ("o", "b"): "number", ("o", "b", "c"): "bool"}
+    new = {("p",): "object", ("p", "z"): "string", ("p", "b"): "number", ("b",): "number", ("b", "c"): "bool"}
+    ops = {(x["op"], x["old"], x["new"]) for x in s(old, new, {(("o",), ("p",)), (("o", "a"), ("p", "z"))})}
+    assert ops == {("rename", ("o",), ("p",)), ("rename", ("o", "a"), ("p", "z")), ("move", ("o", "b", "c"), ("b", "c")), ("add", None, ("b",))}
+    ops = {(x["op"], x["old"], x["new"]) for x in s({("o",): "object", ("o", "b"): "object", ("o", "b", "c"): "bool"}, {("o",): "object", ("b",): "object", ("b", "c"): "bool"}, set())}
+    assert ops == {("move", ("o", "b"), ("b",))}  # its member goes along
+
+
+def test_projection_applies_renames_at_every_level_and_moves(spark):
+    files = spark.createDataFrame([(f"f/{m}.md", t) for m, t in (("one", 1_700_000_000), ("two", 1_704_000_000), ("three", 1_707_000_000))], "path string, ctime long")
+    fm = spark.createDataFrame(
+        [("f/one.md", "origin", "object", '{"by":"x","rev":1,"at":"2024"}'), ("f/two.md", "source", "object", '{"who":"x","rev":2}'), ("f/two.md", "at", "string", '"2024"'), ("f/three.md", "source", "object", '{"who":"y","rev":"3"}'), ("f/three.md", "at", "string", '"2025"')],
+        "path string, key string, type string, value_json string",
+    )
+    s = schema_drift.SEP
+    scripts = spark.createDataFrame(
+        [("f", "2023-12", "rename", "source", "origin", "object", "object", 1.0), ("f", "2023-12", "rename", f"source{s}who", f"origin{s}by", "string", "string", 1.0), ("f", "2023-12", "move", "at", f"origin{s}at", "string", "string", 1.0)],
+        schema_drift.SCRIPT_SCHEMA,
+    )
+    rows = schema_drift.consistent_rows(fm, files, scripts)
+    assert {(r.source_key, r.field_key) for r in rows.where("path = 'f/one.md'").collect()} == {("origin", "source"), (f"origin{s}by", f"source{s}who"), (f"origin{s}rev", f"source{s}rev"), (f"origin{s}at", "at")}
+    table = {r.path: r.fields for r in schema_drift.consistent_table(rows).collect()}
+    assert table["f/one.md"] == {"source.who": "x", "source.rev": "1", "at": "2024"} and set(table) == {"f/one.md", "f/two.md", "f/three.md"}
+
+
 def test_history_runs_cross_words_and_slices(spark):
     rows = [("t", "f", None if i % 150 == 149 else f"v{i // 70}", f"v{(i + 1) // 70}", f"2024-01-{1 + i // 100:02d} 00:{i % 100 // 2:02d}:{i % 2 * 30:02d}", None) for i in range(400)]
     h = spark.createDataFrame(rows, "ticket_record_id string, field string, old_value string, new_value string, changed_at string, deleted_at string")
