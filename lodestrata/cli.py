@@ -21,6 +21,7 @@ from .plans import index, primitives, rank
 from .sources import base_view, markdown, sinks
 from .vault import FILE_COLUMNS, Vault
 
+DEFAULT_ROWS = 10_000  # of indented output, which is built in one piece
 VERBS = ("query", "files", "tags", "backlinks", "outlinks", "meta", "schema", "base", "related", "context", "search", "counts")
 _NEEDS_PATH = ("backlinks", "outlinks", "meta", "related", "context")
 
@@ -116,10 +117,18 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         if a.verb in ("related", "context", "search") and not (a.full or a.flat):
             df = df.select("path", "score")
         df = sinks.chosen(df, a.fields.split(",")) if a.fields else df
-        if a.oneline:
-            print("\n".join(r[0] for r in sinks.one_line(df).limit(a.limit or 2**31 - 1).collect()))
+        df = df.limit(a.limit) if a.limit else df
+        if a.oneline or a.jsonl:
+            for text in sinks.stream_text(sinks.one_line(df) if a.oneline else sinks.json_lines(df)):
+                print(text)
+        elif a.pretty:
+            print(sinks.render(df, a.limit or DEFAULT_ROWS, a.pretty))
         else:
-            print(sinks.render(df, a.limit or 2**31 - 1, a.pretty, a.jsonl))
+            sep = "["
+            for text in sinks.stream_text(sinks.json_lines(df)):
+                print(sep, text, sep="", end="")
+                sep = ","
+            print("[]" if sep == "[" else "]")
     except QueryError as e:
         print(e, file=sys.stderr)
         return 65

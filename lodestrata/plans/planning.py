@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timetext import fold_id
+from ..operators.hierarchy import hierarchy, with_paths
 
 
 def current(df: DataFrame, key: str) -> DataFrame:
@@ -84,10 +85,81 @@ def unblocked(tickets: DataFrame, deps: DataFrame, closed: tuple[str, ...] = ())
     return t.join(held.select(F.col("_to").alias("_key")), "_key", "left_anti").select("record_id")
 
 
-def with_label(tickets: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Live tickets that bear a label; labels is (ticket_record_id, label)."""
-    marked = labels.where(F.col("label") == label).select(fold_id(F.col("ticket_record_id")).alias("_key"))
-    return live(tickets, "record_id").join(marked, "_key", "left_semi").select("record_id", "title")
+def ticket_list(tickets: DataFrame, idmap: DataFrame, labels: DataFrame | None = None, label: str | None = None, parent: str | None = None, under: str | None = None, leaf: bool = False, **equal: str) -> DataFrame:
+    """ticket_read's rows by label number; every filter is optional and all must hold.
+
+    equal: column = value of status, team, assigned_to, decision_ref, type or priority. label: live labels
+    (ticket_record_id, label) of the ticket. parent, under: a record id or label number; the ticket lies directly, or
+    anywhere, below it. leaf: without a live child. An unknown parent or root gives no rows.
+    """
+    rows = live(tickets, "record_id")
+    for k, v in equal.items():
+        rows = rows.where(F.col(k) == v)
+    rows = rows.select("_key", fold_id(F.col("parent_record_id")).alias("_parent"))
+    if label is not None:
+        if labels is None:
+            raise ValueError("a label filter needs the labels")
+        rows = rows.join(labels.where(F.col("label") == label).select(fold_id(F.col("ticket_record_id")).alias("_key")), "_key", "left_semi")
+    if parent is not None:
+        rows = rows.join(_named(idmap, parent).withColumnRenamed("_key", "_parent"), "_parent", "left_semi")
+    if under is not None:
+        tree = with_paths(hierarchy(tickets)).where("depth > 0")
+        above = tree.select(F.col("key").alias("_key"), F.explode(F.slice("path", F.lit(1), F.col("depth"))).alias("above"))
+        inside = above.select("_key", fold_id(F.col("above")).alias("_above")).join(_named(idmap, under).withColumnRenamed("_key", "_above"), "_above", "left_semi")
+        rows = rows.join(inside, "_key", "left_semi")
+    if leaf:
+        kids = live(tickets, "record_id").select(fold_id(F.col("parent_record_id")).alias("_key")).where("_key IS NOT NULL").distinct()
+        rows = rows.join(kids, "_key", "left_anti")
+    keep = rows.select(F.col("_key").alias("_kept"))
+    out = ticket_read(tickets, idmap)
+    return out.join(keep, fold_id(F.col("record_id")) == F.col("_kept"), "left_semi").orderBy(number_of(F.col("ticket_id")), "record_id")
+
+
+def _named(idmap: DataFrame, one: str) -> DataFrame:
+    """The key of a ticket given by its record id or its label number."""
+    wanted = one.strip().upper()
+    by_label = idmap.where(F.upper(F.trim("ticket_id")) == wanted).select(fold_id(F.col("record_id")).alias("_key"))
+    return by_label.unionByName(idmap.sparkSession.createDataFrame([(wanted,)], "_key string")).distinct()
+
+
+def ancestors(tickets: DataFrame, one: str) -> DataFrame:
+    """distance, record_id, type, title of what lies above a ticket, its parent first; none at or below a ring."""
+    rows = live(tickets, "record_id").select("record_id", "type", "title")
+    tree = with_paths(hierarchy(tickets)).where(F.col("key") == one.strip().upper())
+    up = tree.select("depth", F.posexplode("path").alias("i", "record_id")).where("i < depth").select((F.col("depth") - F.col("i")).alias("distance"), "record_id")
+    return up.join(rows, "record_id").select("distance", "record_id", "type", "title").orderBy("distance")
+
+
+def show_tree(tickets: DataFrame, decisions: DataFrame, deps: DataFrame, one: str) -> DataFrame:
+    """section, position, id, title of everything around one live ticket, a row for each.
+
+    Sections: ticket, ancestor (position: distance), decision (those of the ticket and its ancestors, distinct, nearest first),
+    blocker, child, subtree (position: distance; children included). An unknown or dead ticket gives no rows.
+    """
+    me = one.strip().upper()
+    rows = live(tickets, "record_id").select("_key", "record_id", "title", fold_id(F.col("decision_ref")).alias("_decision"))
+    tree = with_paths(hierarchy(tickets))
+    own = tree.where(F.col("key") == me)
+    up = own.select("depth", F.posexplode("path").alias("i", "record_id")).where("i < depth").select((F.col("depth") - F.col("i")).alias("position"), "record_id")
+    line = up.unionByName(own.select(F.lit(0).alias("position"), "record_id"))
+    known = live(decisions, "id").select(F.col("_key").alias("_decision"), "id", "title")
+    meant = line.join(rows.select("record_id", "_decision"), "record_id").where("_decision IS NOT NULL").groupBy("_decision").agg(F.min("position").alias("position"))
+    below = tree.where("depth > 0").select("record_id", "depth", F.posexplode("path").alias("i", "above")).where((fold_id(F.col("above")) == me) & (F.col("i") < F.col("depth")))
+    below = below.select((F.col("depth") - F.col("i")).alias("position"), "record_id")
+    part = lambda df, name: df.join(rows.select("record_id", "title"), "record_id").select(F.lit(name).alias("section"), "position", F.col("record_id").alias("id"), "title")
+    held = blockers(tickets, deps).where(fold_id(F.col("blocked")) == me).select(F.lit("blocker").alias("section"), F.lit(1).alias("position"), F.col("blocker").alias("id"), F.col("blocker_title").alias("title"))
+    out = part(own.select(F.lit(0).alias("position"), "record_id"), "ticket").unionByName(part(up, "ancestor")).unionByName(part(below, "subtree")).unionByName(part(below.where("position = 1"), "child"))
+    return out.unionByName(meant.join(known, "_decision").select(F.lit("decision").alias("section"), "position", "id", "title")).unionByName(held)
+
+
+def board(tickets: DataFrame, idmap: DataFrame, columns: list[tuple[str, str]], team: str | None = None) -> DataFrame:
+    """position, status, label, ticket_id, title, priority: live tickets in the order of columns (status, label), then by number.
+
+    Statuses outside columns have no place on the board; columns without a ticket have no rows.
+    """
+    wanted = tickets.sparkSession.createDataFrame([(i, s, n) for i, (s, n) in enumerate(columns)], "position int, status string, label string")
+    rows = ticket_list(tickets, idmap, **({"team": team} if team else {}))
+    return rows.join(F.broadcast(wanted), "status").select("position", "status", "label", "ticket_id", "title", "priority").orderBy("position", number_of(F.col("ticket_id")), "ticket_id")  # a vocabulary
 
 
 def dashboard(decisions: DataFrame, tickets: DataFrame) -> DataFrame:

@@ -20,11 +20,7 @@ from ..vault import Vault
 
 _OPEN = re.compile(r"^---(?:\r?\n|\Z)")
 _CLOSE = re.compile(r"^---[ \t\r]*$", re.M)
-_INLINE_TAG = re.compile(r"(?:^|\s)#([A-Za-z][\w/\-]*)", re.ASCII)
-_WIKI = re.compile(r"(!)?\[\[([^\]]+?)\]\]")
-_LINK = re.compile(r"!?\[([^\]]*)\]\(([^)]+)\)")
-_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
+_TAG_NAME = re.compile(r"[A-Za-z][A-Za-z0-9_/-]*")
 
 
 def split_frontmatter(text: str) -> tuple[str | None, str]:
@@ -123,23 +119,115 @@ def typed_values(front: str | None) -> tuple[list[dict], dict]:
     return rows, doc
 
 
+def _fence(line: str) -> str:
+    """The run of three or more backticks or tildes that a line begins with, after any blanks."""
+    text = line.lstrip(" \t")
+    run = len(text) - len(text.lstrip(text[:1])) if text[:1] in ("`", "~") else 0
+    return text[:run] if run > 2 else ""
+
+
 def open_lines(body: str) -> list[tuple[int, int, str]]:
     """(line from 1, offset, text) of the lines outside fences. A fence closes with its own character, at least as long."""
     out, fence, offset = [], "", 0
     for n, raw in enumerate(body.split("\n"), 1):
         line = raw[:-1] if raw.endswith("\r") else raw
-        m = _FENCE.match(line)
+        mark = _fence(line)
         if fence:
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence):
+            if mark.startswith(fence):
                 fence = ""
-        elif m:
-            fence = m[1]
+        elif mark:
+            fence = mark
         else:
             out.append((n, offset, line))
         offset += len(line.encode("utf-8", "replace")) + 1
     return out
 
 
+def inline_tags(line: str) -> list[str]:
+    """Names of the hashtags that begin a word of a line: a letter, then letters, digits, _, - and /."""
+    if "#" not in line:
+        return []
+    words = line.replace("\t", " ").replace("\f", " ").replace("\v", " ").replace("\r", " ").split(" ")
+    return [m[0] for w in words if w[:1] == "#" and (m := _TAG_NAME.match(w, 1))]
+
+
+def wiki_links(line: str) -> list[tuple[bool, str]]:
+    """(embedded, inner text) of every [[...]] of a line; the text is not empty and has no closing bracket."""
+    out, at = [], line.find("[[")
+    while at >= 0:
+        end = line.find("]", at + 2)
+        if end < 0:
+            break
+        if end > at + 2 and line.startswith("]]", end):
+            out.append((line[at - 1 : at] == "!", line[at + 2 : end]))
+            at = line.find("[[", end + 2)
+        else:
+            at = line.find("[[", at + 1)
+    return out
+
+
+def inline_links(line: str) -> list[tuple[str, str]]:
+    """(label, target) of every [label](target) of a line, images included; the target is not empty."""
+    out, at, close = [], line.find("["), -1
+    while at >= 0:
+        if close <= at:
+            close = line.find("]", at + 1)
+        if close < 0:
+            break
+        end = line.find(")", close + 2) if line.startswith("](", close) else -1
+        if end > close + 2:
+            out.append((line[at + 1 : close], line[close + 2 : end]))
+            at = line.find("[", end + 1)
+        else:
+            at = line.find("[", at + 1)
+    return out
+
+
+def heading(line: str) -> tuple[int, str] | None:
+    """(depth, text) of a line of one to six # and a blank; closing # are not part of the text."""
+    depth = len(line) - len(line.lstrip("#"))
+    if not 1 <= depth <= 6 or not line[depth : depth + 1].isspace() or not line[depth:].strip():
+        return None
+    return depth, line[depth:].strip().rstrip("#").rstrip()
+
+
+def slug(text: str) -> str:
+    """Lower case; ASCII letters, digits and _ stay, runs of blanks and hyphens become one hyphen, all else goes."""
+    kept = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789_" else "-" if c in " -" else "" for c in text.lower())
+    return "-".join(x for x in kept.split("-") if x)
+
+
+def anchors(body: str | None) -> list[tuple[int, str, str]]:
+    """(level, text, slug) of a body's headings with an anchor; a slug that came before gets -1, -2 and so on.
+
+    Here any line that begins with three backticks opens or closes a fence.
+    """
+    out, seen, fenced = [], {}, False
+    for line in (body or "").split("\n"):
+        if line.strip().startswith("```"):
+            fenced = not fenced
+            continue
+        depth = min(len(line) - len(line.lstrip("#")), 6)
+        if fenced or not depth or line[depth : depth + 1] not in (" ", "\t"):
+            continue
+        text = line[depth + 1 :].strip().rstrip("# \t")
+        name = slug(text)
+        if name:
+            n = seen[name] = seen.get(name, -1) + 1
+            out.append((depth, text, f"{name}-{n}" if n else name))
+    return out
+
+
+def heading_anchors(notes: DataFrame) -> DataFrame:
+    """path, level, text, slug of every heading of notes (path, content); null contents have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(p, *a) for p, t in zip(pdf["path"], pdf["content"], strict=True) for a in anchors(t)], columns=["path", "level", "text", "slug"])
+
+    return notes.select("path", "content").mapInPandas(run, "path string, level int, text string, slug string")
+
+
 def _front_tags(doc: dict) -> list[str]:
     out = []
     for key in ("tags", "tag"):
@@ -164,14 +252,14 @@ def extract(text: str | None) -> dict:
         out["error"] = str(e)
     tags = set(_front_tags(doc))
     for n, offset, line in open_lines(body):
-        tags.update(_INLINE_TAG.findall(line))
-        for bang, inner in _WIKI.findall(line):
+        tags.update(inline_tags(line))
+        for embedded, inner in wiki_links(line):
             target, _, alias = inner.partition("|")
-            out["links"].append({"target_path": target.strip(), "alias": alias.strip() or None, "link_type": "embed" if bang else "wiki", "line": n})
-        for label, target in _LINK.findall(line):
+            out["links"].append({"target_path": target.strip(), "alias": alias.strip() or None, "link_type": "embed" if embedded else "wiki", "line": n})
+        for label, target in inline_links(line):
             out["links"].append({"target_path": target.strip(), "alias": label or target.strip(), "link_type": "md", "line": n})
-        if m := _HEADING.match(line):
-            out["headings"].append({"depth": len(m[1]), "text": m[2].rstrip("#").rstrip(), "line_offset": offset})
+        if h := heading(line):
+            out["headings"].append({"depth": h[0], "text": h[1], "line_offset": offset})
     out["tags"] = sorted(tags)
     return out
 
@@ -204,6 +292,17 @@ def relations(files: DataFrame, notes: DataFrame) -> Vault:
     )
 
 
+_GLOB = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
+def _class(text: str) -> str:
+    """A glob's character class as a pattern's; it never matches a slash."""
+    inside = text[1:-1]
+    negated = inside[0] in "!^"
+    inside = re.sub(r"([\\\[\]&^])", r"\\\1", inside[1:] if negated else inside)
+    return f"[^/{inside}]" if negated else f"[{inside}]"
+
+
 def _ignored(rules: list[str]) -> list[tuple[bool, re.Pattern]]:
     """gitignore lines as (re-include, regex) in order; the last match decides."""
     out = []
@@ -212,9 +311,11 @@ def _ignored(rules: list[str]) -> list[tuple[bool, re.Pattern]]:
         if not line or line.startswith("#"):
             continue
         keep, line = (True, line[1:]) if line.startswith("!") else (False, line)
-        anchored, line = "/" in line.rstrip("/"), line.lstrip("/")
-        body = "".join({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|[^*?/]+|/", line.rstrip("/")))
-        out.append((keep, re.compile(rf"^(?:{'' if anchored else '(?:.*/)?'}{body})(?:/.*)?$")))
+        anchored, below, line = "/" in line.rstrip("/"), line.endswith("/"), line.lstrip("/")
+        parts = re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[[!^]?\]?[^\]/]*\]|[^*?/\[]+|/|\[", line.rstrip("/"))
+        body = "".join(_GLOB.get(t) or (_class(t) if len(t) > 2 and t[0] == "[" else re.escape(t)) for t in parts)
+        # a rule that ends in a slash names a folder: it needs something below it
+        out.append((keep, re.compile(rf"^(?:{'' if anchored else '(?:.*/)?'}{body})(?:/.*){'' if below else '?'}$")))
     return out
 
 

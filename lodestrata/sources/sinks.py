@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,21 @@ def render(df: DataFrame, limit: int, pretty: bool = False, lines: bool = False)
     return json.dumps([json.loads(r) for r in rows], indent=2 if pretty else None, ensure_ascii=False)
 
 
+def single(df: DataFrame, pretty: bool = False) -> str:
+    """The one row of a result as a JSON object; no row is null, several are an error."""
+    import json
+
+    rows = [r[0] for r in json_lines(df.limit(2)).collect()]
+    if len(rows) > 1:
+        raise ValueError("more than one row")
+    return json.dumps(json.loads(rows[0]) if rows else None, indent=2 if pretty else None, ensure_ascii=False)
+
+
+def stream_text(df: DataFrame) -> Iterator[str]:
+    """A one-column result's texts, a partition at a time; the driver never holds the whole."""
+    return (r[0] for r in df.toLocalIterator())
+
+
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """stored with the rows of changes put in by key; changes has one row per key."""
     return stored.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)

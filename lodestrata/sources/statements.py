@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _INSERT = re.compile(r"^\s*INSERT\s+INTO\s+(\w+)\s*\(([^)]*)\)\s*VALUES\s*\(", re.I)
+_QUIET = frozenset(("VACUUM", "BEGIN", "COMMIT", "PRAGMA"))
 _CONFLICT = re.compile(r"\bON\s+CONFLICT\s*\(([^)]*)\)", re.I)
 
 
@@ -85,13 +86,14 @@ def read(statement: str) -> dict[str, object] | None:
     return {"table": m[1], "keys": [c.strip() for c in key[1].split(",")] if key else [], "row": dict(zip(cols, got, strict=True))}
 
 
-LINES = "log_file string, line_no int, table_name string, key_columns string, row_json string, updated_at string, deleted_at string, hash string, canonical_version int"
+LINES = "error string, log_file string, line_no int, table_name string, key_columns string, row_json string, updated_at string, deleted_at string, hash string, canonical_version int"
 
 
-def read_log(spark: SparkSession, root: str) -> DataFrame:
-    """Every statement below root (table/month.sql files) as changelog rows; unreadable statements are left out.
+def read_log(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
+    """Every statement below root (table/month.sql files) as changelog rows, and error: why a statement is none, else null.
 
-    Files are split among tasks; one file is read by one task, as its statements have an order.
+    A statement that can't be read stops the import, as later ones may rest on it; strict=False keeps it as a row with its
+    error and its text as row_json. Empty statements and VACUUM and transaction words are no rows. Files are split among tasks; one file is read by one task, as its statements have an order.
     """
     import json
 
@@ -103,11 +105,20 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
             out = []
             for f, text in zip(pdf["log_file"], pdf["value"], strict=True):
                 for k, s in enumerate(split(text), 1):
-                    got = read(s)
-                    if got:
+                    if s.split(None, 1)[0].upper() in _QUIET:
+                        continue
+                    try:
+                        got, why = read(s), "no upsert of as many values as columns"
+                    except ValueError as e:
+                        got, why = None, str(e)
+                    if got is None and strict:
+                        raise ValueError(f"{f}, statement {k}: {why}")
+                    if got is None:
+                        out.append((why, f, k, None, None, s, None, None, None, None))
+                    else:
                         r = got["row"]
                         body = {c: v for c, v in r.items() if c not in ("updated_at", "deleted_at", "hash", "canonical_version")}
-                        out.append((f, k, got["table"], ",".join(got["keys"]), json.dumps(body, ensure_ascii=False), r.get("updated_at"), r.get("deleted_at"), r.get("hash"), r.get("canonical_version")))
+                        out.append((None, f, k, got["table"], ",".join(got["keys"]), json.dumps(body, ensure_ascii=False), r.get("updated_at"), r.get("deleted_at"), r.get("hash"), r.get("canonical_version")))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     return rows.mapInPandas(run, LINES)

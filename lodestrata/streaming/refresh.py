@@ -17,24 +17,33 @@ from ..plans.index import classify
 from ..runtime import cut, scratch
 
 
-def follow_log(spark: SparkSession, path: str, store: MergeStore, schema: str | None = None, available_now: bool = True, every: str = "250 milliseconds") -> StreamingQuery:
-    """Append each batch of new log rows below path (a folder, or a pattern) to the store; it compacts itself as runs gather."""
+def follow_log(spark: SparkSession, path: str, store: MergeStore, schema: str | None = None, available_now: bool = True, every: str = "250 milliseconds", checkpoint: str | None = None) -> StreamingQuery:
+    """Append each batch of new log rows below path (a folder, or a pattern) to the store; it compacts itself as runs gather.
+
+    checkpoint keeps which files were read; it lies beside the store's runs unless given, so that a restart goes on from there.
+    """
     wanted = schema or spark.read.parquet(path).schema
     lines = spark.readStream.schema(wanted).parquet(path)
-    out = lines.writeStream.option("checkpointLocation", scratch(spark, "follow-log"))
+    out = lines.writeStream.option("checkpointLocation", checkpoint or f"{store.path}/follow")
     out = out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)
     return out.foreachBatch(lambda batch, _: store.append(log_versions(batch))).start()
 
 
-def distinct_history(stream: DataFrame) -> DataFrame:
-    """The first row of each hash of a history stream, the hashes seen so far being the state."""
-    return stream.where("hash IS NOT NULL").dropDuplicates(["hash"])
+def distinct_history(stream: DataFrame, at: str | None = None, within: str = "30 days") -> DataFrame:
+    """The first row of each hash of a history stream, the hashes seen being the state.
+
+    at names a timestamp column by which the state is bounded: a hash is forgotten once the stream has gone on by `within`,
+    and rows later than that are left out. Without it every hash is kept, which only a bounded stream can afford.
+    """
+    rows = stream.where("hash IS NOT NULL")
+    return rows.withWatermark(at, within).dropDuplicatesWithinWatermark(["hash"]) if at else rows.dropDuplicates(["hash"])
 
 
-def poll_vault(spark: SparkSession, scan: Callable[[], DataFrame], stored: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], None], every: str = "1 second") -> StreamingQuery:
+def poll_vault(spark: SparkSession, scan: Callable[[], DataFrame], stored: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], None], every: str = "1 second", checkpoint: str | None = None) -> StreamingQuery:
     """Rescan and diff on a clock: file sources see new files only, a vault's notes also change and vanish.
 
-    apply(scan, actions) gets the scan and the classified paths whenever anything but 'unchanged' is among them.
+    apply(scan, actions) gets the scan and the classified paths whenever anything but 'unchanged' is among them. Changes
+    between two ticks are one batch. The clock's checkpoint holds nothing of the vault: what was seen is what apply stored.
     """
 
     def tick(_: DataFrame, __: int) -> None:
@@ -44,4 +53,4 @@ def poll_vault(spark: SparkSession, scan: Callable[[], DataFrame], stored: Calla
             apply(seen, acts)
 
     beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return beat.writeStream.option("checkpointLocation", scratch(spark, "poll-vault")).trigger(processingTime=every).foreachBatch(tick).start()
+    return beat.writeStream.option("checkpointLocation", checkpoint or scratch(spark, "poll-vault")).trigger(processingTime=every).foreachBatch(tick).start()

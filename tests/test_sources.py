@@ -107,13 +107,33 @@ def test_statements_round_trip(spark, tmp_path):
 
 
 def test_decision_records(spark):
-    text = "### D-1: First\n- **Status:** active\n- **Date:** 2024-01-01\nSupersedes D-2 and Q-3.\n---\nD-9 outside\n### Q-03: \n- **status:** open\nsee T-4, D-77\n### R-5: Third\r\n" + "x" * 300 + " D-1"
-    got = decisions.records(text)
-    assert [(r["id"], r["type"], r["title"], r["status"], r["date"]) for r in got] == [("D-1", "confirmed", "First", "active", "2024-01-01"), ("Q-3", "question", "", "open", None), ("R-5", "rejected", "Third", None, None)]
-    assert [(x["target"], x["ref_type"]) for x in got[0]["refs"]] == [("D-2", "supersedes"), ("Q-3", "supersedes")]
-    assert len(got[2]["refs"][0]["note"].encode()) <= 200
-    df = spark.createDataFrame([("a.md", text), ("b.md", "### D-1: Again"), ("c.md", None)], "path string, content string")
-    assert rows_of(decisions.violations(decisions.decision_records(df))) == sorted([("D-1", "duplicate_id"), ("D-1", "broken_ref"), ("Q-3", "empty_title"), ("Q-3", "broken_ref")])
+    text = (
+        "### D-1: First\n- **Date:** 2024-01-01\n- **Superseded by:** D-2\n- **Supersedes:** D-012, D-1\nmay resolve Q-4, T-5 or xD-7\n  - **Resolves:** Q-4 and Q-4\n**Amendment (2024):** D-3\n---\nD-9 outside\n"
+        "### Q-03:  \r\n- **Status:** Resolved, partially\n### Q-5: Fifth\n- **Status:** resolved by D-1\n- **Status:** open\n- **Depends on:** D-3\n### Q-6: Sixth\n### R-5: Third\r\n- **Rejected:** 2023-05-06\n- **Superseded by:** D-1\n- see D-1 " + "ü" * 150
+    )
+    df = spark.createDataFrame([("decisions/arch.md", text), ("decisions/Other One.md", "### D-1: Again"), ("questions/arch-x.md", None), ("questions/arch.md", ""), ("questions/README.md", "### Q-9: no")], "path string, content string")
+    got = decisions.decision_records(df).where("path = 'decisions/arch.md'").orderBy("ordinal").collect()
+    assert [(r.id, r.type, r.title, r.status, r.date, r.domain) for r in got] == [
+        ("D-1", "confirmed", "First", "superseded", "2024-01-01", "arch"), ("Q-03", "question", "", "open", None, "arch"), ("Q-5", "question", "Fifth", "resolved", None, "arch"),
+        ("Q-6", "question", "Sixth", "open", None, "arch"), ("R-5", "rejected", "Third", "active", "2023-05-06", "arch"),
+    ]
+    assert got[2].body == "- **Depends on:** D-3"
+    refs = {(r.id, r.target, r.ref_type): r.note for r in decisions.decision_references(df).collect()}
+    assert set(refs) == {("D-1", "D-2", "references"), ("D-1", "D-012", "supersedes"), ("D-1", "Q-4", "references"), ("D-1", "Q-4", "resolves"), ("D-1", "D-3", "amends"), ("Q-5", "D-1", "references"), ("Q-5", "D-3", "depends_on"), ("R-5", "D-1", "references")}
+    assert refs["D-1", "Q-4", "resolves"] == "**Resolves:** Q-4 and Q-4"
+    assert refs["R-5", "D-1", "references"].endswith("ü...") or len(refs["R-5", "D-1", "references"].encode()) <= 200
+    bad = {(r.problem, r.subject, r.other) for r in decisions.violations(df).collect()}
+    assert bad == {
+        ("duplicate_id", "D-1", ""), ("empty_title", "Q-03", ""), ("broken_ref", "D-1", "D-2"), ("broken_ref", "D-1", "D-012"), ("broken_ref", "D-1", "Q-4"), ("broken_ref", "D-1", "D-3"), ("broken_ref", "Q-5", "D-3"),
+        ("filename_style", "decisions/Other One.md", ""), ("wrong_folder", "decisions/arch.md", "Q-03"), ("wrong_folder", "decisions/arch.md", "Q-5"), ("wrong_folder", "decisions/arch.md", "Q-6"), ("wrong_folder", "decisions/arch.md", "R-5"),
+        ("unpaired", "questions/arch-x.md", ""), ("shared_prefix", "questions/arch.md", "questions/arch-x.md"),
+    }
+
+
+def test_decision_sync(spark):
+    old = spark.createDataFrame([("D-1", "a"), ("D-2", "b"), ("D-3", None)], "id string, hash string")
+    new = spark.createDataFrame([("D-1", "a"), ("D-2", "c"), ("D-4", "d")], "id string, hash string")
+    assert rows_of(decisions.sync(old, new)) == [("D-1", "unchanged"), ("D-2", "changed"), ("D-3", "pruned"), ("D-4", "new")]
 
 
 def test_log_stream_arrives_in_any_order_and_repeats(spark, small, tmp_path):
@@ -165,3 +185,33 @@ def test_polling_applies_changes_and_removals(spark, tmp_path):
     finally:
         q.stop()
     assert state["seen"] == [{"a.md": "new", "gone.md": "removed"}]
+
+
+def test_scanners_of_a_line():
+    assert markdown.inline_tags("#one a#no (#no) #two/x-y_z, #3 #é\t#four") == ["one", "two/x-y_z", "four"]
+    assert markdown.wiki_links("[[a|b]] ![[c]] [[]] [[x]y]] [[[d]] [[open") == [(False, "a|b"), (True, "c"), (False, "[d")]
+    assert markdown.inline_links("[a](b) ![](c d) [x]() [no] (y) [p [q](r) [[w]](z)") == [("a", "b"), ("", "c d"), ("p [q", "r")]
+    assert [markdown.heading(x) for x in ("# A #", "####### no", "#no", "###### six ", "##   ", " # no", "## C# ##")] == [(1, "A"), None, None, (6, "six"), None, None, (2, "C#")]
+    assert markdown.inline_links("[" * 200_000) == [] and markdown.wiki_links("[[" * 100_000) == []
+
+
+def test_fences_may_be_indented():
+    body = "    ```\n# in\n\t```\n# out\n~~~~\n# in\n~~~\n# in\n~~~~~ x\n# out2"
+    assert [t for _, _, t in markdown.open_lines(body)] == ["# out", "# out2"]
+
+
+def test_anchors_and_slugs():
+    assert markdown.slug("  Hello, World -- Foo_Bar é! ") == "hello-world-foo_bar"
+    assert markdown.anchors("# A b\n## A b\n```\n# no\n```\n###### A  B #\n# é\n####### x\n#\tT") == [(1, "A b", "a-b"), (2, "A b", "a-b-1"), (6, "A  B", "a-b-2"), (1, "T", "t")]
+    assert markdown.anchors(None) == []
+
+
+def test_ignore_rules_know_classes_and_folders():
+    def gone(rules, path):
+        drop = False
+        for keep, p in markdown._ignored(rules):
+            drop = (not keep) if p.match(path) else drop
+        return drop
+
+    assert gone(["[Dd]rafts/"], "Drafts/a.md") and gone(["[Dd]rafts/"], "x/drafts/a.md") and not gone(["[Dd]rafts/"], "drafts") and not gone(["drafts.md/"], "drafts.md")
+    assert gone(["n[!0-9].md"], "nx.md") and not gone(["n[!0-9].md"], "n1.md") and not gone(["n[!0-9]md"], "n/md") and gone(["*.md", "!keep.md"], "a/b.md") and not gone(["*.md", "!keep.md"], "keep.md")
