@@ -44,15 +44,16 @@ class Compiler:
         self.now = now or datetime.now(timezone.utc)
         self.fm: dict[str, str] = {}
         self.marks: list[tuple[str, Column, DataFrame]] = []
+        self.aggregated: dict[int, Expr] = {}  # by node
 
     # -- the query
 
     def plan(self, q: Query) -> DataFrame:
         if q.source and q.source.value[0] != "files":
             raise EvalError("unsupported_from", f"no table {q.source.value[0]!r}", q.source.line, q.source.col)
-        single = self._aggregate(q)
-        if single is not None:
-            return single
+        found = [a for n, _ in q.select for a in aggregates(n)]
+        if found:
+            return self._cut(self._aggregate(q, found), q)
         if q.star:
             outs = [(c, F.col(c)) for c in FILE_COLUMNS]
         else:
@@ -72,11 +73,15 @@ class Compiler:
             df = df.groupBy(*(f"_o{i}" for i in range(len(named)))).agg(*(F.min(f"_s{i}").alias(f"_s{i}") for i in range(len(sort)))) if sort else df.distinct()
         if sort:
             df = df.orderBy(*(self._direction(F.col(f"_s{i}"), down, nulls) for i, (_, down, nulls) in enumerate(sort)))
+        return self._cut(df, q).select(*(F.col(f"_o{i}").alias(n) for i, n in enumerate(named)))
+
+    @staticmethod
+    def _cut(df: DataFrame, q: Query) -> DataFrame:
+        """OFFSET and LIMIT; what lies beyond any plan's count is no bound, or leaves nothing."""
+        most = 2**31 - 1
         if q.offset:
-            df = df.offset(q.offset)
-        if q.limit is not None:
-            df = df.limit(q.limit)
-        return df.select(*(F.col(f"_o{i}").alias(n) for i, n in enumerate(named)))
+            df = df.offset(q.offset) if q.offset <= most else df.limit(0)
+        return df if q.limit is None or q.limit > most else df.limit(q.limit)
 
     @staticmethod
     def _direction(c: Column, down: bool, nulls: str | None) -> Column:
@@ -100,27 +105,27 @@ class Compiler:
             df = left.join(pairs.select(F.col("path"), F.col("member").alias(f"{mark}_v"), F.lit(True).alias(mark)), ["path", f"{mark}_v"], "left")
         return df
 
-    def _aggregate(self, q: Query) -> DataFrame | None:
-        """min or max of one argument in the select list makes the whole query one row; bare columns come from the row that holds it."""
-        is_agg = lambda n: n.kind == "call" and str(n.value).lower() in ("min", "max") and len(n.args) == 1
-        found = [n for n, _ in q.select if is_agg(n)]
-        if not found:
-            return None
-        first = self.expr(found[0].args[0])
-        lowest = str(found[0].value).lower() == "min"
-        outs = []
-        for node, alias in q.select:
-            if is_agg(node):
-                e = self.expr(node.args[0])
-                c = (F.min if str(node.value).lower() == "min" else F.max)(e.col)
-                c = sq.tagged_text(c) if e.kind == "tagged" else c
-            else:
-                e = self.expr(node)
-                c = (F.min_by if lowest else F.max_by)(self._printed(e), first.col)
-            outs.append(c.alias(alias or self._name(node)))
+    def _aggregate(self, q: Query, found: list[Node]) -> DataFrame:
+        """min or max of one argument, anywhere in the select list, makes the whole query one row, which needs no order.
+
+        What stands outside the aggregates is computed afterwards, over the row that holds the first one's value.
+        """
+        sums = []
+        for i, n in enumerate(found):
+            e = self.expr(n.args[0])
+            lowest = str(n.value).lower() == "min"
+            sums.append((F.min if lowest else F.max)(e.col).alias(f"_g{i}"))
+            self.aggregated[id(n)] = Expr(F.col(f"_g{i}"), e.kind)
+            if not i:
+                holder = (F.min_by if lowest else F.max_by, e.col)
+        outs = dict((alias or self._name(node), self._printed(self.expr(node))) for node, alias in q.select)
         where = self.truth(self.expr(q.where)) if q.where else None
         df = self._source()
-        return (df if where is None else df.where(where)).agg(*outs)
+        df = df if where is None else df.where(where)
+        if not any(bare(n) for n, _ in q.select):
+            return df.agg(*sums).select(*(c.alias(n) for n, c in outs.items()))
+        row = holder[0](F.struct(*(F.col(f"`{c}`") for c in df.columns)), holder[1]).alias("_row")
+        return df.agg(row, *sums).select("_row.*", *(f"_g{i}" for i in range(len(found)))).select(*(c.alias(n) for n, c in outs.items()))
 
     @staticmethod
     def _printed(e: Expr) -> Column:
@@ -138,6 +143,8 @@ class Compiler:
     # -- expressions
 
     def expr(self, n: Node) -> Expr:
+        if id(n) in self.aggregated:
+            return self.aggregated[id(n)]
         return getattr(self, f"_{n.kind}")(n)
 
     def _literal(self, n: Node) -> Expr:
@@ -197,9 +204,8 @@ class Compiler:
             return Expr(sq.like(self.text(a), self.text(b)).cast("bigint"), "int")
         if n.value == "GLOB":
             pattern = n.args[1]
-            if pattern.kind != "literal" or pattern.args[0] != "text":
-                raise EvalError("unknown_expr", "GLOB needs a quoted pattern", n.line, n.col)
-            return Expr(F.rlike(self.text(a), F.lit(sq.glob_regex(pattern.value))).cast("bigint"), "int")
+            quoted = pattern.kind == "literal" and pattern.args[0] == "text"
+            return Expr(F.rlike(self.text(a), F.lit(sq.glob_regex(pattern.value)) if quoted else sq.glob_column(self.text(b))).cast("bigint"), "int")
         if n.value in ("REGEXP", "MATCH"):
             if not self.extended:
                 raise EvalError("unknown_function", f"{n.value} is an extension", n.line, n.col)
@@ -458,15 +464,19 @@ def _concat(c: Compiler, n: Node) -> Expr:
     return Expr(F.concat_ws("", *(c.text(c.expr(a)) for a in n.args)), "text")
 
 
+def _wellformed(text: Column) -> Column:
+    """The text, null for null; anything that is no JSON ends the query."""
+    return F.when(text.isNull() | F.call_function("try_parse_json", text).isNotNull(), text).otherwise(F.raise_error(F.lit("malformed JSON")))
+
+
 def _json(c: Compiler, n: Node) -> Expr:
-    text = c.text(c.expr(n.args[0]))
     outside = r'("(?:[^"\\]|\\.)*")|\s+'
-    return Expr(F.when(F.call_function("try_parse_json", text).isNotNull(), F.regexp_replace(text, outside, "$1")), "text")
+    return Expr(F.regexp_replace(_wellformed(c.text(c.expr(n.args[0]))), outside, "$1"), "text")
 
 
 def _json_extract(c: Compiler, n: Node) -> Expr | None:
     """One path gives the value (true and false as 1 and 0), several an array of their JSON texts."""
-    text = c.text(c.expr(n.args[0]))
+    text = _wellformed(c.text(c.expr(n.args[0])))
     paths = [c.literal_text(p) for p in n.args[1:]]
     if any(p is None for p in paths):
         return None
@@ -482,7 +492,7 @@ def _json_extract(c: Compiler, n: Node) -> Expr | None:
 
 
 def _json_array_length(c: Compiler, n: Node) -> Expr | None:
-    text = c.text(c.expr(n.args[0]))
+    text = _wellformed(c.text(c.expr(n.args[0])))
     if len(n.args) == 2:
         path = c.literal_text(n.args[1])
         if path is None:
@@ -506,6 +516,20 @@ _FUNCTIONS = {
 }
 
 
+def aggregates(n: Node) -> list[Node]:
+    """Calls of min or max with one argument in an expression, outermost only."""
+    if n.kind == "call" and str(n.value).lower() in ("min", "max") and len(n.args) == 1:
+        return [n]
+    return [x for a in n.args if isinstance(a, Node) for x in aggregates(a)]
+
+
+def bare(n: Node) -> bool:
+    """Whether a column stands outside every aggregate."""
+    if n.kind == "call" and aggregates(n) == [n]:
+        return False
+    return n.kind == "ref" or any(bare(a) for a in n.args if isinstance(a, Node))
+
+
 def unparse(n: Node) -> str:
     """A readable name for an unnamed column."""
     if n.kind == "literal":

@@ -25,6 +25,13 @@ def like(c: Column, pattern: Column) -> Column:
     return F.like(lower_ascii(c), escaped)
 
 
+def glob_column(pattern: Column) -> Column:
+    """glob_regex for patterns that rows bring along; a class without an end is not told apart from plain text."""
+    x = F.regexp_replace(pattern, r"([\\.+(){}|$])", r"\\$1")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?<!\[)\^", r"\\^"), r"\[(?![^\]]*\])", r"\\[")
+    return F.concat(F.lit(r"(?s)\A(?:"), F.regexp_replace(F.regexp_replace(x, r"\*", ".*"), r"\?", "."), F.lit(r")\z"))
+
+
 def glob_regex(pattern: str) -> str:
     """Anchored regex of a GLOB: * and ? cross slashes, [..] and [^..] are classes, a lone [ matches nothing."""
     out, i = [], 0

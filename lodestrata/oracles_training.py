@@ -73,8 +73,9 @@ born AS (SELECT k, {_MOMENT.format('created_at')} AS ts FROM {_LATEST_TICKETS}),
 z AS (SELECT k, field, ts, val FROM f UNION ALL SELECT f.k, f.field, born.ts, f.start FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY k, field ORDER BY ts) = 1) f JOIN born USING (k) WHERE born.ts < f.ts),
 q AS (SELECT *, row_number() OVER w = 1 OR val IS DISTINCT FROM lag(val) OVER w AS turn FROM z WINDOW w AS (PARTITION BY k, field ORDER BY ts)),
 u AS (SELECT k, field, ts, val, lead(ts) OVER (PARTITION BY k, field ORDER BY ts) AS until FROM q WHERE turn)
-SELECT k AS ticket_record_id, field, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S.%g'), 'open') AS valid_to FROM u WHERE val IS NOT NULL
 """
+P2_VALUES = P2 + "SELECT k AS entity, field AS attr, val AS value, epoch_ms(ts) AS from_ms, coalesce(epoch_ms(until), -1) AS to_ms FROM u WHERE val IS NOT NULL"
+P2 += "SELECT k AS ticket_record_id, field, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S.%g'), 'open') AS valid_to FROM u WHERE val IS NOT NULL"
 
 _P3_ALL = f"""
 WITH live AS (SELECT k FROM {_LATEST_DECISIONS} WHERE deleted_at IS NULL),
@@ -89,11 +90,14 @@ f AS (SELECT ref_table, source_key, target_key, min(period) AS period FROM a GRO
 P3 = _P3_ALL + "SELECT ref_table, source_key, target_key FROM f"
 P3_REPORT = _P3_ALL + "SELECT ref_table, coalesce(period, '') AS period, count(*) AS orphans, count(DISTINCT source_key) AS sources, count(DISTINCT target_key) AS targets FROM f GROUP BY ALL"
 
+_TICKET_FIELDS = ("record_id", "type", "parent_record_id", "title", "description", "status", "priority", "assigned_to", "team", "decision_ref", "created_at")
+_TICKET_JSON = "'{' || concat_ws(',', " + ", ".join(f"""'"{c}":' || to_json({c})""" for c in _TICKET_FIELDS) + ") || '}'"
 STATE = f"""
-WITH v AS (SELECT 'tickets' AS table_name, record_id AS row_key, '' AS log_file, 0 AS line_no, updated_at, deleted_at, hash, NULL AS row_json FROM (SELECT DISTINCT * FROM tickets)
+WITH v AS (SELECT 'tickets' AS table_name, record_id AS row_key, '' AS log_file, 0 AS line_no, updated_at, deleted_at, hash, {_TICKET_JSON} AS row_json FROM (SELECT DISTINCT * FROM tickets)
  UNION ALL SELECT table_name, list_aggregate(list_transform(string_split(key_columns, ','), lambda c: json_extract_string(row_json, '$.' || c)), 'string_agg', '|'), log_file, line_no, updated_at, deleted_at, hash, row_json FROM (SELECT DISTINCT * FROM changelog)),
 state AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY table_name, row_key ORDER BY updated_at DESC, log_file DESC, line_no DESC) = 1)
 """
+P4_STATE = STATE + "SELECT table_name, row_key, deleted_at, hash, row_json FROM state"
 P4 = STATE + "SELECT table_name, row_key, hash FROM state WHERE deleted_at IS NULL"
 
 _TREE = f"""
@@ -121,9 +125,20 @@ c AS (SELECT path, key_name, CASE col_type
 """
 P6 = _CELLS + "SELECT path, key_name, cell FROM c WHERE cell IS NOT NULL"
 
+# fixed values: the rows of wide_spec
+WIDE = {
+    "number": ("budget", "effort", "iso_week", "points", "rating", "score", "stars", "tally", "vote_count", "votes", "week"),
+    "bool": ("archived", "checked", "is_archived", "pinned", "reviewed", "sticky", "voting"),
+    "date": ("due_date", "held_on", "started"),
+    "list": ("attendees", "tags"),
+    "string": ("area", "domain", "keeper", "lead", "lens", "owner", "phase", "place", "slug", "state", "status", "type", "venue", "viewpoint"),
+}
+_COLUMNS = ", ".join(f"max(CASE WHEN key_name = '{k}' THEN cell END){'::DOUBLE' if t == 'number' else ''} AS {k}" for t, keys in WIDE.items() for k in keys)
+P6_WIDE = _CELLS + f"SELECT p.path, {_COLUMNS} FROM (SELECT DISTINCT path FROM frontmatter WHERE path IS NOT NULL) p LEFT JOIN c ON c.path = p.path GROUP BY p.path"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1, "p1_script": P1_SCRIPT, "p1_consistent": P1_CONSISTENT, "p2_found": P2, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p5_found": P5, "p5_paths": P5_PATHS,
+        "p1_found": P1, "p1_script": P1_SCRIPT, "p1_consistent": P1_CONSISTENT, "p2_found": P2, "p2_values": P2_VALUES, "p4_state": P4_STATE, "p6_wide": P6_WIDE, "p3_found": P3, "p3_report": P3_REPORT, "p4_found": P4, "p5_found": P5, "p5_paths": P5_PATHS,
         "p5_descendants": P5_DESCENDANTS, "p5_rings": P5_RINGS, "p6_found": P6,
     }

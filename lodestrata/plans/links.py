@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqlite import like, lower_ascii
+from ..runtime import salted_join
 
 
 def _suffixes(path: Column) -> Column:
@@ -58,5 +59,5 @@ def resolved(files: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def inlinks(files: DataFrame, links: DataFrame) -> DataFrame:
-    """path, source_path of every link (a bag) that names path."""
-    return links.select("source_path", "target_path").join(resolved(files, links), "target_path").select("path", "source_path")
+    """path, source_path of every link (a bag) that names path; the links of a hot target are spread."""
+    return salted_join(links.select("source_path", "target_path"), resolved(files, links), ["target_path"], ["source_path"]).select("path", "source_path")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqlite import like, lower_ascii
+from ..runtime import cut, salted_join
 from ..vault import Vault
 from .links import inlinks, resolved
 from .primitives import top_per
@@ -54,7 +55,7 @@ def centrality(v: Vault, candidates: DataFrame) -> DataFrame:
     """path, centrality: distinct notes linking to a candidate under its path or its path without .md."""
     spelled = F.explode(F.array_distinct(F.array(F.col("path"), F.regexp_replace("path", r"\.md$", "")))).alias("target_path")
     forms = candidates.select("path").distinct().select("path", spelled)
-    edges = v.links.select("source_path", "target_path").join(forms, "target_path").select("path", "source_path").distinct()
+    edges = salted_join(v.links.select("source_path", "target_path").distinct(), forms, ["target_path"], ["source_path"]).select("path", "source_path").distinct()
     return edges.groupBy("path").agg(F.count("*").cast("double").alias("centrality"))
 
 
@@ -72,14 +73,18 @@ def raw_signals(v: Vault, candidates: DataFrame, now: int, target: str | None) -
 
 
 def ranked(raw: DataFrame, profile: str = "default", limit: int | None = 10) -> DataFrame:
-    """path, score, signals (name, raw, normalized, weight, weighted), best first."""
-    long = raw.select("path", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("raw"), F.lit(w).alias("weight")) for n, w in zip(SIGNALS, WEIGHTS[profile], strict=True)))).alias("s")).select("path", "s.*")
-    peak = long.groupBy("name").agg(F.max(F.abs("raw")).alias("peak"))
-    long = long.join(F.broadcast(peak), "name")  # one row per signal
-    normal = F.when(F.col("peak") > 0, F.col("raw") / F.col("peak")).otherwise(0.0)
-    long = long.withColumn("normalized", normal).withColumn("weighted", normal * F.col("weight"))
-    out = long.groupBy("path").agg(F.sum("weighted").alias("score"), F.sort_array(F.collect_list(F.struct("name", "raw", "normalized", "weight", "weighted"))).alias("signals"))
-    out = out.orderBy(F.desc("score"), "path")
+    """path, score, signals (name, raw, normalized, weight, weighted), best first.
+
+    The signals are written once; one aggregate over them gives the five maxima, which are then constants of the plan.
+    """
+    raw = cut(raw)
+    peaks = raw.agg(*(F.max(F.abs(n)).alias(n) for n in SIGNALS)).first()
+    parts = []
+    for n, w in sorted(zip(SIGNALS, WEIGHTS[profile], strict=True)):
+        normal = F.col(n) / F.lit(peaks[n]) if peaks[n] else F.lit(0.0)
+        parts.append(F.struct(F.lit(n).alias("name"), F.col(n).alias("raw"), normal.alias("normalized"), F.lit(w).alias("weight"), (normal * w).alias("weighted")))
+    score = sum((p["weighted"] for p in parts[1:]), parts[0]["weighted"])
+    out = raw.select("path", score.alias("score"), F.array(*parts).alias("signals")).orderBy(F.desc("score"), "path")
     return out.limit(limit) if limit else out
 
 
@@ -134,12 +139,18 @@ def flat(v: Vault, path: str) -> DataFrame:
     return v.files.select("path").where(F.col("path") != path).distinct().orderBy("path")
 
 
+MAX_ASKED = 1000
+
+
 def neighbours(v: Vault, results: DataFrame, n: int = 5) -> DataFrame:
     """path, relation (outlink, inlink, sibling), neighbour: at most n of each per path, siblings by shared tags, else by name.
 
-    results has the paths wanted; pass a ranked result or all files.
+    results has the paths wanted, a ranked result of at most MAX_ASKED paths (more are refused): each is a query against all
+    rows, so that the work stays linear in the vault, however popular a tag is.
     """
-    asked = results.select("path").distinct()
+    asked = cut(results.select("path").distinct().limit(MAX_ASKED + 1))
+    if asked.count() > MAX_ASKED:
+        raise ValueError(f"neighbours are shown for at most {MAX_ASKED} paths")
     out = v.links.where(~like(F.col("target_path"), F.lit("http%"))).select(F.col("source_path").alias("path"), F.col("target_path").alias("neighbour")).join(asked, "path", "left_semi").distinct()
     came = inlinks(v.files.join(asked, "path", "left_semi"), v.links).where("path <> source_path").select("path", F.col("source_path").alias("neighbour")).distinct()
     mine = v.tags.join(asked, "path", "left_semi").select("path", "tag")

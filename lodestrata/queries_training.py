@@ -37,7 +37,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_values(spark: SparkSession, d: str) -> DataFrame:
-    return history.validity_periods(*_t(spark, d, "ticket_history", "tickets"))
+    """to_ms is -1 where the value still holds."""
+    return history.validity_periods(*_t(spark, d, "ticket_history", "tickets")).withColumn("to_ms", F.coalesce("to_ms", F.lit(-1).cast("bigint")))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +83,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     fm, spec = _t(spark, d, "frontmatter", "wide_spec")
-    return widen.typed_wide(widen.wide_rows(fm, spec), spec)
+    wide = widen.typed_wide(widen.wide_rows(fm, spec), spec)
+    shown = {"boolean": lambda c: c.cast("string"), "date": lambda c: c.cast("string"), "array<string>": lambda c: F.array_join(c, ",")}  # as text, so that engines compare alike
+    return wide.select(*(shown.get(t, lambda c: c)(F.col(f"`{n}`")).alias(n) for n, t in wide.dtypes))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .dsl import compiler
 from .functions.timetext import epoch_month
-from .operators import changefeed
+from .operators import changefeed, hierarchy
 from .oracles_training import P4, STATE
-from .plans import index, links, planning, planning_log, primitives, rank
-from .runtime import scratch, table
+from .plans import index, links, planning, planning_log, primitives, rank, snapshot
+from .runtime import cut, scratch, table
 from .sources import base_view, decisions, markdown, sinks
 from .streaming import refresh
 from .vault import Vault, vault
@@ -84,7 +84,11 @@ DSL: list[tuple[str, str, str]] = [
      f"WITH {_F} SELECT path, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d') AS d, strftime(date_trunc('month', make_timestamp(ctime * 1000000)) + INTERVAL 1 MONTH - INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS e, strftime(make_timestamp(mtime * 1000000), '%Y-%j %H') AS j, mtime // 86400 + 2440587.5::DOUBLE AS y FROM f"),
     ("dates_against_seconds", "path WHERE mtime > date('now', '-30 days')", f"WITH {_F} SELECT path FROM f WHERE FALSE"),
     ("printf", "path, printf('%08d %s %.1f', size, name, size / 3.0) AS p", f"WITH {_F} SELECT path, printf('%08d %s %.1f', size, {_NAME}, size / 3.0::DOUBLE) AS p FROM f"),
-    ("json_functions", "path, coalesce(json_array_length(fm.tags), -1) AS n, json_array_length(fm.area) AS a WHERE fm.area IS NOT NULL", f"WITH {_F}, {_FM} SELECT path, coalesce((SELECT {_array_length('t')} FROM fm t WHERE t.path = f.path AND t.key = 'tags'), -1)::BIGINT AS n, coalesce({_array_length('m')}, 0)::BIGINT AS a FROM f {_fm('area')} WHERE {_TEXT_OF} IS NOT NULL OR (m.type IN ('number', 'bool') AND m.value_num IS NOT NULL)"),
+    ("json_functions", "path, json_array_length(fm.area) AS n, json_extract(fm.area, '$[0]') AS head, json(fm.area) AS j WHERE fm.area LIKE '[%]'", f"WITH {_F}, {_FM} SELECT path, json_array_length(m.value_json)::BIGINT AS n, json_extract_string(m.value_json, '$[0]') AS head, m.value_json AS j FROM f {_fm('area')} WHERE ({_TEXT_OF}) LIKE '[%]'"),
+    ("glob_column", "path WHERE name GLOB substr(name, 1, 2) || '*e?'", f"WITH {_F} SELECT path FROM f WHERE length({_NAME}) >= 4 AND substr({_NAME}, -2, 1) = 'e'"),
+    ("concat_function", "path, concat(folder, '|', name, size) AS c", f"WITH {_F} SELECT path, {_FOLDER} || '|' || {_NAME} || size AS c FROM f"),
+    ("time_function", "path, time(mtime, 'unixepoch') AS t", f"WITH {_F} SELECT path, strftime(make_timestamp(mtime * 1000000), '%H:%M:%S') AS t FROM f"),
+    ("aggregate_within", "upper(max(path)) AS p, size AS s, max(mtime) + 1 AS d, name ORDER BY size LIMIT 3", f"WITH {_F} SELECT translate(max(path), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS p, arg_max(size, path) AS s, max(mtime) + 1 AS d, arg_max({_NAME}, path) AS name FROM f"),
     ("coalesce_nullif", "path, coalesce(nullif(folder, ''), 'top') AS c, nullif(size, 0) AS n", f"WITH {_F} SELECT path, coalesce(nullif({_FOLDER}, ''), 'top') AS c, nullif(size, 0) AS n FROM f"),
     ("fm_string", "path, fm.status AS status WHERE fm.status = 'open' OR fm['type'] LIKE 'Pro%'",
      f"WITH {_F}, {_FM} SELECT path, CASE s.type WHEN 'string' THEN s.value_text ELSE s.value_json END AS status FROM f LEFT JOIN (SELECT * FROM fm WHERE key = 'status') s USING (path) {_fm('type')} WHERE (CASE s.type WHEN 'string' THEN s.value_text WHEN 'list' THEN s.value_json WHEN 'object' THEN s.value_json END) = 'open' OR {_LOW.format('(' + _TEXT_OF + ')')} LIKE 'pro%'"),
@@ -137,7 +141,7 @@ def prim_outlinks(spark: SparkSession, d: str) -> DataFrame:
 
 def prim_meta(spark: SparkSession, d: str) -> DataFrame:
     v = vault(spark, d)
-    return primitives.meta(v, busiest(v)).groupBy("section").agg(F.count("*").alias("items"))
+    return primitives.meta(v, busiest(v))
 
 
 def prim_meta_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -153,10 +157,10 @@ def prim_table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 VIEW = """
-filters: {and: ["note.type == 'project'", "file.size > 500", "tags contains 'depot'"]}
+filters: {and: ["file.size > 500", "tags contains 'depot'", "note.voting != 'x == y'"]}
 properties: {note.status: {displayName: Status}, note.votes: {displayName: Votes}}
 views:
-  - {type: table, name: Open, order: [file.path, status], sort: [{property: size, direction: DESC}]}
+  - {type: table, name: Open, order: [file.path, size], sort: [{property: size, direction: DESC}]}
   - {type: table, name: All, order: [path, size, votes]}
 """
 
@@ -199,7 +203,8 @@ def rank_signals(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_provenance(spark: SparkSession, d: str) -> DataFrame:
     v = vault(spark, d)
-    return rank.related(v, busiest(v), NOW_S, 10).select("path", F.explode("signals").alias("s")).select("path", "s.*")
+    long = rank.related(v, busiest(v), NOW_S, 10).select("path", F.explode("signals").alias("s")).select("path", "s.*")
+    return long.withColumns({c: F.round(c, 6) for c in ("raw", "normalized", "weighted")})
 
 
 def rank_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +223,7 @@ def rank_quality(spark: SparkSession, d: str) -> DataFrame:
     me = busiest(v)
     top = rank.related(v, me, NOW_S, 20).select(F.lit("related").alias("case"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "path")).alias("rank"), "path")  # 20 rows
     wanted = links.resolved(v.files, v.links.where(F.col("source_path") == me)).select(F.lit("related").alias("case"), "path")
-    return rank.quality(top, wanted, 10)
+    return rank.quality(top, wanted, 10).withColumns({c: F.round(c, 6) for c in ("ndcg", "mrr")})
 
 
 # --- planning ------------------------------------------------------------------------------------------------------
@@ -280,6 +285,67 @@ def plan_labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(held, "ticket_record_id", "left_semi").groupBy("label").agg(F.count("*").alias("tickets"))
 
 
+def plan_label_filter(spark: SparkSession, d: str) -> DataFrame:
+    return planning.ticket_list(table(spark, d, "tickets"), _state(spark, d, "ticket_idmap", _IDMAP), _state(spark, d, "ticket_labels", _LABELS), label="question")
+
+
+def plan_ticket_list(spark: SparkSession, d: str) -> DataFrame:
+    return planning.ticket_list(table(spark, d, "tickets"), _state(spark, d, "ticket_idmap", _IDMAP), leaf=True, status="backlog")
+
+
+def _fullest(tickets: DataFrame) -> str:
+    """The live ticket with most children, by id on a tie."""
+    row = planning.child_counts(tickets).orderBy(F.desc("children"), "record_id").first()
+    return row["record_id"] if row else ""
+
+
+def plan_under(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "tickets")
+    return planning.ticket_list(t, _state(spark, d, "ticket_idmap", _IDMAP), under=_fullest(t))
+
+
+def _deepest(tickets: DataFrame) -> str:
+    row = hierarchy.hierarchy(tickets).orderBy(F.desc("depth"), "record_id").first()
+    return row["record_id"] if row else ""
+
+
+def plan_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "tickets")
+    return planning.ancestors(t, _deepest(t))
+
+
+def plan_show_tree(spark: SparkSession, d: str) -> DataFrame:
+    t, dc = _t(spark, d, "tickets", "decisions")
+    return planning.show_tree(t, dc, _state(spark, d, "ticket_deps", _DEPS), _fullest(t))
+
+
+BOARD = [("backlog", "Backlog"), ("ready", "Ready"), ("in_progress", "In Progress"), ("review", "Review"), ("done", "Done")]
+
+
+def plan_board(spark: SparkSession, d: str) -> DataFrame:
+    return planning.board(table(spark, d, "tickets"), _state(spark, d, "ticket_idmap", _IDMAP), BOARD)
+
+
+def log_upgrade(spark: SparkSession, d: str) -> DataFrame:
+    return planning_log.upgraded(table(spark, d, "changelog"), 3).select("log_file", "line_no", "table_name", "hash", "canonical_version")
+
+
+def log_append(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of one half year exported, then all: the second time only what is new gets into the files."""
+    rows, root = table(spark, d, "decisions"), scratch(spark, "log-append").removeprefix("file:")
+    planning_log.append_log(planning_log.export(rows, "decisions", "2024-07-01"), root, "decisions", ["id"]).collect()  # one row per month
+    return cut(planning_log.append_log(planning_log.export(rows, "decisions", "2024-01-01"), root, "decisions", ["id"]))
+
+
+def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Live decisions out as JSON and back into every version's oldest."""
+    every, path = table(spark, d, "decisions").distinct(), scratch(spark, "snapshot")
+    now = planning.live(every, "id").drop("_key")
+    snapshot.export_snapshot({"decisions": now}, path)
+    oldest = every.groupBy("id").agg(F.max_by(F.struct(*every.columns), F.struct(F.col("updated_at"), F.col("hash"))).alias("r")).select("r.*").where("deleted_at IS NOT NULL")
+    return snapshot.import_snapshot(spark, path, {"decisions": oldest})["decisions"].select("id", "title", "status", "date", "hash", "deleted_at")
+
+
 def plan_dashboard(spark: SparkSession, d: str) -> DataFrame:
     return planning.dashboard(*_t(spark, d, "decisions", "tickets"))
 
@@ -289,7 +355,10 @@ def plan_next_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return planning.label_collisions(_state(spark, d, "ticket_idmap", _IDMAP))
+    """Two vaults' labels brought together: the log's own, and the same records numbered one higher."""
+    own = _state(spark, d, "ticket_idmap", _IDMAP).select("record_id", "ticket_id")
+    other = own.select("record_id", F.concat(F.lit("T-"), (F.substring("ticket_id", 3, 9).cast("int") + 1).cast("string")).alias("ticket_id"))
+    return planning.label_collisions(own.unionByName(other))
 
 
 def log_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +375,7 @@ def log_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_history(spark: SparkSession, d: str) -> DataFrame:
-    return planning_log.first_of_each_hash(table(spark, d, "ticket_history"), ["updated_at", "created_at"]).groupBy("field").agg(F.count("*").alias("changes"), F.count_distinct("ticket_record_id").alias("tickets"))
+    return planning_log.first_of_each_hash(table(spark, d, "ticket_history").distinct(), ["updated_at", "created_at"]).select("hash", "ticket_record_id", "field", "changed_at", "updated_at")
 
 
 def log_export(spark: SparkSession, d: str) -> DataFrame:
@@ -314,7 +383,7 @@ def log_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_markers(spark: SparkSession, d: str) -> DataFrame:
-    return planning_log.marker_refused(table(spark, d, "ticket_history"), 2).groupBy("canonical_version").agg(F.count("*").alias("rows"))
+    return planning_log.marker_refused(table(spark, d, "ticket_history").distinct(), 2).select("hash", "canonical_version")
 
 
 def row_hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -352,7 +421,30 @@ def extract_frontmatter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.decision_records(document_notes(spark, d)).select("path", "id", "type", "title", "status", "date", F.size("refs").alias("n_refs"))
+    return decisions.decision_records(document_notes(spark, d)).select("path", "id", "type", "domain", "title", "status", "date")
+
+
+def extract_decision_refs(spark: SparkSession, d: str) -> DataFrame:
+    return decisions.decision_references(document_notes(spark, d))
+
+
+def decision_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a note of one of the three folders, named after its source."""
+    docs = table(spark, d, "documents")
+    folder = F.element_at(F.array(*map(F.lit, decisions.FOLDERS)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    name = F.concat(F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / 3).cast("string"), F.lit(".md"))
+    return decisions.violations(docs.select(F.concat(folder, F.lit("/"), name).alias("path"), F.col("text").alias("content")))
+
+
+def decision_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest stored version of every decision against the newest live one."""
+    every = table(spark, d, "decisions").distinct()
+    oldest = every.groupBy("id").agg(F.min_by("hash", F.struct("updated_at", "hash")).alias("hash"))
+    return decisions.sync(oldest, planning.live(every, "id").select("id", "hash"))
+
+
+def extract_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.heading_anchors(document_notes(spark, d))
 
 
 def _two_scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -377,7 +469,7 @@ def index_refresh(spark: SparkSession, d: str) -> DataFrame:
 
 def index_prune(spark: SparkSession, d: str) -> DataFrame:
     fm = table(spark, d, "frontmatter").distinct()
-    return index.pruned(fm, index.classify(*_two_scans(spark, d))).groupBy("key").agg(F.count("*").alias("rows"))
+    return index.pruned(fm, index.classify(*_two_scans(spark, d))).select("path", "key", "type", "value_json")
 
 
 def files_by_month(spark: SparkSession, d: str) -> DataFrame:
@@ -409,9 +501,9 @@ def stream_log(spark: SparkSession, d: str) -> DataFrame:
 _PLAIN = (
     prim_files, prim_tags, prim_backlinks, prim_backlink_counts, prim_outlinks, prim_meta, prim_meta_counts, prim_schema, prim_table_counts, base_view_query, links_resolved,
     rank_related, rank_context, rank_search, rank_signals, rank_provenance, rank_neighbours, rank_flat, rank_quality,
-    plan_decisions, plan_refs, plan_refs_of_one, plan_tickets, plan_by_decision, plan_children, plan_leaves, plan_blockers, plan_unblocked, plan_labels, plan_dashboard, plan_next_ids,
-    log_collisions, log_verify, log_replay, log_history, log_export, log_markers, row_hashes,
-    extract_counts, extract_headings, extract_links, extract_tags, extract_frontmatter, extract_decisions,
+    plan_decisions, plan_refs, plan_refs_of_one, plan_tickets, plan_by_decision, plan_children, plan_leaves, plan_blockers, plan_unblocked, plan_labels, plan_label_filter, plan_ticket_list, plan_under, plan_ancestors, plan_show_tree, plan_board, plan_dashboard, plan_next_ids,
+    log_collisions, log_verify, log_replay, log_history, log_export, log_markers, log_upgrade, log_append, snapshot_round_trip, row_hashes,
+    extract_counts, extract_headings, extract_links, extract_tags, extract_frontmatter, extract_anchors, extract_decisions, extract_decision_refs, decision_violations, decision_sync,
     index_diff, index_stats, index_refresh, index_prune, files_by_month, sink_one_line, sink_upsert, stream_log,
 )
 
@@ -455,17 +547,55 @@ _CAND_CONTEXT = f"cand AS (SELECT DISTINCT path FROM ({_LINKING} UNION ALL {_MAT
 _CAND_SEARCH = f"cand AS (SELECT path FROM f WHERE {_LOW.format('path')} LIKE '%budget%' UNION SELECT path FROM tags WHERE {_LOW.format('tag')} LIKE '%budget%' UNION SELECT path FROM fm WHERE {_LOW.format('value_text')} LIKE '%budget%' UNION SELECT path FROM heads WHERE {_LOW.format('text')} LIKE '%budget%')"
 _SCANS = "files2 AS (SELECT DISTINCT path, mtime, ctime, size, content_hash, last_scanned FROM files), st AS (SELECT k.path, f.ctime AS mtime, f.content_hash, f.size, f.ctime, f.last_scanned FROM (SELECT DISTINCT path FROM frontmatter) k LEFT JOIN files2 f USING (path)), acts AS (SELECT coalesce(s.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'removed' WHEN s.path IS NULL THEN 'new' WHEN s.mtime = f.mtime THEN 'unchanged' WHEN s.content_hash = f.content_hash THEN 'touched' ELSE 'changed' END AS action, f.mtime FROM st s FULL JOIN files2 f ON s.path = f.path)"
 
+# a note's body: lines after the frontmatter, numbered from 1, with whether a fence is open; fences are walked mark by mark
+_DOC_LINES = """docs AS (SELECT source || '/doc-' || doc_id || '.md' AS path, text AS content FROM documents WHERE text IS NOT NULL AND text <> ''),
+raw AS (SELECT path, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM docs),
+fr AS (SELECT path, min(i) AS c FROM raw WHERE i > 1 AND regexp_matches(t, '^---[ \\t\\r]*$') AND path IN (SELECT path FROM raw WHERE i = 1 AND t IN ('---', '---' || chr(13))) GROUP BY path),
+ls AS (SELECT raw.path, i - coalesce(c, 0) AS n, regexp_replace(t, '\\r$', '') AS l FROM raw LEFT JOIN fr USING (path) WHERE i > coalesce(c, 0)),
+mk AS (SELECT path, n, regexp_extract(l, '^[ \\t]*(`{3,}|~{3,})', 1) AS m, row_number() OVER (PARTITION BY path ORDER BY n) AS j FROM ls WHERE regexp_matches(l, '^[ \\t]*(```|~~~)')),
+fs AS (SELECT path, 0::BIGINT AS j, 0::BIGINT AS n, '' AS fence FROM (SELECT DISTINCT path FROM mk)
+ UNION ALL SELECT fs.path, mk.j, mk.n, CASE WHEN fs.fence = '' THEN m WHEN starts_with(m, fs.fence) THEN '' ELSE fs.fence END FROM fs JOIN mk ON mk.path = fs.path AND mk.j = fs.j + 1),
+po AS (SELECT ls.path, ls.n, l, coalesce(f.fence, '') AS fence, ls.n IN (SELECT n FROM mk WHERE mk.path = ls.path) AS marked,
+ coalesce(sum(octet_length(encode(l)) + 1) OVER (PARTITION BY ls.path ORDER BY ls.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS line_offset FROM ls ASOF LEFT JOIN fs f ON f.path = ls.path AND f.n <= ls.n),
+op AS (SELECT * FROM po WHERE fence = '' AND NOT marked)"""
+# decision records: lines with the number of the heading above, bodies up to the first line of dashes
+_DECISION_LINES = """dl AS (SELECT path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM docs),
+dh AS (SELECT *, regexp_matches(l, '^###\\s+[DQR]-[0-9]+:\\s+.') AS h, regexp_full_match(l, '\\s*---\\s*') AS e FROM dl),
+dg AS (SELECT *, sum(h::INT) OVER (PARTITION BY path ORDER BY i) AS rec FROM dh),
+dk AS (SELECT *, sum(e::INT) OVER (PARTITION BY path, rec ORDER BY i) AS closed FROM dg WHERE rec > 0),
+dr AS (SELECT path, rec, regexp_extract(l, '^###\\s+([DQR]-[0-9]+):', 1) AS id, regexp_replace(regexp_extract(l, '^###\\s+[DQR]-[0-9]+:\\s+(.+)$', 1), '^\\s+|\\s+$', '', 'g') AS title FROM dk WHERE h),
+db AS (SELECT path, rec, i, l FROM dk WHERE NOT h AND closed = 0),
+dm AS (SELECT path, rec, i, l, regexp_replace(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), '^[- ]+', '') AS note, unnest(regexp_extract_all(' ' || l || ' ', '[^A-Za-z0-9_]([DQR]-[0-9]+)\\b', 1)) AS target FROM db),
+df AS (SELECT path, rec, dr.id, target, CASE WHEN regexp_matches(l, '(?i)^\\s*-\\s+\\*\\*supersedes:\\*\\*') THEN 'supersedes' WHEN regexp_matches(l, '(?i)^\\s*-\\s+\\*\\*superseded\\s+by:\\*\\*') THEN 'references' WHEN regexp_matches(l, '(?i)^\\s*-\\s+\\*\\*resolves:\\*\\*') THEN 'resolves'
+ WHEN regexp_matches(l, '(?i)^\\s*-\\s+\\*\\*depends\\s+on:\\*\\*') THEN 'depends_on' WHEN regexp_matches(l, '(?i)^\\s*\\*\\*amendment\\s*\\(') THEN 'amends' ELSE 'references' END AS ref_type, note, i FROM dm JOIN dr USING (path, rec) WHERE target <> dr.id)"""
+_DOCS = "docs AS (SELECT source || '/doc-' || doc_id || '.md' AS path, text AS content FROM documents WHERE text IS NOT NULL)"
+_FOLDER_DOCS = "nn AS (SELECT ['decisions', 'questions', 'rejected'][doc_id % 3 + 1] || '/' || source || '-' || doc_id // 3 || '.md' AS path, text AS content FROM documents), docs AS (SELECT * FROM nn WHERE content IS NOT NULL)"
+_KIND = "CASE left(id, 1) WHEN 'D' THEN 'confirmed' WHEN 'Q' THEN 'question' ELSE 'rejected' END"
+_READ = f"{_LT}, {_LIVE}, {_ST}, {_IDS}, lb AS (SELECT {_J.format('ticket_record_id')} AS record_id, {_J.format('label')} AS label FROM state WHERE table_name = 'ticket_labels' AND deleted_at IS NULL), tr AS (SELECT lv.k, lv.up, lv.record_id, i.ticket_id, p.ticket_id AS parent_id, type, title, status, priority FROM lv JOIN ids i USING (k) LEFT JOIN ids p ON p.k = lv.up)"
+_SHOWN = "record_id, ticket_id, parent_id, type, title, status, priority"
+_FULLEST = "full_one AS (SELECT lv.k FROM lv ORDER BY (SELECT count(*) FROM lv c WHERE c.up = lv.k) DESC, record_id LIMIT 1)"
+_TREES = f"{_LT}, {_LIVE}, tp AS (SELECT k, record_id, 0 AS depth, [k] AS path FROM lv WHERE up IS NULL OR up NOT IN (SELECT k FROM lv) UNION ALL SELECT lv.k, lv.record_id, tp.depth + 1, list_append(tp.path, lv.k) FROM lv JOIN tp ON lv.up = tp.k)"
+_BOARD = "(VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(BOARD)) + ") AS b(position, status, label)"
+_TOP = "top AS (SELECT path, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, path) AS rank FROM ({q})))"
+
+
+def _item(section: str, fields: str, source: str) -> str:
+    """Rows of one section as JSON without nulls."""
+    parts = ", ".join(f"""'"{c}":' || to_json({c})""" for c in fields.split())
+    return f"SELECT '{section}' AS section, '{{' || concat_ws(',', {parts}) || '}}' AS item FROM {source}"
+
+
 SQL: dict[str, str] = {
     "prim_files": f"WITH {_F} SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS name, size, mtime FROM f WHERE regexp_full_match(path, '.*-.*/.*\\.md', 's')",
     "prim_tags": f"WITH {_TAGS} SELECT tag, count(*) AS count FROM tags GROUP BY tag HAVING count(*) >= 2",
     "prim_backlinks": f"SELECT source_path, line, link_type FROM links WHERE source_path <> 'atlas/home.md' AND (target_path IN ('atlas/home.md', 'atlas/home', 'home') OR {_LOW.format('target_path')} LIKE 'atlas/home.md#%' OR {_LOW.format('target_path')} LIKE 'atlas/home#%' OR {_LOW.format('target_path')} LIKE 'home#%')",
     "prim_backlink_counts": f"WITH {_F} SELECT f.path, count(*) AS backlinks FROM f JOIN links l ON regexp_replace(target_path, '#.*$', '', 's') IN (f.path, regexp_replace(f.path, '\\.md$', ''), regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '')) WHERE l.source_path <> f.path GROUP BY 1",
     "prim_outlinks": f"WITH {_BUSY} SELECT target_path, alias, line, link_type FROM links, busy WHERE source_path = busy.b",
-    "prim_meta": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, {_BUSY}, x AS (SELECT 'file' AS section FROM f, busy WHERE path = b UNION ALL SELECT 'frontmatter' FROM fm, busy WHERE path = b UNION ALL SELECT 'tags' FROM tags, busy WHERE path = b UNION ALL SELECT 'outlinks' FROM links, busy WHERE source_path = b UNION ALL SELECT 'inlinks' FROM (SELECT DISTINCT source_path FROM links l, busy WHERE {_NAMES.format(p='busy.b')}) UNION ALL SELECT 'headings' FROM heads, busy WHERE path = b) SELECT section, count(*) AS items FROM x WHERE EXISTS (SELECT 1 FROM f, busy WHERE path = b) GROUP BY 1",
+    "prim_meta": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, {_BUSY}, x AS ({_item('file', 'name path mtime ctime size content_hash last_scanned', f'(SELECT f.*, {_NAME.replace('(?i)', '')} AS name FROM f, busy WHERE path = b)')} UNION ALL {_item('frontmatter', 'key type value_json', 'fm, busy WHERE path = b')} UNION ALL {_item('tags', 'tag', 'tags, busy WHERE path = b')} UNION ALL {_item('outlinks', 'line target_path alias link_type', 'links, busy WHERE source_path = b')} UNION ALL {_item('inlinks', 'source_path', f'(SELECT DISTINCT source_path FROM links l, busy WHERE {_NAMES.format(p="busy.b")})')} UNION ALL {_item('headings', 'line_offset depth text', 'heads, busy WHERE path = b')}) SELECT * FROM x WHERE EXISTS (SELECT 1 FROM f, busy WHERE path = b)",
     "prim_meta_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS}, r AS ({_RESOLVED}), i AS (SELECT r.path, count(*) AS n FROM r JOIN links l USING (target_path) GROUP BY 1) SELECT f.path, regexp_replace(regexp_extract(f.path, '[^/]*$'), '\\.md$', '') AS name, (SELECT count(*) FROM fm WHERE fm.path = f.path) AS n_keys, (SELECT count(*) FROM tags WHERE tags.path = f.path) AS n_tags, (SELECT count(*) FROM links WHERE source_path = f.path) AS n_outlinks, coalesce(i.n, 0) AS n_inlinks, (SELECT count(*) FROM heads WHERE heads.path = f.path) AS n_headings FROM f LEFT JOIN i USING (path)",
     "prim_schema": f"WITH {_FM} SELECT key, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(*) AS count FROM fm GROUP BY key",
     "prim_table_counts": f"WITH {_F}, {_FM}, {_TAGS}, {_HEADS} SELECT 'files' AS relation, count(*) AS rows FROM f UNION ALL SELECT 'frontmatter', count(*) FROM fm UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'links', count(*) FROM links UNION ALL SELECT 'headings', count(*) FROM heads",
-    "base_view_query": f"WITH {_F}, {_FM}, {_TAGS} SELECT path, CASE s.type WHEN 'string' THEN s.value_text ELSE s.value_json END AS status FROM f LEFT JOIN (SELECT * FROM fm WHERE key = 'status') s USING (path) {_fm('type')} WHERE ({_TEXT_OF}) = 'project' AND size > 500 AND path IN (SELECT path FROM tags WHERE tag = 'depot')",
+    "base_view_query": f"WITH {_F}, {_FM}, {_TAGS} SELECT path, size FROM f {_fm('voting')} WHERE size > 500 AND ((m.type IN ('number', 'bool') AND m.value_num IS NOT NULL) OR ({_TEXT_OF}) <> 'x == y') AND path IN (SELECT path FROM tags WHERE tag = 'depot')",
     "links_resolved": f"WITH {_F} {_RESOLVED}",
     "rank_related": f"WITH {_F}, {_TAGS}, {_BUSY}, {_CAND_RELATED}, {_SIGNALS} {_score_sql('related')}",
     "rank_context": f"WITH {_F}, {_TAGS}, {_BUSY}, {_SENT}, {_CAND_CONTEXT}, {_SIGNALS} {_score_sql('context')}",
@@ -484,20 +614,39 @@ SQL: dict[str, str] = {
     "plan_labels": f"WITH {_LT}, {_LIVE}, {_ST} SELECT {_J.format('label')} AS label, count(*) AS tickets FROM state WHERE table_name = 'ticket_labels' AND deleted_at IS NULL AND {_J.format('ticket_record_id')} IN (SELECT record_id FROM lv) GROUP BY 1",
     "plan_dashboard": f"WITH {_LT}, {_LD} SELECT 'decisions' AS relation, type, status, count(*) AS count FROM dc GROUP BY ALL UNION ALL SELECT 'tickets', '', status, count(*) FROM t GROUP BY ALL",
     "plan_next_ids": "SELECT left(upper(trim(id)), 1) AS prefix, max(TRY_CAST(substr(upper(trim(id)), 3) AS BIGINT)) + 1 AS next_number FROM decisions GROUP BY 1",
-    "log_collisions": f"WITH {_ST}, {_IDS}, n AS (SELECT ticket_id, count(DISTINCT record_id) AS records FROM ids GROUP BY 1) SELECT DISTINCT ticket_id, records, record_id FROM ids JOIN n USING (ticket_id) WHERE records > 1",
+    "log_collisions": f"WITH {_ST}, {_IDS}, bo AS (SELECT ticket_id, record_id FROM ids UNION SELECT 'T-' || (substr(ticket_id, 3)::INT + 1), record_id FROM ids), n AS (SELECT ticket_id, count(DISTINCT record_id) AS records FROM bo GROUP BY 1) SELECT ticket_id, records, record_id FROM bo JOIN n USING (ticket_id) WHERE records > 1",
     "log_verify": f"WITH {_LT}, {_LIVE}, {_ST} SELECT lv.record_id, CASE WHEN s.row_key IS NULL THEN 'missing' ELSE 'changed' END AS problem FROM lv LEFT JOIN (SELECT * FROM state WHERE table_name = 'tickets' AND deleted_at IS NULL) s ON s.row_key = lv.record_id WHERE s.row_key IS NULL OR s.hash <> lv.hash",
     "log_replay": STATE + ", w AS (SELECT * FROM v WHERE log_file <> ''), a AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY table_name, row_key ORDER BY updated_at DESC, log_file DESC, line_no DESC) = 1), b AS (SELECT table_name, row_key, json_extract_string(row_json, '$.created_at') AS created_at FROM w QUALIFY row_number() OVER (PARTITION BY table_name, row_key ORDER BY log_file, line_no) = 1) SELECT table_name, row_key, updated_at, deleted_at, hash, created_at FROM a JOIN b USING (table_name, row_key)",
     "row_hashes": "SELECT id, updated_at, md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}, chr(0) || 'NULL' || chr(0))" for c in ("id", "type", "domain", "title", "status", "date", "deleted_at")) + ")) AS row_hash, array_to_string(list_transform(string_split(replace(status, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS shown FROM (SELECT DISTINCT * FROM decisions)",
-    "log_history": "SELECT field, count(DISTINCT hash) AS changes, count(DISTINCT ticket_record_id) AS tickets FROM ticket_history GROUP BY 1",
+    "log_history": "SELECT hash, ticket_record_id, field, changed_at, updated_at FROM (SELECT DISTINCT * FROM ticket_history) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY updated_at, created_at) = 1",
     "log_export": "SELECT 'decisions/' || left(updated_at, 7) || '.sql' AS log_file, row_number() OVER (PARTITION BY left(updated_at, 7) ORDER BY updated_at, hash)::INTEGER AS line_no, updated_at, hash FROM (SELECT DISTINCT * FROM decisions) WHERE updated_at >= '2024-01-01'",
-    "log_markers": "SELECT canonical_version, count(*) AS rows FROM ticket_history WHERE canonical_version IS DISTINCT FROM 2 GROUP BY 1",
+    "log_markers": "SELECT hash, canonical_version FROM (SELECT DISTINCT * FROM ticket_history) WHERE canonical_version IS DISTINCT FROM 2",
     "index_diff": f"WITH {_SCANS} SELECT path, action FROM acts",
     "index_stats": f"WITH {_SCANS} SELECT action, count(*) AS files FROM acts GROUP BY 1",
     "index_refresh": f"WITH {_SCANS} SELECT a.path, f.mtime, CASE WHEN action IN ('new', 'changed') THEN f.mtime ELSE f.ctime END AS ctime, f.size, f.content_hash, CASE WHEN action = 'unchanged' THEN f.last_scanned ELSE {NOW_S} END AS last_scanned FROM acts a JOIN files2 f USING (path) WHERE action <> 'removed'",
-    "index_prune": f"WITH {_SCANS}, {_FM} SELECT key, count(*) AS rows FROM fm WHERE path NOT IN (SELECT path FROM acts WHERE action IN ('removed', 'changed')) GROUP BY 1",
+    "index_prune": f"WITH {_SCANS}, {_FM} SELECT path, key, type, value_json FROM fm WHERE path NOT IN (SELECT path FROM acts WHERE action IN ('removed', 'changed'))",
     "files_by_month": f"WITH {_F} SELECT strftime(make_timestamp(ctime * 1000000), '%Y-%m') AS month, count(*) AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY 1",
     "sink_one_line": f"WITH {_F} SELECT path || chr(9) || printf('%.4f', size / 1024.0::DOUBLE) || chr(9) || size AS value FROM f",
     "sink_upsert": f"WITH {_LD} SELECT id, hash FROM dc",
+    "rank_provenance": f"WITH {_F}, {_TAGS}, {_BUSY}, {_CAND_RELATED}, {_SIGNALS}, pk AS (SELECT {', '.join(f'max({n}) AS {n}' for n in rank.SIGNALS)} FROM sg), {_TOP.format(q=_score_sql('related'))} " + " UNION ALL ".join(f"SELECT path, '{n}' AS name, round(sg.{n}, 6) AS raw, round(coalesce(sg.{n} / nullif(pk.{n}, 0), 0), 6) AS normalized, {w}::DOUBLE AS weight, round({w}::DOUBLE * coalesce(sg.{n} / nullif(pk.{n}, 0), 0), 6) AS weighted FROM sg JOIN top USING (path), pk WHERE rank <= 10" for n, w in zip(rank.SIGNALS, rank.WEIGHTS["related"], strict=True)),
+    "rank_neighbours": f"WITH {_F}, {_TAGS}, {_BUSY}, {_CAND_RELATED}, {_SIGNALS}, {_TOP.format(q=_score_sql('related'))}, tt AS (SELECT path FROM top WHERE rank <= 10), e AS (SELECT DISTINCT path, 'outlink' AS relation, target_path AS neighbour, 0 AS shared FROM tt JOIN links ON source_path = path WHERE {_LOW.format('target_path')} NOT LIKE 'http%' UNION ALL SELECT DISTINCT path, 'inlink', source_path, 0 FROM tt JOIN links l ON {_NAMES.format(p='tt.path')} AND source_path <> tt.path UNION ALL SELECT x.path, 'sibling', y.path, count(*) FROM tt JOIN tags x USING (path) JOIN tags y ON y.tag = x.tag AND y.path <> x.path GROUP BY ALL) SELECT path, relation, neighbour FROM e QUALIFY row_number() OVER (PARTITION BY path, relation ORDER BY shared DESC, neighbour) <= 5",
+    "rank_quality": f"WITH {_F}, {_TAGS}, {_BUSY}, {_CAND_RELATED}, {_SIGNALS}, {_TOP.format(q=_score_sql('related'))}, wa AS (SELECT DISTINCT f.path FROM f JOIN (SELECT DISTINCT target_path FROM links, busy WHERE source_path = b) l ON {_NAMES.format(p='f.path')}), hit AS (SELECT rank FROM top JOIN wa USING (path) WHERE rank <= 10) SELECT 'related' AS case, round(coalesce((SELECT sum(1 / log2(rank + 1)) FROM hit), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(10, (SELECT count(*) FROM wa)) + 1) r(i)), 6) AS ndcg, round(coalesce(1.0::DOUBLE / (SELECT min(rank) FROM hit), 0), 6) AS mrr, (SELECT count(*) FROM hit) / 10.0::DOUBLE AS precision",
+    "plan_label_filter": f"WITH {_READ} SELECT {_SHOWN} FROM tr WHERE record_id IN (SELECT record_id FROM lb WHERE label = 'question')",
+    "plan_ticket_list": f"WITH {_READ} SELECT {_SHOWN} FROM tr WHERE status = 'backlog' AND NOT EXISTS (SELECT 1 FROM lv c WHERE c.up = tr.k)",
+    "plan_under": f"WITH RECURSIVE {_READ}, {_FULLEST}, un AS (SELECT lv.k FROM lv JOIN full_one o ON lv.up = o.k UNION SELECT lv.k FROM lv JOIN un ON lv.up = un.k) SELECT {_SHOWN} FROM tr WHERE k IN (SELECT k FROM un)",
+    "plan_ancestors": f"WITH RECURSIVE {_TREES}, me AS (SELECT * FROM tp ORDER BY depth DESC, record_id LIMIT 1), a AS (SELECT unnest(path) AS k, generate_subscripts(path, 1) AS i, depth FROM me) SELECT (depth - i + 1)::INTEGER AS distance, record_id, type, title FROM a JOIN lv USING (k) WHERE i <= depth",
+    "plan_show_tree": f"WITH RECURSIVE {_TREES}, {_LD}, {_ST}, {_DP}, {_FULLEST}, own AS (SELECT tp.* FROM tp JOIN full_one USING (k)), up AS (SELECT unnest(path) AS k, depth - generate_subscripts(path, 1) + 1 AS position FROM own), su AS (SELECT tp.k, tp.depth - own.depth AS position FROM tp, own WHERE list_contains(tp.path, own.k) AND tp.k <> own.k), x AS (SELECT 'ticket' AS section, 0 AS position, k FROM own UNION ALL SELECT 'ancestor', position, k FROM up WHERE position > 0 UNION ALL SELECT 'subtree', position, k FROM su UNION ALL SELECT 'child', position, k FROM su WHERE position = 1) SELECT section, position::INTEGER AS position, record_id AS id, title FROM x JOIN lv USING (k) UNION ALL SELECT 'decision', min(position)::INTEGER, dc.id, any_value(dc.title) FROM up JOIN lv USING (k) JOIN dc ON dc.k = upper(trim(lv.decision_ref)) WHERE dc.deleted_at IS NULL GROUP BY dc.id UNION ALL SELECT 'blocker', 1, x.record_id, x.title FROM deps JOIN lv x ON x.k = a JOIN full_one ON full_one.k = deps.b",
+    "plan_board": f"WITH {_READ} SELECT position::INTEGER AS position, status, label, ticket_id, title, priority FROM tr JOIN {_BOARD} USING (status)",
+    "log_upgrade": "WITH g AS (SELECT * EXCLUDE (line_no, canonical_version), min(line_no) AS first FROM changelog GROUP BY ALL) SELECT log_file, row_number() OVER (PARTITION BY log_file ORDER BY first, hash, row_json)::INTEGER AS line_no, table_name, hash, 3 AS canonical_version FROM g",
+    "log_append": "SELECT 'decisions/' || left(updated_at, 7) || '.sql' AS log_file, count(*) FILTER (WHERE updated_at < '2024-07-01') AS written, count(*) FILTER (WHERE updated_at >= '2024-07-01') AS skipped FROM (SELECT DISTINCT * FROM decisions) WHERE updated_at >= '2024-01-01' GROUP BY 1",
+    "snapshot_round_trip": f"WITH {_LD}, nw AS (SELECT id, title, status, date, hash, deleted_at FROM dc WHERE deleted_at IS NULL) SELECT * FROM nw UNION ALL SELECT id, title, status, date, hash, deleted_at FROM (SELECT DISTINCT * FROM decisions QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, hash DESC) = 1) WHERE deleted_at IS NOT NULL AND id NOT IN (SELECT id FROM nw)",
+    "extract_headings": f"WITH RECURSIVE {_DOC_LINES} SELECT path, length(regexp_extract(l, '^#+'))::INTEGER AS depth, regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '^#+', ''), '^\\s+|\\s+$', '', 'g'), '#+$', ''), '\\s+$', '') AS text, line_offset FROM op WHERE regexp_matches(l, '^#{{1,6}}\\s+\\S')",
+    "extract_links": f"WITH RECURSIVE {_DOC_LINES}, w AS (SELECT path, n, unnest(regexp_extract_all(l, '!?\\[\\[[^\\]]+\\]\\]')) AS x FROM op), y AS (SELECT path, n, left(x, 1) = '!' AS e, regexp_extract(x, '\\[\\[([^\\]]+)', 1) AS x FROM w), m AS (SELECT path, n, unnest(regexp_extract_all(l, '!?\\[[^\\]]*\\]\\([^)]+\\)')) AS x FROM op) SELECT path AS source_path, trim(split_part(x, '|', 1)) AS target_path, CASE WHEN contains(x, '|') THEN nullif(trim(substr(x, instr(x, '|') + 1)), '') END AS alias, CASE WHEN e THEN 'embed' ELSE 'wiki' END AS link_type, n::INTEGER AS line FROM y UNION ALL SELECT path, trim(regexp_extract(x, '\\]\\((.+)\\)$', 1)), coalesce(nullif(regexp_extract(x, '^!?\\[([^\\]]*)\\]', 1), ''), trim(regexp_extract(x, '\\]\\((.+)\\)$', 1))), 'md', n::INTEGER FROM m",
+    "extract_anchors": f"WITH {_DOCS}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM docs), f AS (SELECT *, regexp_matches(l, '^\\s*```') AS m, sum(regexp_matches(l, '^\\s*```')::INT) OVER (PARTITION BY path ORDER BY i) AS k FROM l), h AS (SELECT path, i, least(length(regexp_extract(l, '^#+')), 6)::INTEGER AS level, rtrim(regexp_replace(regexp_replace(l, '^#{{1,6}}', ''), '^\\s+|\\s+$', '', 'g'), '# ' || chr(9)) AS text FROM f WHERE NOT m AND k % 2 = 0 AND regexp_matches(l, '^#{{1,6}}[ \\t]')), g AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ -]', '', 'g'), '[ -]+', '-', 'g'), '-') AS base FROM h) SELECT path, level, text, base || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE '' END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY path, base ORDER BY i) AS n FROM g WHERE base <> '')",
+    "extract_decisions": f"WITH {_DOCS}, {_DECISION_LINES}, b AS (SELECT path, rec, bool_or(regexp_matches(l, '(?i)^\\s*-\\s+\\*\\*superseded\\s+by:\\*\\*')) AS over, arg_min(lower(regexp_extract(l, '^\\s*-\\s+\\*\\*Status:\\*\\*\\s+(.+)', 1)), i) FILTER (WHERE regexp_matches(l, '^\\s*-\\s+\\*\\*Status:\\*\\*\\s+.')) AS said, arg_min(regexp_extract(l, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), i) FILTER (WHERE regexp_matches(l, '^\\s*-\\s+\\*\\*(Date|Rejected):\\*\\*\\s+[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS date FROM db GROUP BY ALL) SELECT path, id, {_KIND} AS type, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '') AS domain, title, CASE WHEN left(id, 1) = 'R' THEN 'active' WHEN over THEN 'superseded' WHEN left(id, 1) = 'D' THEN 'active' WHEN said LIKE 'resolved%' AND NOT contains(said, 'partial') AND NOT contains(said, 'remaining') THEN 'resolved' ELSE 'open' END AS status, date FROM dr LEFT JOIN b USING (path, rec)",
+    "extract_decision_refs": f"WITH {_DOCS}, {_DECISION_LINES} SELECT path, id, target, ref_type, arg_min(CASE WHEN strlen(note) > 200 THEN left(note, 197) || '...' ELSE note END, i) AS note FROM df GROUP BY path, rec, id, target, ref_type",
+    "decision_violations": f"WITH {_FOLDER_DOCS}, {_DECISION_LINES}, st AS (SELECT DISTINCT path, split_part(path, '/', 1) AS folder, regexp_replace(split_part(path, '/', 2), '\\.md$', '') AS stem FROM nn) SELECT DISTINCT 'error' AS severity, 'duplicate_id' AS problem, id AS subject, '' AS other FROM dr GROUP BY id HAVING count(DISTINCT path) > 1 UNION ALL SELECT DISTINCT 'error', 'empty_title', id, '' FROM dr WHERE title = '' UNION ALL SELECT DISTINCT 'error', 'broken_ref', id, target FROM df WHERE target NOT IN (SELECT id FROM dr) UNION ALL SELECT 'warning', 'filename_style', path, '' FROM st WHERE NOT regexp_full_match(stem, '[a-z][a-z0-9-]*') UNION ALL SELECT DISTINCT 'warning', 'wrong_folder', dr.path, id FROM dr JOIN st USING (path) WHERE {_KIND} <> CASE folder WHEN 'decisions' THEN 'confirmed' WHEN 'questions' THEN 'question' ELSE 'rejected' END UNION ALL SELECT 'warning', 'unpaired', path, '' FROM st WHERE folder = 'questions' AND stem NOT IN (SELECT stem FROM st WHERE folder = 'decisions') UNION ALL SELECT 'warning', 'shared_prefix', a.path, b.path FROM st a JOIN st b ON a.folder = b.folder AND a.stem <> b.stem AND starts_with(b.stem, a.stem)",
+    "decision_sync": f"WITH {_LD}, o AS (SELECT id, hash FROM (SELECT DISTINCT * FROM decisions) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at, hash) = 1), n AS (SELECT id, hash FROM dc WHERE deleted_at IS NULL) SELECT id, CASE WHEN n.id IS NULL THEN 'pruned' WHEN o.id IS NULL THEN 'new' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL JOIN n USING (id)",
     "stream_log": P4,
 }
 

@@ -117,6 +117,26 @@ def test_frontmatter_and_arrays_equal_sqlite(small_vault, lite, text, sql):
     assert [tuple(int(v) if isinstance(v, bool) else v for v in r) for r in got] == lite.execute(f"SELECT {sql}").fetchall()
 
 
+@pytest.mark.parametrize(
+    ("text", "sql"),
+    [
+        ("max(mtime) LIMIT 0", "max(mtime) FROM files LIMIT 0"), ("max(mtime) LIMIT 5 OFFSET 1", "max(mtime) FROM files LIMIT 5 OFFSET 1"), ("max(mtime) + 1", "max(mtime) + 1 FROM files"),
+        ("upper(max(path)), size", "upper(max(path)), size FROM files"), ("DISTINCT min(path) || '!', size * 2 WHERE size > 5 ORDER BY path LIMIT 1", "DISTINCT min(path) || '!', size * 2 FROM files WHERE size > 5 ORDER BY path LIMIT 1"),
+        ("max(path), size ORDER BY max(path)", "max(path), size FROM files ORDER BY max(path)"), ("max(size) - min(size) WHERE size < 0", "max(size) - min(size) FROM files WHERE size < 0"),
+        ("path WHERE path GLOB substr(path, 1, 2) || '*' ORDER BY path", "path FROM files WHERE path GLOB substr(path, 1, 2) || '*' ORDER BY path"),
+        ("path ORDER BY path LIMIT 9223372036854775807", "path FROM files ORDER BY path LIMIT 9223372036854775807"), ("path LIMIT 3 OFFSET 9223372036854775807", "path FROM files LIMIT 3 OFFSET 9223372036854775807"),
+    ],
+)
+def test_aggregates_and_cuts_equal_sqlite(small_vault, lite, text, sql):
+    assert [tuple(r) for r in compiler.query(small_vault, f"SELECT {text}", NOW).collect()] == lite.execute(f"SELECT {sql}").fetchall()
+
+
+@pytest.mark.parametrize("call", ["json('{bad')", "json_extract('{bad', '$.a')", "json_array_length('[1')"])
+def test_malformed_json_ends_the_query(small_vault, call):
+    with pytest.raises(Exception, match="malformed JSON"):
+        compiler.query(small_vault, f"SELECT {call}", NOW).collect()
+
+
 def test_star_derived_columns_and_projected_types(small_vault):
     assert compiler.query(small_vault, "select * from files").columns == ["path", "mtime", "ctime", "size", "content_hash", "last_scanned"]
     rows = compiler.query(small_vault, "SELECT name, folder, fm.n WHERE path LIKE '%e.m%' OR path LIKE 'three%' ORDER BY path").collect()
@@ -138,7 +158,7 @@ def test_star_derived_columns_and_projected_types(small_vault):
         ("SELECT /* x", "lex.unterminated_block_comment"), ("SELECT ;", "lex.unexpected_char"), ("SELECT tags", "eval.bare_array_ref"), ("SELECT fm", "eval.bare_fm"),
         ("SELECT fm.a.b", "eval.bad_fm_access"), ("SELECT nope", "eval.unknown_column"), ("SELECT a.b", "eval.unsupported_ref"), ("SELECT contains(path)", "eval.unknown_function"),
         ("SELECT path WHERE path IN ('a')", "eval.unknown_expr"), ("SELECT path WHERE path REGEXP 'a'", "eval.unknown_function"),
-        ("SELECT path WHERE max(size) = 1", "eval.misused_aggregate"),
+        ("SELECT path WHERE max(size) = 1", "eval.misused_aggregate"), ("SELECT path ORDER BY max(size)", "eval.misused_aggregate"), ("SELECT path LIMIT 9223372036854775808", "parse.expected_limit_int"),
     ],
 )
 def test_error_codes(small_vault, text, code):
