@@ -57,7 +57,7 @@ def _empty(width: int) -> list:
 
 
 def _merge_cell(regs: list, slot: int, rank: tuple) -> list:
-    if slot >= 0 and (regs[slot] is None or rank < regs[slot]):
+    if regs[slot] is None or rank < regs[slot]:
         regs[slot] = rank
     return regs
 
@@ -66,20 +66,22 @@ def _merge_regs(a: list, b: list) -> list:
     return [y if x is None or (y is not None and y < x) else x for x, y in zip(a, b, strict=True)]
 
 
-def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, entities_per_task: int = 50_000) -> DataFrame:
-    """path and one text column per wanted key, named by it; wide_spec is a fixed list of columns, read by the driver."""
+def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, every: bool = True, entities_per_task: int = 50_000) -> DataFrame:
+    """path and one text column per wanted key, named by it; wide_spec is a fixed list of columns, read by the driver.
+
+    Only filled cells go into registers. Entities without one are added from the distinct paths; every=False leaves them out.
+    """
     spec = sorted((r["key_name"], r["col_type"]) for r in wide_spec.select("key_name", "col_type").distinct().collect() if r["key_name"])
     width, spark = len(spec), frontmatter.sparkSession
     slots = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(spec)], "_k string, _slot int, _type string")
     rows = frontmatter.where("path IS NOT NULL").select("path", "key", "value_json", fold_key(F.col("key")).alias("_k"))
-    cells = rows.join(F.broadcast(slots), "_k", "left")  # as many rows as the table has columns
+    cells = rows.join(F.broadcast(slots), "_k")  # as many rows as the table has columns
     # each step is a projection of its own, so that a value is trimmed and read once however often its cell looks at it
-    cells = cells.select("path", "key", "_k", "_slot", "_type", F.when(F.col("_slot").isNotNull(), trimmed(F.col("value_json"))).alias("_v"))
+    cells = cells.select("path", "key", "_k", "_slot", "_type", trimmed(F.col("value_json")).alias("_v"))
     cells = cells.withColumn("_text", F.get_json_object(F.concat(F.lit('{"v":'), "_v", F.lit("}")), "$.v"))
     cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("_v"), F.col("_text"), F.col("_type")).alias("cell"))
-    slot = F.when(F.col("cell").isNotNull(), F.col("_slot")).otherwise(-1)
     spelled = F.concat(F.when(F.col("key") == F.col("_k"), "0").otherwise("1"), F.coalesce("key", F.lit("")))
-    pairs = cells.select("path", F.coalesce(slot, F.lit(-1)).alias("slot"), spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
+    pairs = cells.where("cell IS NOT NULL").select("path", "_slot", spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
     # an RDD's shuffle isn't sized at run time, so the number of entities decides
     entities = frontmatter.agg(F.approx_count_distinct("path")).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, -(-entities // entities_per_task))
@@ -90,7 +92,8 @@ def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, entities_per_task: i
         numPartitions=parts,
     )
     schema = T.StructType([T.StructField("path", T.StringType()), *(T.StructField(k, T.StringType()) for k, _ in spec)])
-    return spark.createDataFrame(regs.map(lambda kv: (kv[0], *(None if x is None else x[1] for x in kv[1]))), schema, verifySchema=False)
+    filled = spark.createDataFrame(regs.map(lambda kv: (kv[0], *(None if x is None else x[1] for x in kv[1]))), schema, verifySchema=False)
+    return frontmatter.where("path IS NOT NULL").select("path").distinct().join(filled, "path", "left") if every else filled
 
 
 def typed_wide(wide: DataFrame, wide_spec: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def p5_rings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return widen.filled_cells(widen.wide_rows(*_t(spark, d, "frontmatter", "wide_spec")))
+    return widen.filled_cells(widen.wide_rows(*_t(spark, d, "frontmatter", "wide_spec"), every=False))
 
 
 def p6_wide(spark: SparkSession, d: str) -> DataFrame:
