@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import cut, table
 from . import leakage, packing, subjects
 
 
@@ -30,6 +30,25 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """spec_id, capacity_tokens, documents, over_full, split_whole, gaps: what must hold of an assignment, from its rows and tokens counted anew.
+
+    over_full: containers above the capacity; split_whole: documents in pieces that fit whole; gaps: documents whose pieces
+    are not all of their tokens once each.
+    """
+    documents = table(spark, d, "documents")
+    whole = cut(packing.token_lengths(documents))
+    out = []
+    for s, capacity, df, _ in packing.pack_all(documents, table(spark, d, "pack_specs")):
+        placed = df.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_distinct("token_from").alias("starts"), F.sum("n_tokens").alias("got"), F.max(F.col("token_from") + F.col("n_tokens")).alias("last"))
+        placed = whole.join(placed, "doc_id", "left")
+        kept = F.coalesce((F.col("got") == F.col("n_tokens")) & (F.col("last") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")), F.lit(False))
+        docs = placed.agg(F.count("pieces").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity)).alias("split_whole"), F.count_if(~kept).alias("gaps")).withColumn("spec_id", F.lit(s))
+        full = df.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("over_full")).withColumn("spec_id", F.lit(s))
+        out.append(docs.join(full, "spec_id").select("spec_id", F.lit(capacity).alias("capacity_tokens"), "documents", "over_full", "split_whole", "gaps"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).where("kind = 'quoted'").select("doc_id", "item_id")
 
@@ -49,9 +68,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_assign, p7_unused, p8_found, p8_report, p9_found, p9_shares)}
+    return {f.__name__: f for f in (p7_assign, p7_unused, p7_invariants, p8_found, p8_report, p9_found, p9_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL can state none of these whole; tests hold them against brute force, round trips and held-out labels."""
-    return {}
+    """SQL can state what must hold of the packing; tests hold the others against brute force, round trips and held-out labels."""
+    return {"p7_invariants": "SELECT spec_id, capacity_tokens, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS over_full, 0::BIGINT AS split_whole, 0::BIGINT AS gaps FROM pack_specs"}
