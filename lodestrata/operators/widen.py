@@ -79,9 +79,10 @@ def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, every: bool = True,
     # each step is a projection of its own, so that a value is trimmed and read once however often its cell looks at it
     cells = cells.select("path", "key", "_k", "_slot", "_type", trimmed(F.col("value_json")).alias("_v"))
     cells = cells.withColumn("_text", F.get_json_object(F.concat(F.lit('{"v":'), "_v", F.lit("}")), "$.v"))
-    cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("_v"), F.col("_text"), F.col("_type")).alias("cell"))
+    # empty cells drop out as empty arrays: a filter would be pushed below and type every value twice
+    cells = cells.select("path", "key", "_k", "_slot", F.explode(F.array_compact(F.array(typed_cell(F.col("_v"), F.col("_text"), F.col("_type"))))).alias("cell"))
     spelled = F.concat(F.when(F.col("key") == F.col("_k"), "0").otherwise("1"), F.coalesce("key", F.lit("")))
-    pairs = cells.where("cell IS NOT NULL").select("path", "_slot", spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
+    pairs = cells.select("path", "_slot", spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
     # an RDD's shuffle isn't sized at run time, so the number of entities decides
     entities = frontmatter.agg(F.approx_count_distinct("path")).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, -(-entities // entities_per_task))

@@ -17,7 +17,7 @@ from .operators import changefeed, hierarchy
 from .oracles_training import P4, STATE
 from .plans import index, links, planning, planning_log, primitives, rank, snapshot
 from .runtime import cut, scratch, table
-from .sources import base_view, decisions, markdown, sinks
+from .sources import base_view, decisions, markdown, sinks, statements
 from .streaming import refresh
 from .vault import Vault, vault
 
@@ -207,6 +207,15 @@ def rank_provenance(spark: SparkSession, d: str) -> DataFrame:
     return long.withColumns({c: F.round(c, 6) for c in ("raw", "normalized", "weighted")})
 
 
+def rank_default(spark: SparkSession, d: str) -> DataFrame:
+    v = vault(spark, d)
+    return _scores(rank.ranked(rank.raw_signals(v, rank.related_candidates(v, busiest(v)), NOW_S, busiest(v)), "default", None))
+
+
+def dsl_regexp(spark: SparkSession, d: str) -> DataFrame:
+    return compiler.query(vault(spark, d), "SELECT path WHERE path REGEXP '^[a-m].*[0-9].md$' AND name MATCH 'e'", NOW, extended=True)
+
+
 def rank_neighbours(spark: SparkSession, d: str) -> DataFrame:
     v = vault(spark, d)
     return rank.neighbours(v, rank.related(v, busiest(v), NOW_S, 10), 5)
@@ -481,6 +490,28 @@ def sink_one_line(spark: SparkSession, d: str) -> DataFrame:
     return sinks.one_line(sinks.chosen(v.files.withColumn("kb", F.col("size") / 1024.0), ["path", "kb", "size", "path"]))
 
 
+def sink_json(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.json_lines(table(spark, d, "decisions").distinct().select("id", "title", "date", "deleted_at", "canonical_version"))
+
+
+def log_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Every decision row as the statement a log file would hold."""
+    rows = table(spark, d, "decisions").distinct().select("id", "title", "date", "updated_at", "canonical_version")
+    return statements.rendered(rows, "decisions", ["id"])
+
+
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", index.content_hash("text").alias("content_hash"))
+
+
+def stream_history(spark: SparkSession, d: str) -> DataFrame:
+    """The hashes that a bounded stream of the history keeps."""
+    rows = table(spark, d, "ticket_history")
+    kept, out = refresh.distinct_history(spark.readStream.schema(rows.schema).parquet(f"{d}/ticket_history.parque[t]")).select("hash", "ticket_record_id", "field"), scratch(spark, "history")
+    kept.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
 def sink_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Decisions with the counting row put in for every id."""
     every = table(spark, d, "decisions").distinct()
@@ -500,11 +531,11 @@ def stream_log(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAIN = (
     prim_files, prim_tags, prim_backlinks, prim_backlink_counts, prim_outlinks, prim_meta, prim_meta_counts, prim_schema, prim_table_counts, base_view_query, links_resolved,
-    rank_related, rank_context, rank_search, rank_signals, rank_provenance, rank_neighbours, rank_flat, rank_quality,
+    rank_related, rank_context, rank_search, rank_signals, rank_default, dsl_regexp, rank_provenance, rank_neighbours, rank_flat, rank_quality,
     plan_decisions, plan_refs, plan_refs_of_one, plan_tickets, plan_by_decision, plan_children, plan_leaves, plan_blockers, plan_unblocked, plan_labels, plan_label_filter, plan_ticket_list, plan_under, plan_ancestors, plan_show_tree, plan_board, plan_dashboard, plan_next_ids,
     log_collisions, log_verify, log_replay, log_history, log_export, log_markers, log_upgrade, log_append, snapshot_round_trip, row_hashes,
     extract_counts, extract_headings, extract_links, extract_tags, extract_frontmatter, extract_anchors, extract_decisions, extract_decision_refs, decision_violations, decision_sync,
-    index_diff, index_stats, index_refresh, index_prune, files_by_month, sink_one_line, sink_upsert, stream_log,
+    index_diff, index_stats, index_refresh, index_prune, files_by_month, sink_one_line, sink_json, log_statements, content_hashes, sink_upsert, stream_log, stream_history,
 )
 
 
@@ -585,6 +616,8 @@ def _item(section: str, fields: str, source: str) -> str:
     return f"SELECT '{section}' AS section, '{{' || concat_ws(',', {parts}) || '}}' AS item FROM {source}"
 
 
+_Q = "''"  # a quote within a quoted text
+
 SQL: dict[str, str] = {
     "prim_files": f"WITH {_F} SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\\.md$', '') AS name, size, mtime FROM f WHERE regexp_full_match(path, '.*-.*/.*\\.md', 's')",
     "prim_tags": f"WITH {_TAGS} SELECT tag, count(*) AS count FROM tags GROUP BY tag HAVING count(*) >= 2",
@@ -647,6 +680,12 @@ SQL: dict[str, str] = {
     "extract_decision_refs": f"WITH {_DOCS}, {_DECISION_LINES} SELECT path, id, target, ref_type, arg_min(CASE WHEN strlen(note) > 200 THEN left(note, 197) || '...' ELSE note END, i) AS note FROM df GROUP BY path, rec, id, target, ref_type",
     "decision_violations": f"WITH {_FOLDER_DOCS}, {_DECISION_LINES}, st AS (SELECT DISTINCT path, split_part(path, '/', 1) AS folder, regexp_replace(split_part(path, '/', 2), '\\.md$', '') AS stem FROM nn) SELECT DISTINCT 'error' AS severity, 'duplicate_id' AS problem, id AS subject, '' AS other FROM dr GROUP BY id HAVING count(DISTINCT path) > 1 UNION ALL SELECT DISTINCT 'error', 'empty_title', id, '' FROM dr WHERE title = '' UNION ALL SELECT DISTINCT 'error', 'broken_ref', id, target FROM df WHERE target NOT IN (SELECT id FROM dr) UNION ALL SELECT 'warning', 'filename_style', path, '' FROM st WHERE NOT regexp_full_match(stem, '[a-z][a-z0-9-]*') UNION ALL SELECT DISTINCT 'warning', 'wrong_folder', dr.path, id FROM dr JOIN st USING (path) WHERE {_KIND} <> CASE folder WHEN 'decisions' THEN 'confirmed' WHEN 'questions' THEN 'question' ELSE 'rejected' END UNION ALL SELECT 'warning', 'unpaired', path, '' FROM st WHERE folder = 'questions' AND stem NOT IN (SELECT stem FROM st WHERE folder = 'decisions') UNION ALL SELECT 'warning', 'shared_prefix', a.path, b.path FROM st a JOIN st b ON a.folder = b.folder AND a.stem <> b.stem AND starts_with(b.stem, a.stem)",
     "decision_sync": f"WITH {_LD}, o AS (SELECT id, hash FROM (SELECT DISTINCT * FROM decisions) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at, hash) = 1), n AS (SELECT id, hash FROM dc WHERE deleted_at IS NULL) SELECT id, CASE WHEN n.id IS NULL THEN 'pruned' WHEN o.id IS NULL THEN 'new' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL JOIN n USING (id)",
+    "rank_default": f"WITH {_F}, {_TAGS}, {_BUSY}, {_CAND_RELATED}, {_SIGNALS} {_score_sql('default')}",
+    "dsl_regexp": f"WITH {_F} SELECT path FROM f WHERE regexp_matches(path, '^[a-m].*[0-9].md$') AND contains({_NAME}, 'e')",
+    "sink_json": "SELECT to_json({'id': id, 'title': title, 'date': date, 'deleted_at': deleted_at, 'canonical_version': canonical_version})::VARCHAR AS value FROM (SELECT DISTINCT * FROM decisions)",
+    "log_statements": "SELECT 'INSERT INTO decisions (id, title, date, updated_at, canonical_version) VALUES (' || concat_ws(', ', " + ", ".join(f"coalesce('{_Q}' || replace({c}, '{_Q}', '{_Q}{_Q}') || '{_Q}', 'NULL')" for c in ("id", "title", "date", "updated_at")) + ", coalesce(canonical_version::VARCHAR, 'NULL')) || ') ON CONFLICT(id) DO UPDATE SET title=excluded.title, date=excluded.date, updated_at=excluded.updated_at, canonical_version=excluded.canonical_version WHERE excluded.updated_at >= decisions.updated_at;' AS statement FROM (SELECT DISTINCT * FROM decisions)",
+    "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
+    "stream_history": "SELECT DISTINCT hash, ticket_record_id, field FROM ticket_history",
     "stream_log": P4,
 }
 

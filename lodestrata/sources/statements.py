@@ -27,6 +27,16 @@ def render(table: str, keys: list[str], row: dict[str, object]) -> str:
     return f"INSERT INTO {table} ({', '.join(cols)}) VALUES ({', '.join(quote(v) for v in row.values())}) ON CONFLICT({', '.join(keys)}) DO UPDATE SET {rest} WHERE excluded.updated_at >= {table}.updated_at;"
 
 
+def rendered(rows: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """statement: render() of every row, in generated code."""
+    numbers = {c for c, t in rows.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")}
+    text = lambda c: F.col(c).cast("string")
+    shown = [F.coalesce(text(c) if c in numbers else F.concat(F.lit("'"), F.replace(text(c), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")) for c in rows.columns]
+    rest = ", ".join(f"{c}=excluded.{c}" for c in rows.columns if c not in keys and c != "created_at")
+    tail = f") ON CONFLICT({', '.join(keys)}) DO UPDATE SET {rest} WHERE excluded.updated_at >= {table}.updated_at;"
+    return rows.select(F.concat(F.lit(f"INSERT INTO {table} ({', '.join(rows.columns)}) VALUES ("), F.concat_ws(", ", *shown), F.lit(tail)).alias("statement"))
+
+
 def split(text: str) -> list[str]:
     """Statements of a file; semicolons and newlines inside quotes belong to the text."""
     out, start, i, n = [], 0, 0, len(text)

@@ -7,7 +7,7 @@ import pytest
 from lodestrata.operators import changefeed
 from lodestrata.plans import index
 from lodestrata.runtime import scratch
-from lodestrata.sources import decisions, markdown, statements
+from lodestrata.sources import decisions, markdown, sinks, statements
 from lodestrata.streaming import refresh
 from tests.conftest import rows_of
 
@@ -215,3 +215,71 @@ def test_ignore_rules_know_classes_and_folders():
 
     assert gone(["[Dd]rafts/"], "Drafts/a.md") and gone(["[Dd]rafts/"], "x/drafts/a.md") and not gone(["[Dd]rafts/"], "drafts") and not gone(["drafts.md/"], "drafts.md")
     assert gone(["n[!0-9].md"], "nx.md") and not gone(["n[!0-9].md"], "n1.md") and not gone(["n[!0-9]md"], "n/md") and gone(["*.md", "!keep.md"], "a/b.md") and not gone(["*.md", "!keep.md"], "keep.md")
+
+
+def test_rendered_statements_equal_the_single_ones(spark):
+    df = spark.createDataFrame([("A", "it's", 3, None, "2024-01-01"), ("B", "", None, "x", None)], "record_id string, title string, n int, x string, updated_at string")
+    want = [statements.render("tickets", ["record_id"], r.asDict()) for r in df.collect()]
+    assert [r.statement for r in statements.rendered(df, "tickets", ["record_id"]).collect()] == want
+
+
+def test_unreadable_statements_stop_the_import_or_show(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "2024-01.sql").write_text("INSERT INTO t (a, b) VALUES ('x', 1) ON CONFLICT(a) DO NOTHING;\nUPDATE t SET a = 1;\nINSERT INTO t (a) VALUES ('y', 2);\nVACUUM;\n")
+    with pytest.raises(Exception, match="statement 2"):
+        statements.read_log(spark, str(tmp_path)).collect()
+    rows = statements.read_log(spark, str(tmp_path), strict=False).orderBy("line_no").collect()
+    assert [(r.line_no, r.error is None) for r in rows] == [(1, True), (2, False), (3, False)] and rows[1].row_json.startswith("UPDATE")
+
+
+def test_log_append_writes_each_line_once(spark, tmp_path):
+    from lodestrata.plans import planning_log
+
+    rows = spark.createDataFrame([("D-1", "it's", "2024-01-02", "h1"), ("D-2", None, "2024-01-01", "h2"), ("D-2", None, "2024-01-01", "h2"), ("D-3", "x", "2024-02-01", "h3"), ("D-4", "y", None, "h4")], "id string, title string, updated_at string, hash string")
+    first = planning_log.append_log(planning_log.export(rows.where("id <> 'D-3'"), "decisions", "2024"), str(tmp_path), "decisions", ["id"])
+    assert rows_of(first) == [("decisions/2024-01.sql", 2, 0)]
+    again = planning_log.append_log(planning_log.export(rows, "decisions", "2024"), str(tmp_path), "decisions", ["id"])
+    assert rows_of(again) == [("decisions/2024-01.sql", 0, 2), ("decisions/2024-02.sql", 1, 0)]
+    log = statements.read_log(spark, str(tmp_path))
+    assert {(r.log_file, r.hash) for r in log.collect()} == {("decisions/2024-01.sql", "h1"), ("decisions/2024-01.sql", "h2"), ("decisions/2024-02.sql", "h3")}
+    assert planning_log.append_log(planning_log.export(rows.limit(0), "decisions", "2024"), str(tmp_path), "decisions", ["id"]).count() == 0
+
+
+def test_snapshot_puts_keyed_rows_in_and_replaces_the_rest(spark, tmp_path):
+    from lodestrata.plans import snapshot
+
+    schema = "record_id string, parent_record_id string, title string"
+    now = {"tickets": spark.createDataFrame([("A", "B", None), ("B", None, "b")], schema), "ticket_labels": spark.createDataFrame([("A", "x")], "ticket_record_id string, label string")}
+    snapshot.export_snapshot(now, str(tmp_path))
+    stored = {"tickets": spark.createDataFrame([("B", None, "old"), ("C", None, "c")], schema), "ticket_labels": spark.createDataFrame([("C", "y")], "ticket_record_id string, label string"), "deps": spark.createDataFrame([("d",)], "a string")}
+    got = snapshot.import_snapshot(spark, str(tmp_path), stored)
+    assert rows_of(got["tickets"]) == [("A", "B", None), ("B", None, "b"), ("C", None, "c")] and rows_of(got["ticket_labels"]) == [("A", "x")] and rows_of(got["deps"]) == [("d",)]
+
+
+def test_single_object_and_streamed_text(spark):
+    df = spark.createDataFrame([("a", None)], "x string, y int")
+    assert sinks.single(df) == '{"x": "a", "y": null}' and sinks.single(df.limit(0)) == "null"
+    with pytest.raises(ValueError):
+        sinks.single(df.unionByName(df))
+    assert list(sinks.stream_text(sinks.json_lines(df))) == ['{"x":"a","y":null}']
+
+
+def test_one_watcher_at_a_time(tmp_path):
+    from lodestrata.streaming.lock import WatchLock
+
+    at = str(tmp_path / "lock")
+    with WatchLock(at):
+        with pytest.raises(RuntimeError):
+            WatchLock(at).__enter__()
+    (tmp_path / "lock").write_text("999999999")
+    with WatchLock(at):
+        pass
+    assert not (tmp_path / "lock").exists()
+
+
+def test_upgrade_keeps_files_and_drops_repeats(spark):
+    from lodestrata.plans import planning_log
+
+    rows = [("f", 3, "h1", 1), ("f", 1, "h2", 1), ("f", 2, "h2", 1), ("g", 1, "h2", 1), ("f", 4, None, 1)]
+    df = spark.createDataFrame([(f, n, "t", "a", "{}", "1", None, h, v) for f, n, h, v in rows], "log_file string, line_no int, table_name string, key_columns string, row_json string, updated_at string, deleted_at string, hash string, canonical_version int")
+    assert {(r.log_file, r.line_no, r.hash, r.canonical_version) for r in planning_log.upgraded(df, 2).collect()} == {("f", 1, "h2", 2), ("f", 2, "h1", 2), ("f", 3, None, 2), ("g", 1, "h2", 2)}
