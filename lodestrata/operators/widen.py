@@ -57,7 +57,7 @@ def _empty(width: int) -> list:
 
 
 def _merge_cell(regs: list, slot: int, rank: tuple) -> list:
-    if regs[slot] is None or rank < regs[slot]:
+    if rank[1] is not None and (regs[slot] is None or rank < regs[slot]):
         regs[slot] = rank
     return regs
 
@@ -69,7 +69,7 @@ def _merge_regs(a: list, b: list) -> list:
 def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, every: bool = True, entities_per_task: int = 50_000) -> DataFrame:
     """path and one text column per wanted key, named by it; wide_spec is a fixed list of columns, read by the driver.
 
-    Only filled cells go into registers. Entities without one are added from the distinct paths; every=False leaves them out.
+    Only wanted attributes go to Python. Entities without one are added from the distinct paths; every=False leaves them out.
     """
     spec = sorted((r["key_name"], r["col_type"]) for r in wide_spec.select("key_name", "col_type").distinct().collect() if r["key_name"])
     width, spark = len(spec), frontmatter.sparkSession
@@ -79,8 +79,8 @@ def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, every: bool = True,
     # each step is a projection of its own, so that a value is trimmed and read once however often its cell looks at it
     cells = cells.select("path", "key", "_k", "_slot", "_type", trimmed(F.col("value_json")).alias("_v"))
     cells = cells.withColumn("_text", F.get_json_object(F.concat(F.lit('{"v":'), "_v", F.lit("}")), "$.v"))
-    # empty cells drop out as empty arrays: a filter would be pushed below and type every value twice
-    cells = cells.select("path", "key", "_k", "_slot", F.explode(F.array_compact(F.array(typed_cell(F.col("_v"), F.col("_text"), F.col("_type"))))).alias("cell"))
+    # values that fit no cell are passed over in the registers: a filter here would be pushed below and type every value twice
+    cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("_v"), F.col("_text"), F.col("_type")).alias("cell"))
     spelled = F.concat(F.when(F.col("key") == F.col("_k"), "0").otherwise("1"), F.coalesce("key", F.lit("")))
     pairs = cells.select("path", "_slot", spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
     # an RDD's shuffle isn't sized at run time, so the number of entities decides
