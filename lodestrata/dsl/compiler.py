@@ -214,6 +214,18 @@ class Compiler:
             return Expr(F.concat(self.text(a), self.text(b)), "text")
         return self.arithmetic(n.value, self.number(a), self.number(b))
 
+    def _cast(self, n: Node) -> Expr:
+        """As SQLite casts: a text by the number it begins with (0 if by none), a real towards zero."""
+        e = self.expr(n.args[0])
+        if n.value == "text":
+            return Expr(self.text(e), "text")
+        if n.value == "real":
+            return Expr(self.number(e).col.cast("double"), "real")
+        if e.numeric:
+            return Expr(e.col.cast("bigint"), "int")
+        whole = F.coalesce(F.regexp_extract(self.text(e), r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+        return Expr(F.when(self.text(e).isNotNull(), whole), "int")
+
     def _between(self, n: Node) -> Expr:
         a, low, high = (self.expr(x) for x in n.args)
         inside = self.compare(">=", a, low) & self.compare("<=", a, high)
@@ -546,7 +558,7 @@ def unparse(n: Node) -> str:
 
 def query(vault: Vault, text: str, now: datetime | None = None, extended: bool = False) -> DataFrame:
     """Run one query over a vault; nothing is read until the result is."""
-    return Compiler(vault, now, extended).plan(parse(text))
+    return Compiler(vault, now, extended).plan(parse(text, extended))
 
 
 def query_file(vault: Vault, path: str, now: datetime | None = None, extended: bool = False) -> DataFrame:

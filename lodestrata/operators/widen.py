@@ -81,7 +81,7 @@ def wide_rows(frontmatter: DataFrame, wide_spec: DataFrame, every: bool = True,
     cells = cells.withColumn("_text", F.get_json_object(F.concat(F.lit('{"v":'), "_v", F.lit("}")), "$.v"))
     # values that fit no cell are passed over in the registers: a filter here would be pushed below and type every value twice
     cells = cells.select("path", "key", "_k", "_slot", typed_cell(F.col("_v"), F.col("_text"), F.col("_type")).alias("cell"))
-    spelled = F.concat(F.when(F.col("key") == F.col("_k"), "0").otherwise("1"), F.coalesce("key", F.lit("")))
+    spelled = F.when(F.col("key") == F.col("_k"), "").otherwise(F.col("key"))  # the exact spelling first
     pairs = cells.select("path", "_slot", spelled.alias("spelled"), "cell").rdd.map(lambda r: (r[0], (r[1], (r[2], r[3]))))
     # an RDD's shuffle isn't sized at run time, so the number of entities decides
     entities = frontmatter.agg(F.approx_count_distinct("path")).first()[0]

@@ -216,6 +216,10 @@ def dsl_regexp(spark: SparkSession, d: str) -> DataFrame:
     return compiler.query(vault(spark, d), "SELECT path WHERE path REGEXP '^[a-m].*[0-9].md$' AND name MATCH 'e'", NOW, extended=True)
 
 
+def dsl_cast(spark: SparkSession, d: str) -> DataFrame:
+    return compiler.query(vault(spark, d), "SELECT path, CAST(size / 7.0 AS INTEGER) AS i, CAST(size AS TEXT) || 'x' AS t, CAST(name AS INTEGER) AS n, CAST(size AS REAL) / 4 AS r", NOW, extended=True)
+
+
 def rank_neighbours(spark: SparkSession, d: str) -> DataFrame:
     v = vault(spark, d)
     return rank.neighbours(v, rank.related(v, busiest(v), NOW_S, 10), 5)
@@ -531,7 +535,7 @@ def stream_log(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAIN = (
     prim_files, prim_tags, prim_backlinks, prim_backlink_counts, prim_outlinks, prim_meta, prim_meta_counts, prim_schema, prim_table_counts, base_view_query, links_resolved,
-    rank_related, rank_context, rank_search, rank_signals, rank_default, dsl_regexp, rank_provenance, rank_neighbours, rank_flat, rank_quality,
+    rank_related, rank_context, rank_search, rank_signals, rank_default, dsl_regexp, dsl_cast, rank_provenance, rank_neighbours, rank_flat, rank_quality,
     plan_decisions, plan_refs, plan_refs_of_one, plan_tickets, plan_by_decision, plan_children, plan_leaves, plan_blockers, plan_unblocked, plan_labels, plan_label_filter, plan_ticket_list, plan_under, plan_ancestors, plan_show_tree, plan_board, plan_dashboard, plan_next_ids,
     log_collisions, log_verify, log_replay, log_history, log_export, log_markers, log_upgrade, log_append, snapshot_round_trip, row_hashes,
     extract_counts, extract_headings, extract_links, extract_tags, extract_frontmatter, extract_anchors, extract_decisions, extract_decision_refs, decision_violations, decision_sync,
@@ -682,6 +686,7 @@ SQL: dict[str, str] = {
     "decision_sync": f"WITH {_LD}, o AS (SELECT id, hash FROM (SELECT DISTINCT * FROM decisions) QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at, hash) = 1), n AS (SELECT id, hash FROM dc WHERE deleted_at IS NULL) SELECT id, CASE WHEN n.id IS NULL THEN 'pruned' WHEN o.id IS NULL THEN 'new' WHEN o.hash IS NOT DISTINCT FROM n.hash THEN 'unchanged' ELSE 'changed' END AS action FROM o FULL JOIN n USING (id)",
     "rank_default": f"WITH {_F}, {_TAGS}, {_BUSY}, {_CAND_RELATED}, {_SIGNALS} {_score_sql('default')}",
     "dsl_regexp": f"WITH {_F} SELECT path FROM f WHERE regexp_matches(path, '^[a-m].*[0-9].md$') AND contains({_NAME}, 'e')",
+    "dsl_cast": f"WITH {_F} SELECT path, trunc(size / 7.0::DOUBLE)::BIGINT AS i, size || 'x' AS t, coalesce(TRY_CAST(nullif(regexp_extract({_NAME}, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0) AS n, size / 4::DOUBLE AS r FROM f",
     "sink_json": "SELECT to_json({'id': id, 'title': title, 'date': date, 'deleted_at': deleted_at, 'canonical_version': canonical_version})::VARCHAR AS value FROM (SELECT DISTINCT * FROM decisions)",
     "log_statements": "SELECT 'INSERT INTO decisions (id, title, date, updated_at, canonical_version) VALUES (' || concat_ws(', ', " + ", ".join(f"coalesce('{_Q}' || replace({c}, '{_Q}', '{_Q}{_Q}') || '{_Q}', 'NULL')" for c in ("id", "title", "date", "updated_at")) + ", coalesce(canonical_version::VARCHAR, 'NULL')) || ') ON CONFLICT(id) DO UPDATE SET title=excluded.title, date=excluded.date, updated_at=excluded.updated_at, canonical_version=excluded.canonical_version WHERE excluded.updated_at >= decisions.updated_at;' AS statement FROM (SELECT DISTINCT * FROM decisions)",
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",

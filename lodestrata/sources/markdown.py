@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -319,6 +320,31 @@ def _ignored(rules: list[str]) -> list[tuple[bool, re.Pattern]]:
     return out
 
 
+def scan_changed(spark: SparkSession, root: str, stored: DataFrame, excludes: tuple[str, ...] = (), ignore_lines: tuple[str, ...] = ()) -> DataFrame:
+    """path, mtime, size, content, content_hash of a scan, contents being read only where stored (path, mtime, content_hash) has another mtime.
+
+    The listing reads no content (the column is pruned); an unchanged file has null content and its stored hash. root is a
+    folder that all executors see under the same path; a file that is gone by the time it is read has neither.
+    """
+    base = root.rstrip("/").removeprefix("file:")
+    seen = scan(spark, root, excludes, ignore_lines).select("path", "mtime", "size")
+    known = stored.select("path", F.col("mtime").alias("_m"), F.col("content_hash").alias("_h"))
+    todo = seen.join(known, "path", "left").select("path", "mtime", "size", F.when(F.col("_m").eqNullSafe(F.col("mtime")), F.col("_h")).alias("content_hash"), F.col("_m").eqNullSafe(F.col("mtime")).alias("same"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for p, same in zip(pdf["path"], pdf["same"], strict=True):
+                try:
+                    got.append(None if same else Path(base, p).read_bytes())
+                except FileNotFoundError:
+                    got.append(None)
+            yield pd.DataFrame({"path": pdf["path"], "mtime": pdf["mtime"], "size": pdf["size"], "content": got, "content_hash": pdf["content_hash"]})
+
+    read = todo.mapInPandas(run, "path string, mtime long, size long, content binary, content_hash string")
+    return read.withColumn("content_hash", F.coalesce("content_hash", F.sha2("content", 256)))
+
+
 def scan(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), ignore_lines: tuple[str, ...] = ()) -> DataFrame:
     """path (below root), mtime, size, content of the .md files (any case); contents of ignored files are never read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)

@@ -171,3 +171,11 @@ def test_positions_comments_and_keywords():
     toks = lexer.Lexer("select -- c\n  \"order\" /* x\ny */ 'it''s' 1.5 <>").tokens()
     assert [(t.kind, t.value, t.line) for t in toks] == [("KEYWORD", "SELECT", 1), ("IDENT", "order", 2), ("STRING", "it's", 3), ("FLOAT", "1.5", 3), ("OP", "!=", 3), ("END", "", 3)]
     assert parser.parse("SELECT a WHERE 1 + 2 * 3 = 7 AND NOT x OR y").where.value == "OR"
+
+
+def test_cast_is_an_extension(small_vault, lite):
+    text = "CAST('12abc' AS INTEGER) AS a, CAST(' -3.9x' AS REAL) AS b, CAST('x' AS INTEGER) AS c, CAST(7.9 AS INT) AS d, CAST(size AS TEXT) AS e, CAST(NULL AS INTEGER) AS f"
+    got = [tuple(r) for r in compiler.query(small_vault, f"SELECT {text} ORDER BY path", NOW, extended=True).collect()]
+    assert got == lite.execute(f"SELECT {text} FROM files ORDER BY path").fetchall()
+    with pytest.raises(QueryError):
+        compiler.query(small_vault, "SELECT CAST(size AS TEXT)")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.operators import changefeed
 from lodestrata.plans import index
@@ -283,3 +284,13 @@ def test_upgrade_keeps_files_and_drops_repeats(spark):
     rows = [("f", 3, "h1", 1), ("f", 1, "h2", 1), ("f", 2, "h2", 1), ("g", 1, "h2", 1), ("f", 4, None, 1)]
     df = spark.createDataFrame([(f, n, "t", "a", "{}", "1", None, h, v) for f, n, h, v in rows], "log_file string, line_no int, table_name string, key_columns string, row_json string, updated_at string, deleted_at string, hash string, canonical_version int")
     assert {(r.log_file, r.line_no, r.hash, r.canonical_version) for r in planning_log.upgraded(df, 2).collect()} == {("f", 1, "h2", 2), ("f", 2, "h1", 2), ("f", 3, None, 2), ("g", 1, "h2", 2)}
+
+
+def test_unchanged_notes_are_not_read(spark, tmp_path):
+    for n in ("a.md", "b.md", "c.md"):
+        (tmp_path / n).write_text(n)
+    full = markdown.scan(spark, str(tmp_path)).withColumn("content_hash", index.content_hash()).persist()
+    stored = full.select("path", F.when(F.col("path") == "b.md", 1).otherwise(F.col("mtime")).alias("mtime"), F.when(F.col("path") == "a.md", "kept").otherwise(F.col("content_hash")).alias("content_hash")).where("path <> 'c.md'")
+    got = {r.path: (r.content, r.content_hash) for r in markdown.scan_changed(spark, str(tmp_path), stored).collect()}
+    hashes = {r.path: r.content_hash for r in full.collect()}
+    assert got == {"a.md": (None, "kept"), "b.md": (bytearray(b"b.md"), hashes["b.md"]), "c.md": (bytearray(b"c.md"), hashes["c.md"])}
