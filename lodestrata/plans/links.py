@@ -58,6 +58,20 @@ def resolved(files: DataFrame, links: DataFrame) -> DataFrame:
     return hits.unionByName(loose).distinct()
 
 
+def names(target: Column, path: str) -> Column:
+    """Whether a raw target names this one path: resolved()'s rules as a filter, which needs no join."""
+    exact = {path, path.removesuffix(".md")}
+    parts = (path[:-3] if path[-3:].lower() == ".md" else "").split("/")
+    ends = ["".join(c.lower() if c.isascii() else c for c in "/".join(parts[i:])) for i in range(1, len(parts))]
+    hit = target.isin(*exact)
+    if ends:
+        folded = lower_ascii(target)
+        hit = hit | folded.isin(*ends)
+        for e in ends:
+            hit = hit | (F.contains(target, F.lit("_")) & (F.length(folded) == len(e)) & like(F.lit(e), folded))
+    return hit
+
+
 def inlinks(files: DataFrame, links: DataFrame) -> DataFrame:
     """path, source_path of every link (a bag) that names path; the links of a hot target are spread."""
     return salted_join(links.select("source_path", "target_path"), resolved(files, links), ["target_path"], ["source_path"]).select("path", "source_path")

@@ -1,7 +1,7 @@
 """Ranking files against a target or a text with five structural signals, all candidates at once.
 
-Raw signals are grouped joins; counts are taken per (note, value) before joining, so bags keep their multiplicities without
-being multiplied out. Each signal is divided by its largest absolute value over the candidates (0 if that is 0), weighted and
+Candidates are written once. Raw signals are grouped joins; the target's values are counted before joining, so bags keep
+their multiplicities without being multiplied out. Each signal is divided by its largest absolute value over the candidates (0 if that is 0), weighted and
 summed. Equal scores are ordered by path.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.sqlite import like, lower_ascii
 from ..runtime import cut, salted_join
 from ..vault import Vault
-from .links import inlinks, resolved
+from .links import inlinks, names, resolved
 from .primitives import top_per
 
 # fixed values: the weight of each signal in each profile
@@ -28,10 +28,13 @@ DECAY_HOURS = 2160
 
 
 def overlap(bag: DataFrame, owner: str, value: str, target: str, name: str) -> DataFrame:
-    """path, name: how many pairs of rows of target and of path share a value (a bag count)."""
-    counts = bag.groupBy(F.col(owner).alias("path"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    own = counts.where(F.col("path") == target).select("v", F.col("n").alias("m"))
-    return counts.where(F.col("path") != target).join(own, "v").groupBy("path").agg(F.sum(F.col("n") * F.col("m")).cast("double").alias(name))
+    """path, name: how many pairs of rows of target and of path share a value (a bag count).
+
+    target's values are counted first, so a row of the bag meets at most one; a value that very many rows share is spread.
+    """
+    rows = bag.select(F.col(owner).alias("path"), F.col(value).alias("v")).where("v IS NOT NULL")
+    own = rows.where(F.col("path") == target).groupBy("v").agg(F.count("*").alias("m"))
+    return salted_join(rows.where(F.col("path") != target), own, ["v"], ["path"]).groupBy("path").agg(F.sum("m").cast("double").alias(name))
 
 
 def _directory(path: Column) -> Column:
@@ -60,7 +63,8 @@ def centrality(v: Vault, candidates: DataFrame) -> DataFrame:
 
 
 def raw_signals(v: Vault, candidates: DataFrame, now: int, target: str | None) -> DataFrame:
-    """candidates (path, distinct) with one column per signal."""
+    """candidates (path, distinct) with one column per signal. They are written once, as several signals start from them."""
+    candidates = cut(candidates)
     df = candidates.join(v.files.groupBy("path").agg(F.max("mtime").alias("mtime")), "path", "left").join(centrality(v, candidates), "path", "left")
     if target is None:
         df = df.withColumns({n: F.lit(0.0) for n in SIGNALS[:3]})
@@ -89,8 +93,8 @@ def ranked(raw: DataFrame, profile: str = "default", limit: int | None = 10) ->
 
 
 def _linking(v: Vault, target: str) -> DataFrame:
-    one = v.files.where(F.col("path") == target)
-    return inlinks(one, v.links).select(F.col("source_path").alias("path"))
+    hit = names(F.col("target_path"), target) if not v.files.where(F.col("path") == target).isEmpty() else F.lit(False)
+    return v.links.where(hit).select(F.col("source_path").alias("path"))
 
 
 def _tag_mates(v: Vault, target: str) -> DataFrame:
