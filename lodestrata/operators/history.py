@@ -59,7 +59,7 @@ def _slice_window(*order: str) -> Window:
 
 
 def settled_snapshots(history: DataFrame, entities: DataFrame, slice_ms: int = DAY_MS) -> DataFrame:
-    """entity, attr, slice, ts, value (struct): the value from each instant on, with the instant of creation first."""
+    """entity, attr, slice, ts, value (struct), ord (from 0 within the slice): the value from each instant on, with the instant of creation first."""
     events = chain_ends(live_changes(history, slice_ms)).repartition("entity", "attr", "slice")
     born = entities.groupBy(fold_id(F.col("record_id")).alias("entity")).agg(F.max_by("created_at", F.coalesce("updated_at", F.lit(""))).alias("c")).select("entity", utc_millis(F.col("c")).alias("born"))
     whole = Window.partitionBy("entity", "attr").orderBy("slice")
@@ -67,13 +67,13 @@ def settled_snapshots(history: DataFrame, entities: DataFrame, slice_ms: int = D
     summary = events.groupBy("entity", "attr", "slice").agg(
         F.max_by("last", F.when(F.col("last").isNotNull(), F.col("ts"))).alias("carry"),
         F.min_by("first", F.when(F.col("first").isNotNull(), F.col("ts"))).alias("ahead"),
-        F.count("ring").alias("rings"),  # read so that both uses of events have the same columns and share one exchange
+        F.min("ts").alias("begin"), F.count("ring").alias("rings"),  # read so that both uses of events have the same columns and share one exchange
     )
     summary = summary.select(
         "entity", "attr", "slice",
         F.last("carry", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
         F.last("ahead", ignorenulls=True).over(back).alias("after"),
-        (F.row_number().over(whole) == 1).alias("opens"), "rings",
+        (F.row_number().over(whole) == 1).alias("opens"), "begin", "rings",
     ).where("rings >= 0").join(born, "entity", "left")
     w = _slice_window("ts")
     prior = F.coalesce(F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
@@ -83,19 +83,17 @@ def settled_snapshots(history: DataFrame, entities: DataFrame, slice_ms: int = D
     in_ring = lambda v: F.when(F.exists("ring", lambda x: x.eqNullSafe(v)) & v.isNotNull(), v)
     chosen = F.coalesce(in_ring(F.col("prior")), in_ring(F.col("coming")), F.col("ring")[0])
     rows = rows.withColumn("value", F.coalesce("last", chosen)).withColumn("start", F.coalesce("first", chosen))
-    snap = lambda ts, v: F.struct(ts.alias("ts"), v.alias("value"))
-    here = snap(F.col("ts"), F.col("value"))
-    origin = snap(F.col("born"), F.col("start"))
-    opening = F.col("opens") & (F.col("n") == 1) & (F.col("born") < F.col("ts"))
-    rows = rows.select("entity", "attr", "slice", F.explode(F.when(opening, F.array(origin, here)).otherwise(F.array(here))).alias("s"))
-    return rows.select("entity", "attr", "slice", "s.ts", "s.value")
+    snap = lambda ts, v, o: F.struct(ts.alias("ts"), v.alias("value"), o.cast("long").alias("ord"))
+    born_first = F.coalesce(F.col("opens") & (F.col("born") < F.col("begin")), F.lit(False))  # the whole slice's numbers move up by one
+    here = snap(F.col("ts"), F.col("value"), F.when(born_first, F.col("n")).otherwise(F.col("n") - 1))
+    origin = snap(F.col("born"), F.col("start"), F.lit(0))
+    rows = rows.select("entity", "attr", "slice", F.explode(F.when(born_first & (F.col("n") == 1), F.array(origin, here)).otherwise(F.array(here))).alias("s"))
+    return rows.select("entity", "attr", "slice", "s.ts", "s.value", "s.ord")
 
 
 def validity_periods(history: DataFrame, entities: DataFrame, slice_ms: int = DAY_MS) -> DataFrame:
     """entity, attr, value, from_ms, to_ms (null: still open), one row per maximal period of one non-null value."""
-    w = _slice_window("ts")
     snaps = settled_snapshots(history, entities, slice_ms)
-    snaps = snaps.select("*", (F.row_number().over(w) - 1).alias("ord"))
     # presence bitmaps: 64 snapshots a word, one word per value that held in any of them
     bitmaps = snaps.withColumn("word", F.floor(F.col("ord") / 64)).withColumn("bit", (F.col("ord") % 64).cast("int")).groupBy("entity", "attr", "slice", "word", F.xxhash64("value").alias("h"), "value").agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("bits"),

@@ -166,12 +166,13 @@ def neighbours(v: Vault, results: DataFrame, n: int = 5) -> DataFrame:
 
 
 def quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """ndcg, mrr, precision at k of ranked results (case, rank from 1, path) against relevant (case, path), per case."""
-    hits = results.where(F.col("rank") <= k).join(relevant.select("case", "path", F.lit(1).alias("rel")).distinct(), ["case", "path"], "left")
-    gain = F.sum(F.when(F.col("rel") == 1, 1 / F.log2(F.col("rank") + 1.0)))
-    got = hits.groupBy("case").agg(F.coalesce(gain, F.lit(0.0)).alias("dcg"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.count("rel").alias("n"))
-    size = relevant.select("case", "path").distinct().groupBy("case").agg(F.count("*").alias("wanted"))
-    ideal = F.expr(f"aggregate(sequence(1, cast(least(wanted, {k}) as int)), 0D, (s, i) -> s + 1 / log2(i + 1.0))")
-    df = size.join(got, "case", "left").select("case", "dcg", "first", "n", ideal.alias("ideal"))
-    return df.select("case", F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.coalesce("n", F.lit(0)) / k).alias("precision"))
+    """ndcg, mrr, precision at k of ranked results (case, rank from 1, path) against relevant (case, path), per case.
 
+    Both sides go into one aggregation by case and path, then by case; a case without anything relevant has no row.
+    """
+    both = results.select("case", "path", F.col("rank").cast("long").alias("rank"), F.lit(0).alias("rel")).unionByName(relevant.select("case", "path", F.lit(None).cast("long").alias("rank"), F.lit(1).alias("rel")))
+    each = both.groupBy("case", "path").agg(F.min("rank").alias("rank"), F.max("rel").alias("rel")).where("rel = 1")
+    at = F.when(F.col("rank") <= k, F.col("rank"))
+    df = each.groupBy("case").agg(F.count("*").alias("wanted"), F.coalesce(F.sum(1 / F.log2(at + 1.0)), F.lit(0.0)).alias("dcg"), F.min(at).alias("first"), F.count(at).alias("n"))
+    ideal = F.expr(f"aggregate(sequence(1, cast(least(wanted, {k}) as int)), 0D, (s, i) -> s + 1 / log2(i + 1.0))")
+    return df.select("case", (F.col("dcg") / ideal).alias("ndcg"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("n") / k).alias("precision"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..vault import Vault
@@ -192,41 +192,25 @@ def heading(line: str) -> tuple[int, str] | None:
     return depth, line[depth:].strip().rstrip("#").rstrip()
 
 
-def slug(text: str) -> str:
+def slug(text: Column) -> Column:
     """Lower case; ASCII letters, digits and _ stay, runs of blanks and hyphens become one hyphen, all else goes."""
-    kept = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789_" else "-" if c in " -" else "" for c in text.lower())
-    return "-".join(x for x in kept.split("-") if x)
-
-
-def anchors(body: str | None) -> list[tuple[int, str, str]]:
-    """(level, text, slug) of a body's headings with an anchor; a slug that came before gets -1, -2 and so on.
-
-    Here any line that begins with three backticks opens or closes a fence.
-    """
-    out, seen, fenced = [], {}, False
-    for line in (body or "").split("\n"):
-        if line.strip().startswith("```"):
-            fenced = not fenced
-            continue
-        depth = min(len(line) - len(line.lstrip("#")), 6)
-        if fenced or not depth or line[depth : depth + 1] not in (" ", "\t"):
-            continue
-        text = line[depth + 1 :].strip().rstrip("# \t")
-        name = slug(text)
-        if name:
-            n = seen[name] = seen.get(name, -1) + 1
-            out.append((depth, text, f"{name}-{n}" if n else name))
-    return out
+    kept = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9_ -]", ""), "[ -]+", "-")
+    return F.regexp_replace(kept, "^-|-$", "")
 
 
 def heading_anchors(notes: DataFrame) -> DataFrame:
-    """path, level, text, slug of every heading of notes (path, content); null contents have none."""
+    """path, level, text, slug of the headings with an anchor of notes (path, content); null contents have none.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(p, *a) for p, t in zip(pdf["path"], pdf["content"], strict=True) for a in anchors(t)], columns=["path", "level", "text", "slug"])
-
-    return notes.select("path", "content").mapInPandas(run, "path string, level int, text string, slug string")
+    A slug that came before in the note gets -1, -2 and so on. What lies between two lines that begin with three backticks,
+    or after the last such line without a partner, is cut out first; the rest is read with expressions alone.
+    """
+    fence = r"(?md)^[^\S\n]*```.*\n?(?:[\s\S]*?^[^\S\n]*```.*$|[\s\S]*)"
+    found = F.posexplode(F.regexp_extract_all(F.regexp_replace("content", fence, ""), F.lit(r"(?md)^#{1,6}[ \t].*$"), 0)).alias("at", "line")
+    rest = F.regexp_replace(F.regexp_replace("line", "^#+", ""), r"^\s+|\s+$", "")
+    rows = notes.select("path", found).select("path", "at", F.length(F.regexp_extract("line", "^#+", 0)).alias("level"), F.regexp_replace(rest, r"[# \t]+$", "").alias("text"))
+    rows = rows.withColumn("base", slug(F.col("text"))).where("base <> ''")
+    n = F.row_number().over(Window.partitionBy("path", "base").orderBy("at")) - 1
+    return rows.withColumn("n", n).select("path", "level", "text", F.when(F.col("n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("slug"))
 
 
 def _front_tags(doc: dict) -> list[str]:

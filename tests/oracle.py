@@ -28,8 +28,13 @@ def _norm(pdf):
 
 
 def difference(spark, name, d, query, sql, con=None):
-    """None if rows, names and kinds agree, else a short text."""
-    got, want = query(spark, d).toPandas(), (con or connect(d)).execute(sql).df()
+    """None if rows, names and kinds agree and the plan multiplies no tables, else a short text."""
+    df = query(spark, d)
+    got, want = df.toPandas(), (con or connect(d)).execute(sql).df()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if bad in plan:
+            return f"{bad} in the plan"
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} / {sorted(want.columns)}"
     kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got.columns if got[c].dtype != want[c].dtype and len(got)}

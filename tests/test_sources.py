@@ -201,10 +201,11 @@ def test_fences_may_be_indented():
     assert [t for _, _, t in markdown.open_lines(body)] == ["# out", "# out2"]
 
 
-def test_anchors_and_slugs():
-    assert markdown.slug("  Hello, World -- Foo_Bar é! ") == "hello-world-foo_bar"
-    assert markdown.anchors("# A b\n## A b\n```\n# no\n```\n###### A  B #\n# é\n####### x\n#\tT") == [(1, "A b", "a-b"), (2, "A b", "a-b-1"), (6, "A  B", "a-b-2"), (1, "T", "t")]
-    assert markdown.anchors(None) == []
+def test_anchors_and_slugs(spark):
+    body = "# A b\n## A b\n```\n# no\n  ``` x\n###### A  B #\n# é\n####### x\n#\tT\n#no\n# Hello, World -- Foo_Bar é!\r\n```\n# open end"
+    df = spark.createDataFrame([("a.md", body), ("b.md", None), ("c.md", ""), ("d.md", "# A b")], "path string, content string")
+    got = [(r.path, r.level, r.text, r.slug) for r in markdown.heading_anchors(df).collect()]
+    assert sorted(got) == sorted([("a.md", 1, "A b", "a-b"), ("a.md", 2, "A b", "a-b-1"), ("a.md", 6, "A  B", "a-b-2"), ("a.md", 1, "T", "t"), ("a.md", 1, "Hello, World -- Foo_Bar é!", "hello-world-foo_bar"), ("d.md", 1, "A b", "a-b")])
 
 
 def test_ignore_rules_know_classes_and_folders():

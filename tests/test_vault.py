@@ -160,3 +160,40 @@ def test_sinks(spark, tmp_path):
     sinks.replace_table(spark, df, at)
     sinks.replace_table(spark, df.unionByName(df), at)
     assert spark.read.parquet(at).count() == 2
+
+
+def _with_holes(df):
+    """A row of nulls, every row twice, and columns that clash with names used inside."""
+    holes = df.limit(1).select(*(F.lit(None).cast(x.dataType).alias(x.name) for x in df.schema))
+    return df.unionByName(df).unionByName(holes).withColumns({c: F.lit("x") for c in ("_key", "path", "depth", "position", "n", "_decision")})
+
+
+def test_planning_reads_take_nulls_repeats_and_clashing_columns(spark, small):
+    from lodestrata.runtime import table
+
+    t, dc = table(spark, small, "tickets"), table(spark, small, "decisions")
+    idmap, labels, deps = (queries_vault._state(spark, small, n, f) for n, f in (("ticket_idmap", queries_vault._IDMAP), ("ticket_labels", queries_vault._LABELS), ("ticket_deps", queries_vault._DEPS)))
+    one, deep = queries_vault._fullest(t), queries_vault._deepest(t)
+    runs = (
+        lambda t, dc: planning.ticket_list(t, idmap, leaf=True), lambda t, dc: planning.ticket_list(t, idmap, labels, label="question", under=one), lambda t, dc: planning.ticket_list(t, idmap, parent=one),
+        lambda t, dc: planning.ancestors(t, deep), lambda t, dc: planning.show_tree(t, dc, deps, one), lambda t, dc: planning.board(t, idmap, queries_vault.BOARD), lambda t, dc: planning.board(t, idmap, queries_vault.BOARD, team="dock"),
+    )
+    for run in runs:
+        assert rows_of(run(t, dc)) == rows_of(run(_with_holes(t), _with_holes(dc)))
+        assert run(t.limit(0), dc.limit(0)).collect() == []
+    assert planning.ticket_list(t, idmap, under="T-none").collect() == [] and planning.show_tree(t, dc, deps, "none").collect() == []
+
+
+def test_inlinks_to_one_path_are_those_of_the_join(spark):
+    files = [_file(p) for p in ("a/b c.md", "a/b_c.MD", "top.md", "x/a/b c.md", "A/B C.md", "none.txt")]
+    targets = ["b c", "B C", "b_c", "a/b c", "a/b c.md", "b c.md", "top", "TOP", "_op", "none", "none.txt", "%", "a%c", "a/b_c.MD", "_/b_c", None]
+    v = _vault(spark, files, link_rows=[("s.md", t, None, "wiki", i) for i, t in enumerate(targets)])
+    every = {(r.path, r.target_path) for r in links.resolved(v.files, v.links).collect()}
+    for path, *_ in files:
+        assert {r.target_path for r in v.links.where(links.names(F.col("target_path"), path)).collect()} == {t for p, t in every if p == path}, path
+
+
+def test_neighbours_refuse_more_than_they_can_show(spark):
+    v = _vault(spark, [_file("a.md")])
+    with pytest.raises(ValueError):
+        rank.neighbours(v, spark.range(rank.MAX_ASKED + 1).selectExpr("cast(id AS string) AS path"))
