@@ -17,7 +17,7 @@ fixed, small table: its vocabulary, latent vectors and floors are what is sent t
 
 A case: at least min_words consecutive passage words in their order, beginning and ending with a matching word, with edits
 (changed, dropped or inserted words) on at most one word in `per_edit`. A first sentence that `intro_share` distinct passages or more have in
-common counts for none. Null or empty texts and passages give no case; items with equal passages are each a case; a text
+common counts for none. Null or empty texts and passages give no case, nor do documents without an id; items with equal passages are each a case; a text
 shorter than a window is compared as if unknown words surrounded it.
 """
 

@@ -43,9 +43,11 @@ def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
         placed = df.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_distinct("token_from").alias("starts"), F.sum("n_tokens").alias("got"), F.max(F.col("token_from") + F.col("n_tokens")).alias("last"))
         placed = whole.join(placed, "doc_id", "left")
         kept = F.coalesce((F.col("got") == F.col("n_tokens")) & (F.col("last") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")), F.lit(False))
-        docs = placed.agg(F.count("pieces").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity)).alias("split_whole"), F.count_if(~kept).alias("gaps")).withColumn("spec_id", F.lit(s))
-        full = df.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("over_full")).withColumn("spec_id", F.lit(s))
-        out.append(docs.join(full, "spec_id").select("spec_id", F.lit(capacity).alias("capacity_tokens"), "documents", "over_full", "split_whole", "gaps"))
+        docs = placed.agg(F.count("pieces").alias("documents"), F.lit(0).cast("long").alias("over_full"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity)).alias("split_whole"), F.count_if(~kept).alias("gaps"))
+        none = F.lit(0).cast("long")
+        full = df.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > capacity).alias("over_full")).withColumns({"documents": none, "split_whole": none, "gaps": none})
+        both = docs.unionByName(full).agg(*(F.sum(c).alias(c) for c in ("documents", "over_full", "split_whole", "gaps")))
+        out.append(both.select(F.lit(s).alias("spec_id"), F.lit(capacity).alias("capacity_tokens"), "documents", "over_full", "split_whole", "gaps"))
     return reduce(DataFrame.unionByName, out)
 
 

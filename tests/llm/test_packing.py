@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import packing, queries
 from lodestrata.runtime import table
+from tests import oracle
 
 
 def naive_best_fit(lengths, capacity):
@@ -91,3 +92,20 @@ def test_edge_cases(spark):
         packing.pack(lengths, 0)
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (None, "a b", 9), (4, "word " * 50_000, 9)], "doc_id long, text string, n_tokens long")
     assert {r.doc_id: r.n_tokens for r in packing.token_lengths(docs).collect()}[4] > 50_000 - 5
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_invariants_equal_their_sql(spark, sf):
+    d = f"/root/testdata/{sf}"
+    assert oracle.difference(spark, "p7_invariants", d, queries.p7_invariants, queries.oracle_sql()["p7_invariants"]) is None
+
+
+def test_invariants_see_a_wrong_assignment(spark, monkeypatch):
+    whole = packing.pack_all
+
+    def spoilt(*a):
+        return [(s, c, df.withColumn("container_id", F.lit(0).cast("long")).where("doc_id % 2 = 0"), x) for s, c, df, x in whole(*a)]
+
+    monkeypatch.setattr(packing, "pack_all", spoilt)
+    for r in queries.p7_invariants(spark, "/root/testdata/sf0.001").collect():
+        assert r.over_full == 1 and r.gaps > 0
