@@ -71,7 +71,8 @@ class MergeStore:
     """Bucketed, sorted runs and their manifests below one folder that all executors share.
 
     One writer at a time: a second one's manifest is refused. buckets is fixed when the store is made; a store that is
-    there already keeps its own.
+    there already keeps its own. The runs are partitions of an external table in the session's catalogue, named after the
+    path; its entry may be dropped at any time while no reader is open, as opening the store makes it anew.
     """
 
     def __init__(self, spark: SparkSession, path: str, fan_in: int = 4, buckets: int = 8) -> None:
