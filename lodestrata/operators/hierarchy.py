@@ -9,8 +9,9 @@ in joins before and after. Paths are built on demand, by doubling.
 
 A placement that co-locates parents: a node goes by its own id or, if its coin says so and its parent's says otherwise, by
 its parent's, so that at least a quarter of all links lie inside a partition however many partitions there are; a level thus shrinks
-the forest by a fixed factor, down to `base_rows` links of the quotient. Hot parents are not gathered: children of a
-parent with very many of them stay where their own id places them.
+the forest by a fixed factor, down to `base_rows` links of the quotient. Before, links that nothing hangs from are set aside, which
+leaves little of shallow trees. Hot parents are not gathered: children of a parent with very many of them stay where their own id
+places them. What a level keeps is written as compressed columns, so that neither disk nor the driver's plans grow with the levels.
 
 Null ids are no nodes. A null, absent or dead parent makes a root. Ids compare folded (case, surrounding blanks). Rings and
 everything below them have root 'cycle', depth -1 and no path. An empty table has no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timetext import fold_id
-from ..runtime import cut, salted_join
+from ..runtime import salted_join, spread_join, stored
 from .orphans import _latest
 
 CYCLE = "cycle"
@@ -77,23 +78,49 @@ def _placed(links: DataFrame, parts: int, fragment_rows: int, level: int) -> Dat
     return out.repartition(parts, F.when(follows & F.col("hot").isNull(), F.col("parent")).otherwise(F.col("id"))).select("id", "parent", "weight")
 
 
+def _children(rows: DataFrame) -> DataFrame:
+    """parent, n: how many of rows (parent, ...) lie directly below each parent."""
+    return stored(rows.where("parent IS NOT NULL").groupBy("parent").agg(F.count("*").alias("n")))
+
+
+def _hot(children: DataFrame) -> list[str]:
+    """The parents with more than a thousandth of all children, so fewer than a thousand."""
+    n = children.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return [r["parent"] for r in children.where(F.col("n") > max(10_000, n // 1000)).select("parent").collect()]
+
+
 def _solve(links: DataFrame, fragment_rows: int, base_rows: int, level: int = 0) -> DataFrame:
     """links (id, parent, weight; a parent without a link is a root) -> id, root (null: ring), depth."""
-    links = cut(links)
+    links = stored(links)
     n = links.count()
     if level and n <= base_rows:
         # every link is here: exits hang from roots, the quotient is empty
         steps = links.repartition(1).mapInPandas(_contract, _STEP)
         return steps.select("id", F.col("parent").alias("root"), (F.col("distance") + F.col("weight")).alias("depth"))
+    children = _children(links)
+    hot = _hot(children)
+    if children.count() > 0.8 * n:
+        return _contracted(links, n, hot, fragment_rows, base_rows, level)
+    # links that nothing hangs from take their place below the others when those are solved
+    inner = stored(links.join(children.select(F.col("parent").alias("id")), "id", "left_semi"))
+    solved = stored(_contracted(inner, inner.count(), hot, fragment_rows, base_rows, level))
+    above = solved.select(F.col("id").alias("parent"), "root", F.col("depth").alias("above"), F.lit(True).alias("linked"))
+    root = F.when(F.col("linked"), F.col("root")).otherwise(F.col("parent"))
+    return spread_join(links, above, "parent", "id", hot, "left").select("id", root.alias("root"), (F.col("weight") + F.coalesce("above", F.lit(0))).alias("depth"))
+
+
+def _contracted(links: DataFrame, n: int, hot: list[str], fragment_rows: int, base_rows: int, level: int) -> DataFrame:
+    """As _solve, of n stored links: fragments, then the quotient. hot: the parents with very many links."""
     parts = max(-(-n // fragment_rows), min(links.sparkSession.sparkContext.defaultParallelism, 2 + n // 1000))
-    steps = cut(_placed(links, parts, fragment_rows, level).mapInPandas(_contract, _STEP))
+    steps = stored(_placed(links, parts, fragment_rows, level).mapInPandas(_contract, _STEP))
     exits = steps.where("id = exit").select("id", "parent", "weight")
     inside = steps.select(F.col("id").alias("parent"), F.col("exit").alias("up"), F.col("distance").alias("way"), "ring")
     # an exit's parent lies in another fragment or is a root: link exit to exit; below a local ring, to itself
     up = F.when(F.col("ring"), F.col("id")).otherwise(F.coalesce("up", "parent"))
-    upper = salted_join(exits, inside, ["parent"], ["id"], "left").select("id", up.alias("parent"), (F.col("weight") + F.coalesce("way", F.lit(0))).alias("weight"))
+    upper = spread_join(exits, inside, "parent", "id", hot, "left").select("id", up.alias("parent"), (F.col("weight") + F.coalesce("way", F.lit(0))).alias("weight"))
     solved = _solve(upper, fragment_rows, base_rows, level + 1).withColumnRenamed("id", "exit")
-    return salted_join(steps.select("id", "exit", "distance"), solved, ["exit"], ["id"], "left").select("id", "root", (F.col("distance") + F.col("depth")).alias("depth"))
+    # an exit has no more rows than its fragment; null exits (rings) match nothing
+    return spread_join(steps.select("id", "exit", "distance"), solved, "exit", "id", [], "left").select("id", "root", (F.col("distance") + F.col("depth")).alias("depth"))
 
 
 def live_nodes(tickets: DataFrame) -> DataFrame:
@@ -107,17 +134,18 @@ def hierarchy(tickets: DataFrame, fragment_rows: int = 200_000, base_rows: int =
 
     fragment_rows bounds the links one task holds, base_rows those of the quotient that one task solves at the end.
     """
-    nodes = cut(live_nodes(tickets))
-    named = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("key")).distinct()
-    inner = cut(nodes.join(named, "key", "left_semi"))
+    nodes = stored(live_nodes(tickets))
+    children = _children(nodes)
+    hot = _hot(children)
+    inner = stored(nodes.select("key", "record_id", "parent").join(children.select(F.col("parent").alias("key")), "key", "left_semi"))
     above = inner.select(F.col("key").alias("parent"), F.col("record_id").alias("above"))
-    links = salted_join(inner.where("parent IS NOT NULL"), above, ["parent"], ["key"])
+    links = spread_join(inner.where("parent IS NOT NULL"), above, "parent", "key", hot)
     solved = _solve(links.select(F.col("record_id").alias("id"), F.col("above").alias("parent"), F.lit(1).cast("long").alias("weight")), fragment_rows, base_rows)
     placed = inner.join(solved.withColumn("linked", F.lit(True)), inner["record_id"] == solved["id"], "left").select(
         "key", "record_id", F.when(F.col("linked"), F.col("root")).otherwise(F.col("record_id")).alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"))
-    top = placed.select(F.col("key").alias("parent"), F.col("record_id").alias("above"), F.col("root").alias("above_root"), F.col("depth").alias("above_depth"))
+    top = stored(placed.select(F.col("key").alias("parent"), F.col("record_id").alias("above"), F.col("root").alias("above_root"), F.col("depth").alias("above_depth")))
     # every node takes its place below its parent, which needs no second look at those already placed
-    out = salted_join(nodes, top, ["parent"], ["key"], "left")
+    out = spread_join(nodes, top, "parent", "key", hot, "left")
     root = F.when(F.col("above").isNull(), F.col("record_id")).otherwise(F.col("above_root"))
     return out.select(
         "key", "record_id", "type", F.col("above").alias("parent"), F.coalesce(root, F.lit(CYCLE)).alias("root_record_id"),
@@ -131,7 +159,7 @@ def with_paths(tree: DataFrame) -> DataFrame:
     By doubling: after round k a node knows its nearest 2^k ancestors, and a join brings the next as many. What is
     written is as long as the paths themselves.
     """
-    tree = cut(tree)
+    tree = stored(tree)
     deepest = tree.agg(F.max("depth").alias("d")).first()["d"] or 0
     own = tree.where("depth >= 0").select("record_id", F.col("parent").alias("up"), F.array("record_id").alias("path"))
     for _ in range(int(deepest).bit_length()):
@@ -139,7 +167,7 @@ def with_paths(tree: DataFrame) -> DataFrame:
         # only nodes that are somebody's next step travel as the repeated side
         over = over.join(own.where("up IS NOT NULL").select("up").distinct(), "up", "left_semi")
         joined = salted_join(own, over, ["up"], ["record_id"], "left")
-        own = cut(joined.select("record_id", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<string>")), "path").alias("path")))
+        own = stored(joined.select("record_id", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<string>")), "path").alias("path")))
     return tree.join(own.select("record_id", "path"), "record_id", "left")
 
 

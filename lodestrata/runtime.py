@@ -49,6 +49,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Materialise as compressed columns below the shared folder, until the JVM ends.
+
+    What is read has its files' size. A checkpoint keeps the size that its plan was guessed to have, and a join's guess is the
+    product of its sides': where each round joins the last with itself, those numbers' digits double and fill the driver.
+    """
+    path = f"{scratch(df.sparkSession, 'stored')}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(fact: DataFrame, dim: DataFrame, on: str, salt_from: str, hot: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """salted_join where the hot keys are known: only their dimension rows are repeated. Null keys of fact are spread too."""
+    salt = F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int")
+    left = fact.withColumn("_salt", F.when(F.col(on).isNull() | F.col(on).isin(hot), salt).otherwise(0))
+    if not hot:
+        return left.join(dim.withColumn("_salt", F.lit(0)), [on, "_salt"], how).drop("_salt")
+    right = dim.withColumn("_salt", F.explode(F.when(F.col(on).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
 def salted_join(fact: DataFrame, dim: DataFrame, on: list[str], salt_from: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join whose fact side may hold any share of its rows under one key.
 

@@ -167,6 +167,33 @@ def test_a_level_leaves_few_enough_links(spark):
     assert {(r.id, r.root, r.depth) for r in got.collect()} == {(f"n{i}", "n0", i) for i in range(1, 4001)}
 
 
+def test_a_levels_size_is_that_of_its_rows(spark, monkeypatch):
+    """Estimates that multiply from level to level take digits without end, and then the driver's heap."""
+    sizes, placed = [], hierarchy._placed
+
+    def noted(links, *rest):
+        sizes.append(int(links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return placed(links, *rest)
+
+    monkeypatch.setattr(hierarchy, "_placed", noted)
+    links = spark.range(1, 2001).selectExpr("concat('n', id) AS id", "concat('n', id - 1) AS parent", "1L AS weight")
+    got = hierarchy._solve(links, 10_000, 500)
+    assert len(sizes) > 2 and max(sizes) < 1e7
+    assert {(r.id, r.root, r.depth) for r in got.collect()} == {(f"n{i}", "n0", i) for i in range(1, 2001)}
+
+
+def test_hierarchy_of_bushy_trees_and_hot_parents(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    rows = [(f"n{i}", f"n{draw.randrange(max(0, i - 60), i)}" if i % 50 else None) for i in range(1, 400)] + [(f"h{i}", "n7") for i in range(60)] + [(f"k{i}", f"h{i}") for i in range(60)] + [("r1", "r2"), ("r2", "r1"), ("r3", "r1"), ("r4", "r3"), ("r5", "r4")]
+    df = spark.createDataFrame([(a, b, "task", None, "1", "h") for a, b in rows], "record_id string, parent_record_id string, type string, deleted_at string, updated_at string, hash string")
+    want = brute.p5(df.toPandas())
+    for hot in ([], ["n7", "N7", "r1", "R1"]):
+        monkeypatch.setattr(hierarchy, "_hot", lambda children, hot=hot: hot)
+        assert {(r.record_id, r.root_record_id, r.depth) for r in hierarchy.hierarchy(df, 60, 40).collect()} == want
+
+
 def test_merge_store_is_independent_of_batches(spark, small):
     t, c = table(spark, small, "tickets"), table(spark, small, "changelog")
     a = {tuple(r) for r in changefeed.rebuild(spark, t, c, batches=1).current().collect()}
