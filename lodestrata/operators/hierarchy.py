@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.timetext import fold_id
@@ -171,6 +171,44 @@ def with_paths(tree: DataFrame) -> DataFrame:
     return tree.join(own.select("record_id", "path"), "record_id", "left")
 
 
+_LINE = "position int, record_id string"
+
+
+def above(tree: DataFrame, own: Row | None) -> DataFrame:
+    """position (distance), record_id of what lies above one row of hierarchy; none at or below a ring.
+
+    By doubling of pointers within its tree, without paths.
+    """
+    if own is None or own["depth"] <= 0:
+        return tree.sparkSession.createDataFrame([], _LINE)
+    up = tree.where((F.col("root_record_id") == own["root_record_id"]) & (F.col("depth") <= own["depth"])).select("record_id", F.col("parent").alias("up"), "depth")
+    kept = up.join(up.select(F.col("up").alias("record_id")).distinct(), "record_id", "left_semi")
+    jump = stored(kept.unionByName(up.where(F.col("record_id") == own["record_id"])).distinct())
+    seen = jump.where(F.col("record_id") == own["record_id"]).select(F.lit(0).alias("position"), "record_id")
+    step = 1
+    while step <= own["depth"]:
+        seen = stored(seen.unionByName(seen.join(jump, "record_id").select((F.col("position") + step).alias("position"), F.col("up").alias("record_id"))))
+        step *= 2
+        # nodes less deep than a jump is long have none
+        over = jump.select(F.col("record_id").alias("up"), F.col("up").alias("next"))
+        jump = stored(jump.where(F.col("depth") >= step).join(over, "up").select("record_id", F.col("next").alias("up"), "depth"))
+    return seen.where("position > 0").select("position", "record_id")
+
+
+def below(tree: DataFrame, own: Row | None, fragment_rows: int = 200_000, base_rows: int = 20_000) -> DataFrame:
+    """position (distance), record_id of what lies below one row of hierarchy; none of a row at or below a ring.
+
+    Its tree's links of greater depth, solved as a forest of their own: what has the row as its root lies below it.
+    """
+    if own is None or own["depth"] < 0:
+        return tree.sparkSession.createDataFrame([], _LINE)
+    deeper = tree.where((F.col("root_record_id") == own["root_record_id"]) & (F.col("depth") > own["depth"]))
+    if own["depth"] == 0:  # it is the root
+        return deeper.select(F.col("depth").alias("position"), "record_id")
+    solved = _solve(deeper.select(F.col("record_id").alias("id"), "parent", F.lit(1).cast("long").alias("weight")), fragment_rows, base_rows)
+    return solved.where(F.col("root") == own["record_id"]).select(F.col("depth").cast("int").alias("position"), F.col("id").alias("record_id"))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """ancestor, descendant, distance: every pair on a path, by expanding each node's own path."""
     up = F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("i", "ancestor")

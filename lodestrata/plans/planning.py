@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.timetext import fold_id
-from ..operators.hierarchy import hierarchy, with_paths
+from ..operators.hierarchy import above, below, hierarchy
+from ..runtime import stored
 
 
 def current(df: DataFrame, key: str) -> DataFrame:
@@ -103,9 +106,9 @@ def ticket_list(tickets: DataFrame, idmap: DataFrame, labels: DataFrame | None =
     if parent is not None:
         rows = rows.join(_named(idmap, parent).withColumnRenamed("_key", "_parent"), "_parent", "left_semi")
     if under is not None:
-        tree = with_paths(hierarchy(tickets)).where("depth > 0")
-        above = tree.select(F.col("key").alias("_key"), F.explode(F.slice("path", F.lit(1), F.col("depth"))).alias("above"))
-        inside = above.select("_key", fold_id(F.col("above")).alias("_above")).join(_named(idmap, under).withColumnRenamed("_key", "_above"), "_above", "left_semi")
+        tree = stored(hierarchy(tickets))
+        inside = reduce(DataFrame.unionByName, (below(tree, own) for own in _tree_rows(tree, _named(idmap, under))), below(tree, None))
+        inside = inside.select(fold_id(F.col("record_id")).alias("_key"))
         rows = rows.join(inside, "_key", "left_semi")
     if leaf:
         kids = live(tickets, "record_id").select(fold_id(F.col("parent_record_id")).alias("_key")).where("_key IS NOT NULL").distinct()
@@ -122,11 +125,16 @@ def _named(idmap: DataFrame, one: str) -> DataFrame:
     return by_label.unionByName(idmap.sparkSession.createDataFrame([(wanted,)], "_key string")).distinct()
 
 
-def ancestors(tickets: DataFrame, one: str) -> DataFrame:
-    """distance, record_id, type, title of what lies above a ticket, its parent first; none at or below a ring."""
+def _tree_rows(tree: DataFrame, keys: DataFrame) -> list[Row]:
+    """The rows of hierarchy that bear one of a few keys (_key)."""
+    return tree.join(keys.withColumnRenamed("_key", "key"), "key", "left_semi").collect()
+
+
+def ancestors(tickets: DataFrame, one: str, tree: DataFrame | None = None) -> DataFrame:
+    """distance, record_id, type, title of what lies above a ticket, its parent first; none at or below a ring. tree: hierarchy's, if at hand."""
     rows = live(tickets, "record_id").select("record_id", "type", "title")
-    tree = with_paths(hierarchy(tickets)).where(F.col("key") == one.strip().upper())
-    up = tree.select("depth", F.posexplode("path").alias("i", "record_id")).where("i < depth").select((F.col("depth") - F.col("i")).alias("distance"), "record_id")
+    tree = stored(hierarchy(tickets)) if tree is None else tree
+    up = above(tree, tree.where(F.col("key") == one.strip().upper()).first()).withColumnRenamed("position", "distance")
     return up.join(rows, "record_id").select("distance", "record_id", "type", "title").orderBy("distance")
 
 
@@ -138,17 +146,17 @@ def show_tree(tickets: DataFrame, decisions: DataFrame, deps: DataFrame, one: st
     """
     me = one.strip().upper()
     rows = live(tickets, "record_id").select("_key", "record_id", "title", fold_id(F.col("decision_ref")).alias("_decision"))
-    tree = with_paths(hierarchy(tickets))
-    own = tree.where(F.col("key") == me)
-    up = own.select("depth", F.posexplode("path").alias("i", "record_id")).where("i < depth").select((F.col("depth") - F.col("i")).alias("position"), "record_id")
+    tree = stored(hierarchy(tickets))
+    row = tree.where(F.col("key") == me).first()
+    own = tree.sparkSession.createDataFrame([(row["record_id"],)] if row else [], "record_id string")
+    up = above(tree, row)
     line = up.unionByName(own.select(F.lit(0).alias("position"), "record_id"))
     known = live(decisions, "id").select(F.col("_key").alias("_decision"), "id", "title")
     meant = line.join(rows.select("record_id", "_decision"), "record_id").where("_decision IS NOT NULL").groupBy("_decision").agg(F.min("position").alias("position"))
-    below = tree.where("depth > 0").select("record_id", "depth", F.posexplode("path").alias("i", "above")).where((fold_id(F.col("above")) == me) & (F.col("i") < F.col("depth")))
-    below = below.select((F.col("depth") - F.col("i")).alias("position"), "record_id")
+    subtree = below(tree, row)
     part = lambda df, name: df.join(rows.select("record_id", "title"), "record_id").select(F.lit(name).alias("section"), "position", F.col("record_id").alias("id"), "title")
     held = blockers(tickets, deps).where(fold_id(F.col("blocked")) == me).select(F.lit("blocker").alias("section"), F.lit(1).alias("position"), F.col("blocker").alias("id"), F.col("blocker_title").alias("title"))
-    out = part(own.select(F.lit(0).alias("position"), "record_id"), "ticket").unionByName(part(up, "ancestor")).unionByName(part(below, "subtree")).unionByName(part(below.where("position = 1"), "child"))
+    out = part(own.select(F.lit(0).alias("position"), "record_id"), "ticket").unionByName(part(up, "ancestor")).unionByName(part(subtree, "subtree")).unionByName(part(subtree.where("position = 1"), "child"))
     return out.unionByName(meant.join(known, "_decision").select(F.lit("decision").alias("section"), "position", "id", "title")).unionByName(held)
 
 

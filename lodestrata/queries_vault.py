@@ -16,7 +16,7 @@ from .functions.timetext import epoch_month
 from .operators import changefeed, hierarchy
 from .oracles_training import P4, STATE
 from .plans import index, links, planning, planning_log, primitives, rank, snapshot
-from .runtime import cut, scratch, table
+from .runtime import cut, scratch, stored, table
 from .sources import base_view, decisions, markdown, sinks, statements
 from .streaming import refresh
 from .vault import Vault, vault
@@ -317,14 +317,15 @@ def plan_under(spark: SparkSession, d: str) -> DataFrame:
     return planning.ticket_list(t, _state(spark, d, "ticket_idmap", _IDMAP), under=_fullest(t))
 
 
-def _deepest(tickets: DataFrame) -> str:
-    row = hierarchy.hierarchy(tickets).orderBy(F.desc("depth"), "record_id").first()
+def _deepest(tickets: DataFrame, tree: DataFrame | None = None) -> str:
+    row = (hierarchy.hierarchy(tickets) if tree is None else tree).orderBy(F.desc("depth"), "record_id").first()
     return row["record_id"] if row else ""
 
 
 def plan_ancestors(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tickets")
-    return planning.ancestors(t, _deepest(t))
+    tree = stored(hierarchy.hierarchy(t))
+    return planning.ancestors(t, _deepest(t, tree), tree)
 
 
 def plan_show_tree(spark: SparkSession, d: str) -> DataFrame:

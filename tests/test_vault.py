@@ -184,6 +184,32 @@ def test_planning_reads_take_nulls_repeats_and_clashing_columns(spark, small):
     assert planning.ticket_list(t, idmap, under="T-none").collect() == [] and planning.show_tree(t, dc, deps, "none").collect() == []
 
 
+def test_what_is_above_and_below_one_ticket_takes_no_paths(spark, small, monkeypatch):
+    """Paths of every ticket are not needed for those around one; what comes is what the paths say."""
+    from lodestrata.operators import hierarchy
+    from lodestrata.runtime import stored
+
+    def never(tree):
+        raise AssertionError("paths of all tickets")
+
+    monkeypatch.setattr(planning, "with_paths", never, raising=False)
+    rows = [("a", None)] + [(f"c{i}", f"c{i - 1}" if i else "a") for i in range(40)] + [(f"s{i}", "c7") for i in range(30)] + [("t", "s3"), ("b", None), ("u", "b"), ("r1", "r2"), ("r2", "r1"), ("r3", "r1")]
+    t = spark.createDataFrame([(a, b, "task", a, None, "1", "h") for a, b in rows], "record_id string, parent_record_id string, type string, title string, deleted_at string, updated_at string, hash string")
+    tree = stored(hierarchy.hierarchy(t))
+    up = dict(rows)
+    lines = {a: [] for a in up}
+    for a in up:
+        at = up[a]
+        while at and at not in lines[a]:
+            lines[a].append(at)
+            at = up[at]
+    for one in ("a", "c7", "t", "r3"):
+        own = tree.where(F.col("record_id") == one).first()
+        assert {tuple(r) for r in hierarchy.above(tree, own).collect()} == ({(i + 1, x) for i, x in enumerate(lines[one])} if one != "r3" else set()), one
+        assert {tuple(r) for r in hierarchy.below(tree, own).collect()} == {(lines[x].index(one) + 1, x) for x in up if one in lines[x]}, one
+    assert [r.record_id for r in planning.ancestors(t, " C2 ", tree).collect()] == ["c1", "c0", "a"]
+
+
 def test_inlinks_to_one_path_are_those_of_the_join(spark):
     files = [_file(p) for p in ("a/b c.md", "a/b_c.MD", "top.md", "x/a/b c.md", "A/B C.md", "none.txt")]
     targets = ["b c", "B C", "b_c", "a/b c", "a/b c.md", "b c.md", "top", "TOP", "_op", "none", "none.txt", "%", "a%c", "a/b_c.MD", "_/b_c", None]
