@@ -180,7 +180,8 @@ def latent_search(model: Latent, texts: list[np.ndarray], min_words: int) -> Ite
         vector = sum(model.weight[flat[some + k]] for k in range(min_words))
         cosine = (vector @ model.units.T) / length[some, None]
         w, p = np.nonzero(cosine >= model.floors)
-        found.append((some[w], p, cosine[w, p]))
+        if len(w):
+            found.append((some[w], p, cosine[w, p]))
     if not found:
         return
     at, p, cosine = map(np.concatenate, zip(*found, strict=True))

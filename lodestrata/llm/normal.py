@@ -20,12 +20,19 @@ _INLINE = frozenset("b i u s a em strong span mark code sub sup small font kbd d
 _FOOTNOTE = re.compile(r"\[\^[^\[\]\s]++\]")
 _ALIASED = re.compile(r"\[\[[^\[\]|\n]*+\|([^\[\]\n]*+)\]\]")
 _LINK = re.compile(r"\[([^\[\]]*+)\]\((?:<[^<>\n]*+>|(?:[^()\s]|\([^()\s]*+\))*+)(?:\s++(?:\"[^\"]*+\"|'[^']*+'))?+\s*+\)")
+_LONG_NUMBER = re.compile(r"&#([0-9]{9,}+)")
 _MARKS = re.compile(r"[*_`~=]+")
 _BROKEN = re.compile(r"(?<=\w)[-‐][^\S\r\n]*+[\r\n][\s>|]*+(?=\w)")
 _HYPHEN = re.compile(r"(?<=\w)[-‐](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _shorter(m: re.Match) -> str:
+    """Numbers of that many digits are no character; html.unescape fails on thousands of them."""
+    digits = m[1].lstrip("0")
+    return f"&#{digits or 0}" if len(digits) < 8 else "&#99999999"
+
+
 def _without_comments(text: str) -> str:
     out, at = [], 0
     while (start := text.find("<!--", at)) >= 0 and (end := text.find("-->", start + 4)) >= 0:
@@ -43,7 +50,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if "&" in text:
-        text = html.unescape(text)
+        text = html.unescape(_LONG_NUMBER.sub(_shorter, text))
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
     if "[" in text:

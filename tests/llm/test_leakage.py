@@ -98,6 +98,27 @@ def test_markup_of_any_length(spark):
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items(spark)).collect()} == {(i, 1) for i in range(len(texts))}
 
 
+def test_number_references_of_any_length(spark):
+    """Thousands of digits are no character, and leading zeros don't count; one such text must not end the job."""
+    assert words("a &#" + "9" * 5000 + "; b") == ["a", "b"] and words("&#" + "0" * 5000 + "65;b") == ["ab"] and words("&#" + "0" * 20 + "; &#055;") == ["7"]
+    docs = spark.createDataFrame([(1, A), (2, "&#" + "1" * 5000 + "; " + A)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items(spark)).collect()} == {(1, 1), (2, 1)}
+
+
+def test_texts_with_windows_to_compare_but_no_candidate(spark):
+    """A batch may end with a few texts that only resemble passages: the bound keeps windows of theirs, no cosine reaches a floor."""
+    d = "/root/testdata/sf0.001"
+    docs, bench = table(spark, d, "documents"), table(spark, d, "bench_items")
+    want = sorted(tuple(r) for r in leakage.leaks(docs, bench).collect())
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        assert sorted(tuple(r) for r in leakage.leaks(docs, bench).collect()) == want and want
+    finally:
+        spark.conf.set(key, usual)
+
+
 @pytest.mark.parametrize("part", ["<a href='", "<!--", "[", "a-\n", "<p x ", "[x](", "[^", "[[a|", "&lt", "(("])
 def test_reading_takes_linear_time(part):
     start = time.process_time()
